@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from testlog.functions.text import unescape, unsigned, utrim, starts_with_ignore_case
+from testlog.session import configure
+from testlog.functions.text import ultrim, unescape, unsigned, utrim, starts_with_ignore_case
 
 # The markers of the TAP 13/14 line grammar.
 VERSION_PREFIX = "TAP version "
@@ -19,8 +20,9 @@ SUBTEST_PREFIX = "# Subtest:"
 BAILOUT_PREFIX = "Bail out!"
 PRAGMA_PATTERN = r"\Apragma ([+-])([A-Za-z0-9_-]+)\z"
 PLAN_PATTERN = r"(?Us)\A([+]?[0-9]+)\s*\.\.\s*([+]?[0-9]+)\s*(?: #.*)?\z"
-POINT_PATTERN = r"(?Us)\A(not ok|ok)(?: \s*([0-9]*)\s*-?\s*(.*))?\z"
-FIRST_HASH_PATTERN = r"(?Us)\A(.*?\s)#(\s.*)\z"
+HASH_PATTERN = r"(?Us)\A(.*?\s)#\s"
+DIRECTIVE_PATTERN = r"(?Us)\A.*?\s#\s+(\S+)"
+DIRECTIVES = ("TODO", "SKIP")
 UNNAMED_TEST = "unnamed test"
 
 # Line kinds, by position.
@@ -81,60 +83,66 @@ def line_kind(t: Column) -> Column:
             .when(strict == "pragma -strict", k["strict_off"])
             .otherwise(k["pragma"]),
         )
-        .when(F.contains(t, F.lit("..")) & plan & plan_ok, k["plan"])
+        .when(first.between("+", "9") & F.contains(t, F.lit("..")) & plan & plan_ok, k["plan"])
         .when(t.startswith("---"), k["yaml_open"])
         .when(t.startswith("..."), k["yaml_close"])
         .otherwise(k["other"])
     )
 
 
-def point_columns(t: Column, is_point: Column) -> dict[str, Column]:
-    body = F.regexp_extract(t, POINT_PATTERN, 3)
-    digits = F.regexp_extract(t, POINT_PATTERN, 2)
-    # The first hash with white space on both sides starts the directive.
-    has_hash = F.contains(body, F.lit("#"))
-    head = F.regexp_extract(body, FIRST_HASH_PATTERN, 1)
-    tail = F.regexp_extract(body, FIRST_HASH_PATTERN, 2)
-    token = F.upper(F.regexp_extract(tail, r"(?U)\A\s*(\S+)", 1))
-    directive = F.when(is_point & has_hash & token.isin("TODO", "SKIP"), token)
-    description = F.when(
-        is_point, F.nullif(unescape(F.when(directive.isNotNull(), head).otherwise(body)), F.lit(""))
-    )
-    return {
-        "ok": F.when(is_point, t.startswith("ok")),
-        "raw_id": F.when(is_point, unsigned(digits)),
-        "directive": directive,
-        "description": description,
-    }
-
-
 def tap_tokens(lines: DataFrame) -> DataFrame:
     """``lines(run_id, line_no, line)`` -> one token row per line.
 
     Columns: run_id, line_no, spaces (leading U+0020), tab (a tab follows them),
-    kind, and the fields of points, plans and bailouts.
+    kind, and the fields of points, plans and bailouts.  Regular expressions only
+    meet the few lines whose first characters call for them.
     """
+    configure(lines.sparkSession)
     keep = [c for c in lines.columns if c != "line"]
-    rest = F.ltrim(F.col("line"))
+    t, rest, body = F.col("t"), F.col("rest"), F.col("body")
+    is_point = F.col("kind") == KIND["point"]
+    is_plan = F.col("kind") == KIND["plan"]
+    to_end = 2**31 - 1
+    after_spaces = F.ltrim(F.col("line"))
+    after_digits = F.ltrim(rest, F.lit("0123456789"))
+
     base = lines.select(
         *keep,
         utrim(F.col("line")).alias("t"),
-        (F.char_length("line") - F.char_length(rest)).cast("int").alias("spaces"),
-        rest.startswith("\t").alias("tab"),
-    ).withColumn("kind", line_kind(F.col("t")).cast("int"))
-    t = F.col("t")
-    is_plan = F.col("kind") == KIND["plan"]
-    point = point_columns(t, F.col("kind") == KIND["point"])
-    return base.select(
+        (F.char_length("line") - F.char_length(after_spaces)).cast("int").alias("spaces"),
+        after_spaces.startswith("\t").alias("tab"),
+    ).withColumn("kind", line_kind(t).cast("int"))
+    word = F.when(t.startswith("ok"), 3).otherwise(7)
+    point = base.withColumn("rest", F.when(is_point, ultrim(F.substring(t, word, F.lit(to_end)))))
+    # digits are the id, one dash may follow, the remainder is the description
+    point = point.withColumn(
+        "digits", F.left(rest, F.char_length(rest) - F.char_length(after_digits))
+    ).withColumn("body", ultrim(after_digits))
+    point = point.withColumn(
+        "body", F.when(body.startswith("-"), ultrim(F.substring(body, 2, to_end))).otherwise(body)
+    )
+    # the first hash with white space on both sides starts a directive
+    token = F.when(F.contains(body, F.lit("#")), F.upper(F.regexp_extract(body, DIRECTIVE_PATTERN, 1)))
+    point = point.withColumn("token", token).withColumn(
+        "directive", F.when(F.col("token").isin(*DIRECTIVES), F.col("token"))
+    )
+    named = F.when(
+        F.col("directive").isNotNull(), utrim(F.regexp_extract(body, HASH_PATTERN, 1))
+    ).otherwise(body)
+    point = point.withColumn("named", named)
+    return point.select(
         *keep,
         "spaces",
         "tab",
         "kind",
-        *[c.alias(n) for n, c in point.items()],
+        F.when(is_point, t.startswith("ok")).alias("ok"),
+        unsigned(F.col("digits")).alias("raw_id"),
+        "directive",
+        F.nullif(unescape(F.col("named")), F.lit("")).alias("description"),
         F.when(is_plan, unsigned(F.regexp_extract(t, PLAN_PATTERN, 1))).alias("plan_start"),
         F.when(is_plan, unsigned(F.regexp_extract(t, PLAN_PATTERN, 2))).alias("plan_end"),
         F.when(
             F.col("kind") == KIND["bailout"],
-            unescape(F.substring(t, len(BAILOUT_PREFIX) + 1, 2**31 - 1)),
+            unescape(utrim(F.substring(t, len(BAILOUT_PREFIX) + 1, to_end))),
         ).alias("reason"),
     )

@@ -28,13 +28,25 @@ REASON_LIMIT = 160
 REASON_ELLIPSIS = "..."
 
 
+def _printable(char: Column) -> Column:
+    return char.between("!", "~")
+
+
 def utrim(col: Column) -> Column:
-    """Strip Unicode white space at both ends (SQL trim only strips U+0020)."""
-    return F.trim(col, F.lit(WHITE_SPACE))
+    """Strip Unicode white space at both ends (SQL trim only strips U+0020).
+
+    Most text has a printable ASCII character at each end once spaces are gone;
+    only the rest takes the slower path over the whole character set.
+    """
+    plain = F.trim(col)
+    done = _printable(F.left(plain, F.lit(1))) & _printable(F.right(plain, F.lit(1)))
+    return F.when(done | (plain == ""), plain).otherwise(F.trim(col, F.lit(WHITE_SPACE)))
 
 
 def ultrim(col: Column) -> Column:
-    return F.ltrim(col, F.lit(WHITE_SPACE))
+    plain = F.ltrim(col)
+    done = _printable(F.left(plain, F.lit(1))) | (plain == "")
+    return F.when(done, plain).otherwise(F.ltrim(col, F.lit(WHITE_SPACE)))
 
 
 def is_blank(col: Column) -> Column:
@@ -46,10 +58,15 @@ def nonblank(col: Column) -> Column:
     return F.when(~is_blank(col), col)
 
 
-def unsigned(col: Column) -> Column:
-    """Unsigned 64-bit number written as optional plus sign and digits, else null."""
-    value = F.when(col.rlike(r"\A[+]?[0-9]+\z"), col.try_cast("decimal(38,0)"))
-    return F.when(value <= F.lit(str(MAX_UNSIGNED)).cast("decimal(20,0)"), value.cast("decimal(20,0)"))
+def unsigned(digits: Column) -> Column:
+    """Unsigned 64-bit number from a string of digits (a plus sign may lead), else null.
+
+    The caller has checked the characters; '' and too large numbers give null.
+    """
+    wide = digits.try_cast("decimal(38,0)")
+    return F.when(
+        F.char_length(digits).between(1, 18), digits.try_cast("bigint").cast("decimal(20,0)")
+    ).when(wide <= F.lit(str(MAX_UNSIGNED)).cast("decimal(20,0)"), wide.cast("decimal(20,0)"))
 
 
 def to_bigint(col: Column) -> Column:
@@ -74,9 +91,8 @@ def short_reason(col: Column) -> Column:
     )
 
 
-def unescape(col: Column) -> Column:
-    r"""Trim, then turn ``\\`` into ``\`` and ``\#`` into ``#``; keep other escapes."""
-    text = utrim(col)
+def unescape(text: Column) -> Column:
+    r"""Turn ``\\`` into ``\`` and ``\#`` into ``#``; keep other escapes."""
     return F.when(
         F.contains(text, F.lit("\\")), F.regexp_replace(text, r"\\([\\#])", "$1")
     ).otherwise(text)

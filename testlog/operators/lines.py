@@ -171,7 +171,8 @@ def line_signal(line: Column) -> Column:
     t = ultrim(line)
     first = F.left(t, F.lit(1))
     plan = (
-        F.contains(t, F.lit(".."))
+        first.between("+", "9")
+        & t.rlike(PLAN_SIGNAL)
         & unsigned(F.regexp_extract(t, PLAN_SIGNAL, 1)).isNotNull()
         & unsigned(F.regexp_extract(t, PLAN_SIGNAL, 2)).isNotNull()
     )
