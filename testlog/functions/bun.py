@@ -42,12 +42,16 @@ def ran_total(t: Column) -> Column:
     return F.when(t.startswith("Ran "), unsigned(F.regexp_extract(t, RAN_PATTERN, 1)))
 
 
-def inline_label(t: Column) -> Column:
-    """Label behind a failure mark, up to the first ``[``; null when there is none."""
+def marked_text(t: Column) -> Column:
+    """Text behind a failure mark, up to the first ``[``; null without a mark."""
     rest = F.lit(None).cast("string")
     for mark in reversed(INLINE_MARKS):
         rest = F.when(t.startswith(mark), F.substring(t, len(mark) + 1, 2**31 - 1)).otherwise(rest)
-    return F.nullif(utrim(F.substring_index(rest, "[", 1)), F.lit(""))
+    return F.substring_index(rest, "[", 1)
+
+
+def label_part(marked: Column) -> Column:
+    return F.nullif(utrim(marked), F.lit(""))
 
 
 def section_text(t: Column) -> Column:

@@ -113,11 +113,12 @@ def tap_tokens(lines: DataFrame) -> DataFrame:
         after_spaces.startswith("\t").alias("tab"),
     ).withColumn("kind", line_kind(t).cast("int"))
     word = F.when(t.startswith("ok"), 3).otherwise(7)
-    point = base.withColumn("rest", F.when(is_point, ultrim(F.substring(t, word, F.lit(to_end)))))
+    point = base.withColumn("rest", F.when(is_point, F.substring(t, word, F.lit(to_end))))
+    point = point.withColumn("rest", ultrim(rest)).withColumn("after", after_digits)
     # digits are the id, one dash may follow, the remainder is the description
     point = point.withColumn(
-        "digits", F.left(rest, F.char_length(rest) - F.char_length(after_digits))
-    ).withColumn("body", ultrim(after_digits))
+        "digits", F.left(rest, F.char_length(rest) - F.char_length("after"))
+    ).withColumn("body", ultrim(F.col("after")))
     point = point.withColumn(
         "body", F.when(body.startswith("-"), ultrim(F.substring(body, 2, to_end))).otherwise(body)
     )

@@ -6,7 +6,7 @@ whole-stage code generation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The Unicode White_Space code points.
@@ -74,14 +74,24 @@ def to_bigint(col: Column) -> Column:
     return F.least(col, F.lit(str(MAX_BIGINT)).cast("decimal(20,0)")).cast("bigint")
 
 
-def first_line(col: Column) -> Column:
-    """First non-blank line, trimmed; '' when every line is blank."""
-    return utrim(F.substring_index(utrim(col), "\n", 1))
+# Trims name their input several times.  The steps below therefore take a column
+# of a table and add one projection per step, so that no step repeats the work of
+# the one before.
 
 
-def short_reason(col: Column) -> Column:
-    line = first_line(col)
+def with_first_line(df: DataFrame, name: str) -> DataFrame:
+    """Replace a column by its first non-blank line, trimmed; '' when there is none."""
     return (
+        df.withColumn(name, utrim(F.col(name)))
+        .withColumn(name, F.substring_index(name, "\n", 1))
+        .withColumn(name, utrim(F.col(name)))
+    )
+
+
+def with_short_reason(df: DataFrame, name: str) -> DataFrame:
+    """Replace a text by its first line, cut to the length limit."""
+    line = F.col(name)
+    short = (
         F.when(line == "", F.lit("unknown"))
         .when(
             F.char_length(line) > REASON_LIMIT,
@@ -89,6 +99,7 @@ def short_reason(col: Column) -> Column:
         )
         .otherwise(line)
     )
+    return with_first_line(df, name).withColumn(name, short)
 
 
 def unescape(text: Column) -> Column:

@@ -44,12 +44,14 @@ def bun_events(lines: DataFrame, **options) -> DataFrame:
     """
     t = F.col("t")
     rows = bun_sections(lines, **options)
-    text = B.section_text(t)
+    text = F.col("text")
+    rows = rows.withColumn("text", F.when(F.col("in_section"), B.section_text(t)))
+    rows = rows.withColumn("marked", B.marked_text(t)).withColumn("marked", B.label_part(F.col("marked")))
     listed = F.when((text != "") & ~text.endswith(":") & B.summary_kind(text).isNull(), text)
     inside = F.col("in_section") & F.col("count_kind").isNull()
     outside = ~F.col("in_section") & ~F.col("title") & F.col("count_kind").isNull()
     ran = F.when(outside, B.ran_total(t))
-    label = F.when(inside, listed).when(outside & ran.isNull(), B.inline_label(t))
+    label = F.when(inside, listed).when(outside & ran.isNull(), F.col("marked"))
     dots = outside & B.is_dots(t)
     kind = F.when(ran.isNotNull(), F.lit("total")).otherwise(F.col("count_kind"))
     value = F.coalesce(ran, F.when(F.col("count_kind").isNotNull(), B.summary_value(t)))

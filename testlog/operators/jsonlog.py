@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from testlog.functions.jsonvalue import array_at, count_at, json_value, string_at
-from testlog.functions.text import nonblank, short_reason, utrim
+from testlog.functions.text import nonblank, utrim, with_short_reason
 from testlog.operators.durable import materialize
 from testlog.session import configure
 
@@ -42,23 +42,35 @@ def _outcome(name: Column, outcomes: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in outcomes.items() for x in kv]), name)
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """Non-blank lines with their value ``v`` (null: not JSON by itself)."""
+def _text(lines: DataFrame) -> DataFrame:
     configure(lines.sparkSession)
-    text = lines.select("run_id", "line_no", utrim(F.col("line")).alias("text")).filter("text != ''")
-    return text.withColumn("v", json_value(F.col("text")))
+    return (
+        lines.select("run_id", "line_no", utrim(F.col("line")).alias("text"))
+        .filter("text != ''")
+        .select("run_id", "line_no", "text")
+    )
+
+
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """Lines that are one JSON value by themselves, with the value as ``v``.
+
+    The generator keeps later filters from being evaluated on the parse itself,
+    which would parse each line once more.
+    """
+    v = json_value(F.col("text"))
+    return _text(lines).select("run_id", "line_no", F.explode(F.array_compact(F.array(v))).alias("v"))
 
 
 def _go(v: Column) -> dict[str, Column]:
     test = string_at(v, "$.v.Test")
-    suite = string_at(v, "$.v.Package")
-    label = F.coalesce(test, suite, F.lit(UNKNOWN))
+    package = string_at(v, "$.v.Package")
+    action = F.when(test.isNotNull(), string_at(v, "$.v.Action"))
     return {
-        "outcome": F.when(test.isNotNull(), _outcome(string_at(v, "$.v.Action"), GO_OUTCOMES)),
-        "label": label,
-        "suite": suite,
+        "outcome": _outcome(action, GO_OUTCOMES),
+        "label": F.coalesce(test, package, F.lit(UNKNOWN)),
+        "suite": package,
         "test_file": F.lit(None).cast("string"),
-        "reason": short_reason(F.coalesce(string_at(v, "$.v.Output"), label)),
+        "reason": string_at(v, "$.v.Output"),
     }
 
 
@@ -66,62 +78,56 @@ def _nextest(v: Column) -> dict[str, Column]:
     event = F.coalesce(
         string_at(v, "$.v.event"), string_at(v, "$.v.event.status"), string_at(v, "$.v.event.kind")
     )
-    label = F.coalesce(string_at(v, "$.v.name"), string_at(v, "$.v.test"), F.lit(UNKNOWN))
-    message = F.coalesce(
-        string_at(v, "$.v.message"), string_at(v, "$.v.error"), string_at(v, "$.v.event.message")
-    )
     return {
         "outcome": _outcome(event, NEXTEST_OUTCOMES),
-        "label": label,
+        "label": F.coalesce(string_at(v, "$.v.name"), string_at(v, "$.v.test"), F.lit(UNKNOWN)),
         "suite": F.coalesce(string_at(v, "$.v.binary_id"), string_at(v, "$.v.package")),
         "test_file": string_at(v, "$.v.test_binary"),
-        "reason": short_reason(F.coalesce(message, label)),
+        "reason": F.coalesce(
+            string_at(v, "$.v.message"), string_at(v, "$.v.error"), string_at(v, "$.v.event.message")
+        ),
     }
 
 
+def _source(v: Column) -> Column:
+    return F.when(string_at(v, "$.v.Action").isNotNull(), F.lit("go")).when(
+        string_at(v, "$.v.type") == "test", F.lit("nextest")
+    )
+
+
 def with_source(values: DataFrame) -> DataFrame:
     """Go when ``Action`` is a string, else nextest when ``type`` is 'test', else null."""
+    return values.withColumn("source", _source(F.col("v")))
+
+
+def json_events(values: DataFrame, outcome: str | None = None) -> DataFrame:
+    """Go and nextest events; ``outcome`` is null for events that count nothing.
+
+    With ``outcome`` only events of that outcome are returned, and only their
+    fields are extracted.
+    """
     v = F.col("v")
-    return values.withColumn(
-        "source",
-        F.when(string_at(v, "$.v.Action").isNotNull(), F.lit("go")).when(
-            string_at(v, "$.v.type") == "test", F.lit("nextest")
-        ),
-    )
+    go, nextest = _go(v), _nextest(v)
+    is_go = F.col("source") == "go"
 
+    def pick(name: str) -> Column:
+        return F.when(is_go, go[name]).otherwise(nextest[name])
 
-def _events(values: DataFrame, source: str, fields: dict[str, Column]) -> DataFrame:
-    tagged = values if "source" in values.columns else with_source(values)
-    return tagged.filter(F.col("source") == source).select(
-        "run_id", "line_no", "source", *[c.alias(n) for n, c in fields.items()]
-    )
+    rows = with_source(values).filter(F.col("source").isNotNull())
+    rows = rows.withColumn("outcome", pick("outcome"))
+    if outcome is not None:
+        rows = rows.filter(F.col("outcome") == outcome)
+    names = ("label", "suite", "test_file", "reason")
+    rows = rows.select("run_id", "line_no", "source", "outcome", *[pick(n).alias(n) for n in names])
+    return with_short_reason(rows.withColumn("reason", F.coalesce("reason", "label")), "reason")
 
 
 def go_events(values: DataFrame) -> DataFrame:
-    """Go test events; ``outcome`` is null for events that count nothing."""
-    return _events(values, "go", _go(F.col("v")))
+    return json_events(values).filter(F.col("source") == "go")
 
 
 def nextest_events(values: DataFrame) -> DataFrame:
-    """nextest events; ``outcome`` is null for events that count nothing."""
-    return _events(values, "nextest", _nextest(F.col("v")))
-
-
-def json_events(values: DataFrame) -> DataFrame:
-    """Go and nextest events in one pass over the values."""
-    v = F.col("v")
-    go, nextest = _go(v), _nextest(v)
-    is_go = F.col("source") == "go"
-    return (
-        with_source(values)
-        .filter(F.col("source").isNotNull())
-        .select(
-            "run_id",
-            "line_no",
-            "source",
-            *[F.when(is_go, go[n]).otherwise(nextest[n]).alias(n) for n in go],
-        )
-    )
+    return json_events(values).filter(F.col("source") == "nextest")
 
 
 def summary_docs(values: DataFrame) -> DataFrame:
@@ -188,46 +194,50 @@ def doc_failures(docs: DataFrame) -> DataFrame:
     e, a = F.col("entry"), F.col("assertion")
     of_assertion = a.isNotNull()
     status = F.when(of_assertion, string_at(a, "$.status")).otherwise(string_at(e, "$.status"))
-    name, title = string_at(e, "$.name"), string_at(e, "$.title")
-    label = F.when(
-        of_assertion,
-        F.coalesce(string_at(a, "$.fullName"), string_at(a, "$.title"), F.lit(FAILED_ASSERTION)),
-    ).otherwise(F.coalesce(name, title, F.lit(FAILED_SUITE)))
-    message = nonblank(string_at(e, "$.message"))
-    reason = F.when(
-        of_assertion,
-        F.coalesce(
-            nonblank(string_at(a, "$.failureMessages[0]")),
-            nonblank(string_at(a, "$.failureMessage")),
-            message,
-            nonblank(label),
-        ),
-    ).otherwise(
-        F.coalesce(message, nonblank(string_at(e, "$.failureMessage")), nonblank(label))
+    fields = (
+        rows.filter(status == "failed")
+        .withColumn("name", string_at(e, "$.name"))
+        .withColumn("title", string_at(e, "$.title"))
+        .withColumn("own", string_at(a, "$.failureMessages[0]"))
+        .withColumn("own_single", string_at(a, "$.failureMessage"))
+        .withColumn("message", string_at(e, "$.message"))
+        .withColumn("single", string_at(e, "$.failureMessage"))
+        .withColumn("of_assertion", of_assertion)
+        .withColumn(
+            "label",
+            F.when(
+                of_assertion,
+                F.coalesce(string_at(a, "$.fullName"), string_at(a, "$.title"), F.lit(FAILED_ASSERTION)),
+            ).otherwise(F.coalesce("name", "title", F.lit(FAILED_SUITE))),
+        )
+    )
+    own, own_single, message, single, label = (
+        nonblank(F.col(c)) for c in ("own", "own_single", "message", "single", "label")
+    )
+    reason = F.when(F.col("of_assertion"), F.coalesce(own, own_single, message, label)).otherwise(
+        F.coalesce(message, single, label)
     )
-    return rows.filter(status == "failed").select(
+    return with_short_reason(fields.withColumn("reason", reason), "reason").select(
         "run_id",
         "line_no",
         "item_no",
         "source",
-        label.alias("label"),
-        F.coalesce(name, title).alias("suite"),
-        name.alias("test_file"),
-        short_reason(reason).alias("reason"),
+        "label",
+        F.coalesce("name", "title").alias("suite"),
+        F.col("name").alias("test_file"),
+        "reason",
     )
 
 
 def run_outline(lines: DataFrame) -> DataFrame:
     """One row per run: event counts and the positions that order-dependent rules need."""
-    rows = with_source(parse_lines(lines))
     v = F.col("v")
     go, nextest = _go(v)["outcome"], _nextest(v)["outcome"]
     outcome = F.when(F.col("source") == "go", go).when(F.col("source") == "nextest", nextest)
-    valid = v.isNotNull()
-    rows = rows.select(
+    rows = with_source(_text(lines).withColumn("v", json_value(F.col("text")))).select(
         "run_id",
         "line_no",
-        valid.alias("valid"),
+        v.isNotNull().alias("valid"),
         outcome.alias("outcome"),
         F.left("text", F.lit(1)).alias("head"),
         F.right("text", F.lit(1)).alias("tail"),
@@ -279,12 +289,12 @@ def whole_documents(lines: DataFrame, outline: DataFrame) -> DataFrame:
         lines.join(runs, "run_id", "left_semi")
         .groupBy("run_id")
         .agg(text.alias("text"))
+        .withColumn("text", utrim(F.col("text")))
         .select(
             "run_id",
             F.lit(DOCUMENT_LINE).alias("line_no"),
-            json_value(utrim(F.col("text"))).alias("v"),
+            F.explode(F.array_compact(F.array(json_value(F.col("text"))))).alias("v"),
         )
-        .filter(F.col("v").isNotNull())
     )
 
 
@@ -292,7 +302,7 @@ def json_values(lines: DataFrame, outline: DataFrame | None = None) -> DataFrame
     """Every JSON value of every run: value lines, else the whole text."""
     if outline is None:
         outline = materialize(run_outline(lines))
-    by_line = parse_lines(lines).filter(F.col("v").isNotNull()).select("run_id", "line_no", "v")
+    by_line = parse_lines(lines)
     return by_line.unionByName(whole_documents(lines, outline))
 
 
@@ -302,7 +312,7 @@ def _applied_docs(lines: DataFrame, outline: DataFrame, documents: DataFrame) ->
     candidates = lines.filter(
         F.contains(line, F.lit('Tests"')) | F.contains(line, F.lit('"stats"')) | F.contains(line, F.lit("\\"))
     )
-    by_line = parse_lines(candidates).filter(F.col("v").isNotNull()).select("run_id", "line_no", "v")
+    by_line = parse_lines(candidates)
     docs = summary_docs(by_line.unionByName(documents))
     seen = outline.select("run_id", "first_event")
     return docs.join(seen, "run_id").filter(
@@ -367,8 +377,8 @@ def json_failures(lines: DataFrame, outline: DataFrame | None = None) -> DataFra
     if outline is None:
         outline = materialize(run_outline(lines))
     documents = materialize(whole_documents(lines, outline))
-    by_line = parse_lines(lines).filter(F.col("v").isNotNull()).select("run_id", "line_no", "v")
-    failed = json_events(by_line.unionByName(documents)).filter(F.col("outcome") == "failed")
+    by_line = parse_lines(lines)
+    failed = json_events(by_line.unionByName(documents), outcome="failed")
     columns = ("run_id", "line_no", "item_no", "source", "label", "suite", "test_file", "reason")
     return (
         failed.withColumn("item_no", F.lit(0))

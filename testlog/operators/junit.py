@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from testlog.functions.text import first_line, utrim
+from testlog.functions.text import utrim, with_first_line
 
 # Nested test suites are unrolled to this depth; cases found deeper are counted
 # in ``cases_missed``.
@@ -49,14 +49,17 @@ def _parsed(reports: DataFrame) -> DataFrame:
     The tree is read below an added root, so that either root element fits one
     schema.
     """
-    body = utrim(F.regexp_replace("content", r"(?s)\A[﻿\s]*<\?xml.*?\?>", ""))
+    body = F.col("body")
     shaped = body.startswith("<") & body.endswith(">")
     # With both kinds of problem present, one tag name keeps their order.
     both = F.contains("content", F.lit("<failure")) & F.contains("content", F.lit("<error"))
     one_tag = F.when(both, F.regexp_replace(body, r"<(/?)error(?=[\s/>])", "<$1failure")).otherwise(body)
     tree = F.from_xml(F.concat(F.lit("<r>"), one_tag, F.lit("</r>")), _schema(), XML_OPTIONS)
+    bare = F.regexp_replace("content", r"(?s)\A[\uFEFF\s]*<\?xml.*?\?>", "")
     return (
-        reports.withColumn("body", F.when(shaped, body))
+        reports.withColumn("body", bare)
+        .withColumn("body", utrim(F.col("body")))
+        .withColumn("body", F.when(shaped, F.col("body")))
         .withColumn("p", F.when(shaped, tree))
         .withColumn("malformed", F.col("p").isNull() | F.col("p._corrupt_record").isNotNull())
     )
@@ -120,17 +123,22 @@ def junit_cases(reports: DataFrame) -> DataFrame:
     name = utrim(F.coalesce("c._name", F.lit(UNNAMED_CASE)))
     group = utrim(F.coalesce("c._classname", F.lit("")))
     label = (
-        F.when((group != "") & (name != ""), F.concat_ws("::", group, name))
-        .when(name != "", name)
-        .when(group != "", group)
+        F.when((F.col("group") != "") & (F.col("case_name") != ""), F.concat_ws("::", "group", "case_name"))
+        .when(F.col("case_name") != "", F.col("case_name"))
+        .when(F.col("group") != "", F.col("group"))
         .otherwise(F.lit(UNNAMED_CASE))
     )
-    reason = F.coalesce(
-        F.nullif(first_line(problem["_message"]), F.lit("")),
-        F.nullif(first_line(problem["_VALUE"]), F.lit("")),
-    )
     failed = F.col("status") == "failed"
-    return rows.withColumn("status", status).select(
+    rows = (
+        rows.withColumn("status", status)
+        .withColumn("problem", F.when(failed, problem))
+        .withColumn("message", F.col("problem._message"))
+        .withColumn("text", F.col("problem._VALUE"))
+    )
+    rows = with_first_line(with_first_line(rows, "message"), "text")
+    reason = F.coalesce(F.nullif("message", F.lit("")), F.nullif("text", F.lit("")))
+    rows = rows.withColumn("case_name", name).withColumn("group", group)
+    return rows.select(
         "run_id",
         "path",
         "case_no",
@@ -138,7 +146,7 @@ def junit_cases(reports: DataFrame) -> DataFrame:
         label.alias("label"),
         "suite",
         F.coalesce("c._file", "suite_file").alias("test_file"),
-        F.when(failed, reason).alias("reason"),
+        reason.alias("reason"),
     )
 
 

@@ -166,9 +166,8 @@ def valid_utf8_runs(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, rejected
 
 
-def line_signal(line: Column) -> Column:
-    """Format a line gives away, or null."""
-    t = ultrim(line)
+def line_signal(t: Column) -> Column:
+    """Format a left-trimmed line gives away, or null."""
     first = F.left(t, F.lit(1))
     plan = (
         first.between("+", "9")
@@ -202,11 +201,15 @@ def detect_format(lines: DataFrame) -> DataFrame:
     Only lines within the byte budget count, hence only the first
     ``DETECTION_LINES`` lines of a run are looked at, however long it is.
     """
-    head = lines.filter(F.col("line_no") <= DETECTION_LINES).select(
-        "run_id",
-        "line_no",
-        (F.octet_length("line") + 1).cast("bigint").alias("bytes"),
-        line_signal(F.col("line")).alias("signal"),
+    head = (
+        lines.filter(F.col("line_no") <= DETECTION_LINES)
+        .select(
+            "run_id",
+            "line_no",
+            (F.octet_length("line") + 1).cast("bigint").alias("bytes"),
+            ultrim(F.col("line")).alias("t"),
+        )
+        .select("run_id", "line_no", "bytes", line_signal(F.col("t")).alias("signal"))
     )
     before = W.partitionBy("run_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
     read = F.coalesce(F.sum("bytes").over(before), F.lit(0))
