@@ -28,25 +28,21 @@ REASON_LIMIT = 160
 REASON_ELLIPSIS = "..."
 
 
-def _printable(char: Column) -> Column:
-    return char.between("!", "~")
+# Any character that is not plain printable ASCII or a space.
+UNUSUAL = r"[^ -~]"
 
 
 def utrim(col: Column) -> Column:
     """Strip Unicode white space at both ends (SQL trim only strips U+0020).
 
-    Most text has a printable ASCII character at each end once spaces are gone;
-    only the rest takes the slower path over the whole character set.
+    Plain ASCII text takes the short path; only the rest is trimmed by the whole
+    character set.
     """
-    plain = F.trim(col)
-    done = _printable(F.left(plain, F.lit(1))) & _printable(F.right(plain, F.lit(1)))
-    return F.when(done | (plain == ""), plain).otherwise(F.trim(col, F.lit(WHITE_SPACE)))
+    return F.when(col.rlike(UNUSUAL), F.trim(col, F.lit(WHITE_SPACE))).otherwise(F.trim(col))
 
 
 def ultrim(col: Column) -> Column:
-    plain = F.ltrim(col)
-    done = _printable(F.left(plain, F.lit(1))) | (plain == "")
-    return F.when(done, plain).otherwise(F.ltrim(col, F.lit(WHITE_SPACE)))
+    return F.when(col.rlike(UNUSUAL), F.ltrim(col, F.lit(WHITE_SPACE))).otherwise(F.ltrim(col))
 
 
 def is_blank(col: Column) -> Column:

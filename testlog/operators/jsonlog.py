@@ -58,7 +58,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     which would parse each line once more.
     """
     v = json_value(F.col("text"))
-    return _text(lines).select("run_id", "line_no", F.explode(F.array_compact(F.array(v))).alias("v"))
+    rows = _text(lines).select("run_id", "line_no", F.explode_outer(F.array_compact(F.array(v))).alias("v"))
+    return rows.filter(F.col("v").isNotNull())
 
 
 def _go(v: Column) -> dict[str, Column]:
@@ -189,7 +190,7 @@ def doc_failures(docs: DataFrame) -> DataFrame:
         "run_id",
         "line_no",
         "source",
-        F.posexplode(F.flatten(F.transform(entries, items))).alias("item_no", "x"),
+        F.posexplode_outer(F.flatten(F.transform(entries, items))).alias("item_no", "x"),
     ).select("run_id", "line_no", "item_no", "source", "x.entry", "x.assertion")
     e, a = F.col("entry"), F.col("assertion")
     of_assertion = a.isNotNull()
@@ -293,8 +294,9 @@ def whole_documents(lines: DataFrame, outline: DataFrame) -> DataFrame:
         .select(
             "run_id",
             F.lit(DOCUMENT_LINE).alias("line_no"),
-            F.explode(F.array_compact(F.array(json_value(F.col("text"))))).alias("v"),
+            F.explode_outer(F.array_compact(F.array(json_value(F.col("text"))))).alias("v"),
         )
+        .filter(F.col("v").isNotNull())
     )
 
 

@@ -103,14 +103,15 @@ def _all_suites(df: DataFrame) -> DataFrame:
 
 def junit_cases(reports: DataFrame) -> DataFrame:
     """Every test case of well-formed reports: status, label and failure fields."""
-    parsed = _parsed(reports).filter(~F.col("malformed"))
+    parsed = _parsed(reports)
     flat = F.expr(
-        "flatten(transform(suites, s -> transform(coalesce(s.testcase, array()), c -> "
-        "named_struct('suite', s.name, 'suite_file', s.file, 'c', c))))"
+        "if(malformed, null, flatten(transform(suites, s -> transform(coalesce(s.testcase, array()), c -> "
+        "named_struct('suite', s.name, 'suite_file', s.file, 'c', c)))))"
     )
     rows = (
         _all_suites(parsed)
-        .select("run_id", "path", F.posexplode(flat).alias("case_no", "x"))
+        .select("run_id", "path", F.posexplode_outer(flat).alias("case_no", "x"))
+        .filter(F.col("case_no").isNotNull())
         .select("run_id", "path", "case_no", "x.suite", "x.suite_file", "x.c")
     )
     problem = F.coalesce(F.col("c.failure")[0], F.col("c.error")[0])
@@ -120,8 +121,6 @@ def junit_cases(reports: DataFrame) -> DataFrame:
         .when(has_problem, F.lit("failed"))
         .otherwise(F.lit("passed"))
     )
-    name = utrim(F.coalesce("c._name", F.lit(UNNAMED_CASE)))
-    group = utrim(F.coalesce("c._classname", F.lit("")))
     label = (
         F.when((F.col("group") != "") & (F.col("case_name") != ""), F.concat_ws("::", "group", "case_name"))
         .when(F.col("case_name") != "", F.col("case_name"))
@@ -134,10 +133,14 @@ def junit_cases(reports: DataFrame) -> DataFrame:
         .withColumn("problem", F.when(failed, problem))
         .withColumn("message", F.col("problem._message"))
         .withColumn("text", F.col("problem._VALUE"))
+        .withColumn("case_name", F.coalesce("c._name", F.lit(UNNAMED_CASE)))
+        .withColumn("group", F.coalesce("c._classname", F.lit("")))
     )
     rows = with_first_line(with_first_line(rows, "message"), "text")
     reason = F.coalesce(F.nullif("message", F.lit("")), F.nullif("text", F.lit("")))
-    rows = rows.withColumn("case_name", name).withColumn("group", group)
+    rows = rows.withColumn("case_name", utrim(F.col("case_name"))).withColumn(
+        "group", utrim(F.col("group"))
+    )
     return rows.select(
         "run_id",
         "path",

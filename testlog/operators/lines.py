@@ -116,7 +116,7 @@ def chunks_to_lines(
             "offset",
             "fresh",
             (F.size("parts") - 1).alias("last"),
-            F.posexplode("parts").alias("pos", "piece"),
+            F.posexplode_outer("parts").alias("pos", "piece"),
         )
         .filter((F.col("pos") < F.col("last")) | (F.col("piece") != ""))
         .select(

@@ -224,8 +224,8 @@ def infer_report_globs(runs: DataFrame, settings: DataFrame | None = None) -> Da
         *[x for tool, gs in REPORT_GLOBS.items() for x in (F.lit(tool), F.array(*map(F.lit, gs)))]
     )
     return infer_tool(runs, settings).select(
-        "run_id", "tool", F.explode(F.element_at(globs, F.col("tool"))).alias("glob")
-    )
+        "run_id", "tool", F.explode_outer(F.element_at(globs, F.col("tool"))).alias("glob")
+    ).filter(F.col("glob").isNotNull())
 
 
 def inferred_reports(reports: DataFrame, globs: DataFrame) -> DataFrame:

@@ -178,7 +178,7 @@ def _explode(blocks: DataFrame, keys: list[str], depths: int, payload: tuple[str
     mark = F.col("x.o.mark")
     folded = blocks.withColumn("out", _with_table(_fold_sql(depths)))
     rows = folded.select(
-        *keys, F.explode(F.arrays_zip(F.col("toks").alias("k"), F.col("out").alias("o"))).alias("x")
+        *keys, F.explode_outer(F.arrays_zip(F.col("toks").alias("k"), F.col("out").alias("o"))).alias("x")
     )
     return rows.select(
         *keys,
@@ -221,12 +221,12 @@ def _compose(blocks: DataFrame, fan: int) -> DataFrame:
             F.array_sort(F.collect_list(F.struct(F.col("grp").alias("n"), "vec"))).alias("fs"),
             F.first("start0").alias("start"),
         )
-        .select("run_id", F.explode(F.expr(walk)).alias("w"))
+        .select("run_id", F.explode_outer(F.expr(walk)).alias("w"))
         .select("run_id", F.col("w.n").alias("grp"), F.col("w.s").alias("start"))
     )
     return (
         lists.join(tops, ["run_id", "grp"])
-        .select("run_id", F.explode(F.expr(walk)).alias("w"))
+        .select("run_id", F.explode_outer(F.expr(walk)).alias("w"))
         .select("run_id", F.col("w.n").alias("block"), F.col("w.s").alias("start"))
     )
 
@@ -435,7 +435,7 @@ def tap_stream_states(
     # A resolving point also reports to the subtest it stands for.
     rows = numbered.withColumn(
         "about_child",
-        F.explode(F.when(resolving, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))),
+        F.explode_outer(F.when(resolving, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))),
     ).withColumn(
         "path",
         F.when(F.col("about_child"), F.concat("path", F.array("heading"))).otherwise(F.col("path")),

@@ -24,3 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 # The modules below register their queries on import.
 from testlog.plans import tap_queries  # noqa: E402,F401
 from testlog.plans import report_queries  # noqa: E402,F401
+from testlog.plans import line_queries, run_queries  # noqa: E402,F401
