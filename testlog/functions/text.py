@@ -67,7 +67,9 @@ def unsigned(digits: Column) -> Column:
 
 def to_bigint(col: Column) -> Column:
     """Unsigned decimal as BIGINT, clamped at the top of the range."""
-    return F.least(col, F.lit(str(MAX_BIGINT)).cast("decimal(20,0)")).cast("bigint")
+    top = F.lit(str(MAX_BIGINT)).cast("decimal(20,0)")
+    # ``least`` would skip a null
+    return F.when(col.isNotNull(), F.least(col, top).cast("bigint"))
 
 
 # Trims name their input several times.  The steps below therefore take a column

@@ -25,3 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 from testlog.plans import tap_queries  # noqa: E402,F401
 from testlog.plans import report_queries  # noqa: E402,F401
 from testlog.plans import line_queries, run_queries  # noqa: E402,F401
+from testlog.plans import stream_queries  # noqa: E402,F401

@@ -89,7 +89,7 @@ def detection_budget(spark, sf_dir):
     chunks = docs.select(
         F.col("doc_id").alias("run_id"),
         F.explode_outer(F.array(F.struct(F.lit(0).cast("bigint").alias("seq"), pad.alias("chunk")),
-                          F.struct(F.lit(1).cast("bigint"), F.lit("\nbun test v1\n")))).alias("x"),
+                          F.struct(F.lit(1).cast("bigint").alias("seq"), F.lit("\nbun test v1\n").alias("chunk")))).alias("x"),
     ).select("run_id", "x.seq", "x.chunk")
     return detect_format(chunks_to_lines(chunks))
 
@@ -158,7 +158,10 @@ def valid_utf8_query(spark, sf_dir):
     )
     cut = F.array(
         F.struct(F.lit(0).cast("bigint").alias("seq"), F.expr("substring(b, 1, half)").alias("chunk")),
-        F.struct(F.lit(1).cast("bigint"), F.expr("substring(b, half + 1, octet_length(b))")),
+        F.struct(
+            F.lit(1).cast("bigint").alias("seq"),
+            F.expr("substring(b, half + 1, octet_length(b))").alias("chunk"),
+        ),
     )
     chunks = rows.select("run_id", F.explode_outer(cut).alias("x")).select("run_id", "x.seq", "x.chunk")
     lines = materialize(binary_chunks_to_lines(chunks))

@@ -445,7 +445,7 @@ base AS (
   FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey),
 facts AS (
   SELECT b.*, coalesce(j.fresh, false) AS fresh, j.run_id IS NOT NULL AS has_report,
-         b.run_id % 16 = 0 AS only,
+         b.run_id % 16 = 0 AS reports_only,
          b.run_id % 12 = 0 OR b.run_id % 64 = 0 AS explicit,
          CASE WHEN b.run_id % 12 = 0 OR b.run_id % 64 = 0 THEN NULL
               WHEN b.run_id % 8 = 0 THEN 'gradle' WHEN b.run_id % 8 = 1 THEN 'maven'
@@ -453,13 +453,13 @@ facts AS (
          CASE WHEN b.run_id % 6 = 0 THEN true ELSE b.run_id % 4 <> 0 END AS auto
   FROM base b LEFT JOIN judged j ON j.run_id = b.run_id),
 plan AS (
-  SELECT *, only OR (tool IS NOT NULL AND auto) AS skip,
-         has_report AND (explicit OR tool IN ('pytest', 'gradle')) AS offered
+  SELECT *, reports_only OR (tool IS NOT NULL AND auto) AS skip,
+         has_report AND (explicit OR coalesce(tool, '') IN ('pytest', 'gradle')) AS offered
   FROM facts),
 used AS (
   SELECT *, offered AND (coalesce(tool = 'pytest', false) OR fresh) AS taken FROM plan),
 merged AS (
-  SELECT run_id, only, offered, skip, taken, tool, n,
+  SELECT run_id, reports_only, offered, skip, taken, tool, n,
          NOT skip AND n > 0 AS logged, NOT skip AND n = 0 AS silent,
          taken AND run_id % 17 <> 0 AS counted, p, f, t, s
   FROM used)
@@ -474,7 +474,7 @@ SELECT run_id,
        CAST(CASE WHEN taken AND NOT counted THEN 1 ELSE 0 END AS BIGINT) AS parse_warning_count,
        CAST(CASE WHEN silent THEN 1 ELSE 0 END AS BIGINT) AS protocol_failures
 FROM merged
-WHERE NOT (only AND NOT offered)
+WHERE NOT (reports_only AND NOT offered)
   AND NOT (skip AND offered AND NOT taken)
 """
 
@@ -492,7 +492,7 @@ def fleet_states(spark, sf_dir):
     "fleet_errors",
     FLEET.split("SELECT run_id,\n       CAST(CASE WHEN logged")[0]
     + "SELECT run_id, 'junit-only requires at least one JUnit report input' AS error "
-    "FROM merged WHERE only AND NOT offered",
+    "FROM merged WHERE reports_only AND NOT offered",
 )
 def fleet_errors(spark, sf_dir):
     return _fleet(spark, sf_dir).errors

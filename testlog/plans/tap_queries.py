@@ -85,11 +85,13 @@ NO_TEXT = "CAST(NULL AS VARCHAR) AS bailout_reason"
 @query(
     "tap_subtest_state",
     f"""
-    WITH kids AS (
+    WITH counted AS (
       SELECT o_custkey, o_orderkey, o_orderstatus, count(l_orderkey) AS items,
-             count(*) FILTER (l_returnflag = 'R') AS bad,
-             row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS from_end
+             count(*) FILTER (l_returnflag = 'R') AS bad
       FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+    kids AS (
+      SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS from_end
+      FROM counted),
     faults AS (
       SELECT *, CASE
           WHEN items = 0 THEN CASE WHEN o_orderstatus = 'P' AND from_end = 1 THEN 2 ELSE 0 END
