@@ -99,7 +99,8 @@ class CapFailures(StatefulProcessor):
     """Emit a run's first failures in line order, at most ``limit``, then stay silent.
 
     State per run is the number emitted, the next line expected and the lines
-    that came early; a timer lets the run go after ``idle_ms`` without input.
+    that came early.  An event-time timer lets the run go ``idle_ms`` after its
+    last line.
     """
 
     def __init__(self, limit: int, idle_ms: int):
@@ -108,62 +109,83 @@ class CapFailures(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.progress = handle.getValueState("progress", "emitted INT, next_line INT")
+        self.progress = handle.getValueState(
+            "progress", "emitted INT, next_line INT, waiting INT, closes_at BIGINT"
+        )
         self.early = handle.getMapState(
             "early", "line_no INT", "event_ts TIMESTAMP, failed BOOLEAN, label STRING"
         )
 
-    def _emit(self, key, line_no, event_ts, label) -> dict:
+    def _row(self, key, line_no, line) -> dict:
+        event_ts, _, label = line
         return {
             "run_id": key[0], "event_ts": event_ts, "line_no": line_no, "source": "TAP",
             "label": label, "reason": label,
         }
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        emitted, expected = self.progress.get() if self.progress.exists() else (0, 1)
-        out = []
+        emitted, expected, waiting, closes_at = (
+            self.progress.get() if self.progress.exists() else (0, 1, 0, 0)
+        )
+        latest = closes_at - self.idle_ms
         for batch in rows:
-            for r in batch.itertuples(index=False):
-                if emitted < self.limit:
-                    self.early.updateValue((int(r.line_no),), (r.event_ts, bool(r.failed), r.label))
-        while emitted < self.limit and self.early.containsKey((expected,)):
-            event_ts, failed, label = self.early.getValue((expected,))
-            self.early.removeKey((expected,))
-            expected += 1
-            if failed:
-                out.append(self._emit(key, expected - 1, event_ts, label))
-                emitted += 1
-        if emitted >= self.limit:
-            self.early.clear()
-        self.progress.update((emitted, expected))
-        self._rearm(timer_values)
-        if out:
-            yield pd.DataFrame(out)
-
-    def _rearm(self, timer_values) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle_ms)
+            latest = max(latest, int(batch["event_ts"].max().timestamp() * 1000))
+            if emitted >= self.limit:
+                continue
+            fresh = {
+                int(n): (ts.to_pydatetime(), bool(f), label)
+                for n, ts, f, label in zip(
+                    batch["line_no"], batch["event_ts"], batch["failed"], batch["label"]
+                )
+            }
+            out = []
+            while emitted < self.limit:
+                line = fresh.pop(expected, None)
+                if line is None and waiting and self.early.containsKey((expected,)):
+                    line = tuple(self.early.getValue((expected,)))
+                    self.early.removeKey((expected,))
+                    waiting -= 1
+                if line is None:
+                    break
+                if line[1]:
+                    out.append(self._row(key, expected, line))
+                    emitted += 1
+                expected += 1
+            if emitted < self.limit:
+                for n, line in fresh.items():
+                    self.early.updateValue((n,), line)
+                waiting += len(fresh)
+            elif waiting:
+                self.early.clear()
+                waiting = 0
+            if out:
+                yield pd.DataFrame(out)
+        if closes_at:
+            self.handle.deleteTimer(closes_at)
+        closes_at = latest + self.idle_ms
+        self.handle.registerTimer(closes_at)
+        self.progress.update((emitted, expected, waiting, closes_at))
 
     def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-        """The run has ended: lines behind a gap are still owed, in order."""
-        emitted, _ = self.progress.get() if self.progress.exists() else (0, 1)
-        out = []
-        for (line_no,), (event_ts, failed, label) in sorted(self.early.iterator()):
-            if failed and emitted < self.limit:
-                out.append(self._emit(key, line_no, event_ts, label))
-                emitted += 1
+        """The run has ended: failures behind a gap are still owed, in order."""
+        emitted = self.progress.get()[0] if self.progress.exists() else 0
+        owed = sorted((k[0], tuple(v)) for k, v in self.early.iterator() if v[1])
         self.early.clear()
         self.progress.clear()
-        if out:
-            yield pd.DataFrame(out)
+        if owed[: self.limit - emitted]:
+            yield pd.DataFrame([self._row(key, n, line) for n, line in owed[: self.limit - emitted]])
 
     def close(self) -> None:
         pass
 
 
-def stream_cap(lines: DataFrame, limit: int, idle_ms: int = 3_600_000) -> DataFrame:
-    """At most ``limit`` failing points per run from a stream of flat TAP lines."""
+def stream_cap(
+    lines: DataFrame, limit: int, delay: str = "10 minutes", idle_ms: int = 3_600_000
+) -> DataFrame:
+    """At most ``limit`` failing points per run from a stream of flat TAP lines.
+
+    The delay must cover how far lines of different runs are apart in time.
+    """
     # several state variables per key need the RocksDB store
     lines.sparkSession.conf.set(STATE_STORE, ROCKSDB)
     packed = lines.select(F.struct("run_id", "event_ts").alias("run_id"), "line_no", "line")
@@ -181,11 +203,15 @@ def stream_cap(lines: DataFrame, limit: int, idle_ms: int = 3_600_000) -> DataFr
         F.coalesce(failed, F.lit(False)).alias("failed"),
         F.coalesce("description", F.lit(UNNAMED_TEST)).alias("label"),
     )
-    return rows.groupBy("run_id").transformWithStateInPandas(
-        CapFailures(limit, idle_ms),
-        outputStructType=CAPPED,
-        outputMode="append",
-        timeMode="processingTime",
+    return (
+        rows.withWatermark("event_ts", delay)
+        .groupBy("run_id")
+        .transformWithStateInPandas(
+            CapFailures(limit, idle_ms),
+            outputStructType=CAPPED,
+            outputMode="append",
+            timeMode="eventTime",
+        )
     )
 
 
