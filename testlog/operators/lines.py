@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from testlog.functions.text import ultrim, unsigned
-from testlog.operators.durable import exceeds
+from testlog.operators.durable import exceeds, materialize
 
 CHUNK_BLOCK = 4096
 
@@ -147,6 +147,11 @@ def chunks_to_lines(
     return pieces.filter(whole).select(*columns).unionByName(crossing.select(*columns))
 
 
+def stored_lines(chunks: DataFrame, **options) -> DataFrame:
+    """Lines of a chunk table, written once for the several passes made over them."""
+    return materialize(chunks_to_lines(materialize(chunks), **options))
+
+
 def binary_chunks_to_lines(chunks: DataFrame, **options) -> DataFrame:
     """As ``chunks_to_lines`` for BINARY chunks, with a ``valid`` UTF-8 flag per line.
 

@@ -8,7 +8,7 @@ from testlog.operators.durable import materialize
 from testlog.operators.lines import (
     binary_chunks_to_lines,
     choose_format,
-    chunks_to_lines,
+    stored_lines,
     detect_format,
     route,
     valid_utf8_runs,
@@ -43,21 +43,21 @@ def log_lines(spark, sf_dir):
     chunks = turns.select(
         F.col("conv_id").alias("run_id"), place.cast("bigint").alias("seq"), F.col("text").alias("chunk")
     )
-    return chunks_to_lines(chunks).select("run_id", "line_no", "line")
+    return stored_lines(chunks).select("run_id", "line_no", "line")
 
 
-def document_chunks(spark, sf_dir, prefix=F.lit("")):
+def document_chunks(spark, sf_dir):
     docs = fixtures.table(spark, sf_dir, "documents")
     return docs.select(
         F.col("doc_id").alias("run_id"),
         F.lit(0).cast("bigint").alias("seq"),
-        F.concat(prefix, F.col("text")).alias("chunk"),
+        F.col("text").alias("chunk"),
     )
 
 
 @query("document_formats", "SELECT doc_id AS run_id, 'tap' AS format FROM documents")
 def document_formats(spark, sf_dir):
-    return detect_format(chunks_to_lines(document_chunks(spark, sf_dir)))
+    return detect_format(stored_lines(document_chunks(spark, sf_dir)))
 
 
 @query(
@@ -72,7 +72,7 @@ def document_formats(spark, sf_dir):
     """,
 )
 def documents_as_tap(spark, sf_dir):
-    states = tap_run_state(chunks_to_lines(document_chunks(spark, sf_dir)))
+    states = tap_run_state(stored_lines(document_chunks(spark, sf_dir)))
     return states.select("run_id", "total", "parse_warning_count", "protocol_failures")
 
 
@@ -91,7 +91,7 @@ def detection_budget(spark, sf_dir):
         F.explode_outer(F.array(F.struct(F.lit(0).cast("bigint").alias("seq"), pad.alias("chunk")),
                           F.struct(F.lit(1).cast("bigint").alias("seq"), F.lit("\nbun test v1\n").alias("chunk")))).alias("x"),
     ).select("run_id", "x.seq", "x.chunk")
-    return detect_format(chunks_to_lines(chunks))
+    return detect_format(stored_lines(chunks))
 
 
 def _mixed_lines(spark, sf_dir):
@@ -100,12 +100,12 @@ def _mixed_lines(spark, sf_dir):
             F.concat_ws("", F.lit(f"{name}-"), "run_id").alias("run_id"), "line_no", "line"
         )
 
-    flat = fixtures.flat_tap(spark, sf_dir)
+    flat = materialize(fixtures.flat_tap(spark, sf_dir))
     return (
         tag("flat", flat)
-        .unionByName(tag("go", fixtures.go_lines(spark, sf_dir)))
-        .unionByName(tag("text", chunks_to_lines(fixtures.bun_chunks(spark, sf_dir))))
-        .unionByName(tag("jest", chunks_to_lines(fixtures.document_chunks(spark, sf_dir))))
+        .unionByName(tag("go", materialize(fixtures.go_lines(spark, sf_dir))))
+        .unionByName(tag("text", stored_lines(fixtures.bun_chunks(spark, sf_dir))))
+        .unionByName(tag("jest", stored_lines(fixtures.document_chunks(spark, sf_dir))))
     )
 
 

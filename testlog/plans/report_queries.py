@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from testlog.operators import bun, jsonlog, junit
 from testlog.operators.durable import materialize
-from testlog.operators.lines import chunks_to_lines
+from testlog.operators.lines import stored_lines
 from testlog.plans import fixtures
 from testlog.plans.catalog import query
 from testlog.plans.tap_queries import NUMBERED
@@ -27,7 +27,7 @@ ZEROES = "CAST(0 AS BIGINT) AS parse_warning_count, CAST(0 AS BIGINT) AS protoco
     """,
 )
 def go_run_state(spark, sf_dir):
-    return jsonlog.json_run_state(fixtures.go_lines(spark, sf_dir))
+    return jsonlog.json_run_state(materialize(fixtures.go_lines(spark, sf_dir)))
 
 
 @query(
@@ -41,7 +41,7 @@ def go_run_state(spark, sf_dir):
     """,
 )
 def go_events(spark, sf_dir):
-    values = jsonlog.parse_lines(fixtures.go_lines(spark, sf_dir))
+    values = jsonlog.parse_lines(materialize(fixtures.go_lines(spark, sf_dir)))
     return jsonlog.go_events(values).select("run_id", "label", "suite", "outcome", "reason")
 
 
@@ -58,7 +58,7 @@ def go_events(spark, sf_dir):
     """,
 )
 def nextest_run_state(spark, sf_dir):
-    return jsonlog.json_run_state(fixtures.nextest_lines(spark, sf_dir))
+    return jsonlog.json_run_state(materialize(fixtures.nextest_lines(spark, sf_dir)))
 
 
 @query(
@@ -75,7 +75,7 @@ def nextest_run_state(spark, sf_dir):
     """,
 )
 def nextest_failures(spark, sf_dir):
-    rows = jsonlog.json_failures(fixtures.nextest_lines(spark, sf_dir))
+    rows = jsonlog.json_failures(materialize(fixtures.nextest_lines(spark, sf_dir)))
     return rows.select("run_id", "source", "label", "suite", "test_file", "reason")
 
 
@@ -90,7 +90,7 @@ def nextest_failures(spark, sf_dir):
     """,
 )
 def nextest_events(spark, sf_dir):
-    values = jsonlog.parse_lines(fixtures.nextest_lines(spark, sf_dir))
+    values = jsonlog.parse_lines(materialize(fixtures.nextest_lines(spark, sf_dir)))
     return jsonlog.nextest_events(values).select("run_id", "label", "outcome")
 
 
@@ -117,7 +117,7 @@ def nextest_events(spark, sf_dir):
     """,
 )
 def json_noise_and_documents(spark, sf_dir):
-    return jsonlog.json_run_state(chunks_to_lines(fixtures.noisy_go_chunks(spark, sf_dir)))
+    return jsonlog.json_run_state(stored_lines(fixtures.noisy_go_chunks(spark, sf_dir)))
 
 
 @query(
@@ -130,8 +130,8 @@ def json_noise_and_documents(spark, sf_dir):
     """,
 )
 def json_values(spark, sf_dir):
-    logs = chunks_to_lines(fixtures.noisy_go_chunks(spark, sf_dir))
-    docs = chunks_to_lines(fixtures.document_chunks(spark, sf_dir)).withColumn("run_id", -1 - F.col("run_id"))
+    logs = stored_lines(fixtures.noisy_go_chunks(spark, sf_dir))
+    docs = stored_lines(fixtures.document_chunks(spark, sf_dir)).withColumn("run_id", -1 - F.col("run_id"))
     values = jsonlog.json_values(materialize(logs.unionByName(docs)))
     return values.groupBy("run_id").agg(F.count("line_no").alias("json_values"))
 
@@ -147,7 +147,7 @@ def json_values(spark, sf_dir):
     """,
 )
 def summary_document_state(spark, sf_dir):
-    return jsonlog.json_run_state(chunks_to_lines(fixtures.document_chunks(spark, sf_dir)))
+    return jsonlog.json_run_state(stored_lines(fixtures.document_chunks(spark, sf_dir)))
 
 
 @query(
@@ -161,7 +161,7 @@ def summary_document_state(spark, sf_dir):
     """,
 )
 def summary_documents(spark, sf_dir):
-    lines = materialize(chunks_to_lines(fixtures.document_chunks(spark, sf_dir)))
+    lines = stored_lines(fixtures.document_chunks(spark, sf_dir))
     docs = jsonlog.summary_docs(jsonlog.json_values(lines))
     return docs.select("run_id", "source", "total", "passed", "failed", "skipped")
 
@@ -181,7 +181,7 @@ def summary_documents(spark, sf_dir):
     """,
 )
 def document_failures(spark, sf_dir):
-    lines = materialize(chunks_to_lines(fixtures.document_chunks(spark, sf_dir)))
+    lines = stored_lines(fixtures.document_chunks(spark, sf_dir))
     rows = jsonlog.json_failures(lines)
     # passed entries list no assertions, so their numbers are restored from the suite name
     number = F.regexp_extract("suite", r"([0-9]+)", 1).cast("int") - 1
@@ -208,7 +208,7 @@ def document_failures(spark, sf_dir):
     """,
 )
 def bun_run_state(spark, sf_dir):
-    return bun.bun_run_state(chunks_to_lines(fixtures.bun_chunks(spark, sf_dir)))
+    return bun.bun_run_state(stored_lines(fixtures.bun_chunks(spark, sf_dir)))
 
 
 @query(
@@ -219,7 +219,7 @@ def bun_run_state(spark, sf_dir):
     """,
 )
 def bun_failures(spark, sf_dir):
-    events = bun.bun_events(chunks_to_lines(fixtures.bun_chunks(spark, sf_dir)))
+    events = bun.bun_events(stored_lines(fixtures.bun_chunks(spark, sf_dir)))
     return bun.bun_failures(events).select("run_id", "source", "label")
 
 
@@ -231,7 +231,7 @@ def bun_failures(spark, sf_dir):
     """,
 )
 def bun_section_lines(spark, sf_dir):
-    rows = bun.bun_sections(chunks_to_lines(fixtures.bun_chunks(spark, sf_dir)))
+    rows = bun.bun_sections(stored_lines(fixtures.bun_chunks(spark, sf_dir)))
     return (
         rows.groupBy("run_id")
         .agg(

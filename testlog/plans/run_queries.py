@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from testlog.operators import failures as fl
 from testlog.operators import jsonlog, junit, runs, tap
 from testlog.operators.durable import materialize
-from testlog.operators.lines import chunks_to_lines
+from testlog.operators.lines import stored_lines
 from testlog.plans import fixtures
 from testlog.plans.catalog import query
 from testlog.plans.fleet import analyze_runs
@@ -111,8 +111,8 @@ def cap_failures(spark, sf_dir):
     """,
 )
 def all_failures(spark, sf_dir):
-    points = tap.tap_failures(tap.tap_events(fixtures.flat_tap(spark, sf_dir)))
-    go = jsonlog.json_failures(fixtures.go_lines(spark, sf_dir))
+    points = tap.tap_failures(tap.tap_events(materialize(fixtures.flat_tap(spark, sf_dir))))
+    go = jsonlog.json_failures(materialize(fixtures.go_lines(spark, sf_dir)))
     cases = junit.junit_failures(junit.junit_cases(fixtures.junit_reports(spark, sf_dir)))
     return fl.all_failures([points, go], cases).select("run_id", "stage", "source", "label")
 
@@ -132,7 +132,7 @@ def all_failures(spark, sf_dir):
     """,
 )
 def failure_messages(spark, sf_dir):
-    rows = jsonlog.json_failures(fixtures.go_lines(spark, sf_dir))
+    rows = jsonlog.json_failures(materialize(fixtures.go_lines(spark, sf_dir)))
     team = F.concat(F.lit("team "), F.col("run_id") % 3)
     return fl.render_failures(rows.withColumn("project", F.when(F.col("run_id") % 2 == 0, team)))
 
@@ -160,7 +160,7 @@ def failure_messages(spark, sf_dir):
     """,
 )
 def run_messages(spark, sf_dir):
-    states = tap.tap_run_state(chunks_to_lines(fixtures.busy_tap(spark, sf_dir)))
+    states = tap.tap_run_state(stored_lines(fixtures.busy_tap(spark, sf_dir)))
     return fl.render_run_messages(materialize(states).withColumn("project", F.lit("fleet")))
 
 
@@ -175,7 +175,7 @@ def run_messages(spark, sf_dir):
     """,
 )
 def text_summaries(spark, sf_dir):
-    return sinks.summaries(tap.tap_run_state(fixtures.flat_tap(spark, sf_dir)), "text")
+    return sinks.summaries(tap.tap_run_state(materialize(fixtures.flat_tap(spark, sf_dir))), "text")
 
 
 @query(
@@ -189,7 +189,7 @@ def text_summaries(spark, sf_dir):
     """,
 )
 def json_summaries(spark, sf_dir):
-    return sinks.summaries(tap.tap_run_state(fixtures.flat_tap(spark, sf_dir)), "json")
+    return sinks.summaries(tap.tap_run_state(materialize(fixtures.flat_tap(spark, sf_dir))), "json")
 
 
 MERGED = f"""
@@ -218,7 +218,7 @@ m AS (
     """,
 )
 def merged_states_by_level(spark, sf_dir):
-    stream = tap.tap_run_state(fixtures.flat_tap(spark, sf_dir)).withColumn("stage", F.lit(0))
+    stream = tap.tap_run_state(materialize(fixtures.flat_tap(spark, sf_dir))).withColumn("stage", F.lit(0))
     reports = junit.junit_run_state(fixtures.junit_reports(spark, sf_dir)).withColumn("stage", F.lit(1))
     both = stream.unionByName(reports).withColumn("project", F.col("run_id") % 7)
     return runs.merge_levels(both, ["project", "run_id"], ["run_id", "stage"])
@@ -403,7 +403,7 @@ def stale_runs(spark, sf_dir):
     """,
 )
 def run_verdicts(spark, sf_dir):
-    states = tap.tap_run_state(fixtures.flat_tap(spark, sf_dir))
+    states = tap.tap_run_state(materialize(fixtures.flat_tap(spark, sf_dir)))
     verdicts = runs.run_verdict(states, order_runs(spark, sf_dir))
     return verdicts.select("run_id", "success", "plan_mismatch", "exit_status")
 
@@ -418,7 +418,7 @@ def run_verdicts(spark, sf_dir):
 )
 def preferred_reports(spark, sf_dir):
     noise = F.col("run_id") % 3 == 0
-    lines = fixtures.flat_tap(spark, sf_dir).withColumn(
+    lines = materialize(fixtures.flat_tap(spark, sf_dir)).withColumn(
         "line", F.when(noise, F.concat(F.lit("noise "), "line")).otherwise(F.col("line"))
     )
     reports = junit.junit_run_state(fixtures.junit_reports(spark, sf_dir))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from testlog.operators import tap
-from testlog.operators.lines import chunks_to_lines
+from testlog.operators.durable import materialize
+from testlog.operators.lines import stored_lines
 from testlog.operators.runs import run_verdict
 from testlog.plans import fixtures
 from testlog.plans.catalog import query
@@ -42,7 +43,7 @@ items AS (
     """,
 )
 def tap_flat_state(spark, sf_dir):
-    lines = chunks_to_lines(fixtures.as_chunks(fixtures.flat_tap(spark, sf_dir)))
+    lines = stored_lines(fixtures.as_chunks(fixtures.flat_tap(spark, sf_dir)))
     return run_verdict(tap.tap_run_state(lines))
 
 
@@ -76,7 +77,7 @@ def tap_flat_state(spark, sf_dir):
 )
 def tap_ids_and_plans(spark, sf_dir):
     chunks = fixtures.as_chunks(fixtures.odd_ids_tap(spark, sf_dir), straddle=True)
-    return tap.tap_run_state(chunks_to_lines(chunks))
+    return tap.tap_run_state(stored_lines(chunks))
 
 
 NO_TEXT = "CAST(NULL AS VARCHAR) AS bailout_reason"
@@ -108,7 +109,7 @@ NO_TEXT = "CAST(NULL AS VARCHAR) AS bailout_reason"
     """,
 )
 def tap_subtest_state(spark, sf_dir):
-    return tap.tap_run_state(chunks_to_lines(fixtures.nested_tap(spark, sf_dir)))
+    return tap.tap_run_state(stored_lines(fixtures.nested_tap(spark, sf_dir)))
 
 
 @query(
@@ -123,7 +124,7 @@ def tap_subtest_state(spark, sf_dir):
     """,
 )
 def tap_subtest_agreement(spark, sf_dir):
-    states = tap.tap_states(chunks_to_lines(fixtures.nested_tap(spark, sf_dir)))
+    states = tap.tap_states(stored_lines(fixtures.nested_tap(spark, sf_dir)))
     subtests = tap.correlate_subtests(states)
     return subtests.groupBy("run_id").agg(
         F.count("success").alias("subtests"),
@@ -143,7 +144,7 @@ def tap_subtest_agreement(spark, sf_dir):
     """,
 )
 def tap_levels(spark, sf_dir):
-    levels = tap.tap_levels(chunks_to_lines(fixtures.nested_tap(spark, sf_dir)))
+    levels = tap.tap_levels(stored_lines(fixtures.nested_tap(spark, sf_dir)))
     return levels.groupBy("run_id", F.size("path").alias("depth")).agg(F.count("line_no").alias("n"))
 
 
@@ -173,7 +174,7 @@ busy AS (
     """,
 )
 def tap_busy_state(spark, sf_dir):
-    return tap.tap_run_state(chunks_to_lines(fixtures.busy_tap(spark, sf_dir)))
+    return tap.tap_run_state(stored_lines(fixtures.busy_tap(spark, sf_dir)))
 
 
 @query(
@@ -193,7 +194,7 @@ def tap_busy_state(spark, sf_dir):
     """,
 )
 def tap_line_kinds(spark, sf_dir):
-    kinds = tap.tap_classify(chunks_to_lines(fixtures.busy_tap(spark, sf_dir)))
+    kinds = tap.tap_classify(stored_lines(fixtures.busy_tap(spark, sf_dir)))
     return kinds.groupBy("run_id", "kind").agg(F.count("line_no").alias("n"))
 
 
@@ -209,7 +210,7 @@ def tap_line_kinds(spark, sf_dir):
     """,
 )
 def tap_points(spark, sf_dir):
-    events = tap.tap_events(chunks_to_lines(fixtures.busy_tap(spark, sf_dir)))
+    events = tap.tap_events(stored_lines(fixtures.busy_tap(spark, sf_dir)))
     return tap.tap_points(events).select(
         "run_id", F.col("id").cast("string").alias("id"), "ok", "description", "directive"
     )
@@ -229,7 +230,7 @@ def tap_points(spark, sf_dir):
     """,
 )
 def tap_filled_ids(spark, sf_dir):
-    lines = chunks_to_lines(fixtures.as_chunks(fixtures.odd_ids_tap(spark, sf_dir)))
+    lines = stored_lines(fixtures.as_chunks(fixtures.odd_ids_tap(spark, sf_dir)))
     points = tap.tap_points(tap.tap_events(lines))
     lead = (F.col("run_id") % 2 != 0) & (F.col("run_id") % 11 != 0)
     place = F.col("line_no").cast("bigint") - F.when(lead, 1).otherwise(0)
@@ -246,5 +247,5 @@ def tap_filled_ids(spark, sf_dir):
     """,
 )
 def tap_failures(spark, sf_dir):
-    events = tap.tap_events(fixtures.flat_tap(spark, sf_dir))
+    events = tap.tap_events(materialize(fixtures.flat_tap(spark, sf_dir)))
     return tap.tap_failures(events).select("run_id", "line_no", "source", "label", "reason")
