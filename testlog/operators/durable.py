@@ -15,6 +15,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from testlog.session import configure
+
 BLOCK_LINES = 4096
 
 
@@ -37,7 +39,7 @@ def materialize(df: DataFrame) -> DataFrame:
     lost executor costs only the tasks it ran.  Statistics of the written files
     also let Spark decide on broadcasts by size.
     """
-    spark = df.sparkSession
+    spark = configure(df.sparkSession)
     path = f"{checkpoint_root(spark)}/testlog-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
