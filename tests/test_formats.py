@@ -58,7 +58,7 @@ def test_json_failures(spark):
 
 BUN_RUNS = [
     (["bun test v1", "(pass) a", "(fail) divides [1ms]", " 1 pass", " 1 fail", "Ran 2 tests"], (2, 1, 1, 0, 0, 0), ["divides"]),
-    (["..F s", "failures:", "- x", "* y:", "Ran 3 tests", "2 skip", "(fail) z"], (5, 2, 1, 0, 2, 0), ["x", "Ran 3 tests", "z"]),
+    (["..F s", "failures:", "- x", "* y:", "Ran 3 tests", "2 skip", "(fail) z"], (8, 2, 4, 0, 2, 0), ["x", "Ran 3 tests", "z"]),
     (["✗ a", "× [b]", "(fail)"], (1, 0, 1, 0, 0, 0), ["a"]),
     (["7 of them", "3 tests passed", "4 (failed)", "5 xx todo."], (3, 0, 4, 5, 0, 0), []),
 ]
