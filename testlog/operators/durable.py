@@ -9,7 +9,7 @@ run of unbounded size.
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,32 +19,59 @@ from testlog.session import configure
 
 BLOCK_LINES = 4096
 
+_FOLDERS: dict[str, str] = {}
+
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by the session; a local one only where none is set."""
+    """Folder that the driver and every executor share.
+
+    ``spark.checkpoint.dir`` names it.  Where that is unset the session's warehouse
+    is used, which Spark shares as well; never a folder of one machine.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="testlog-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
+    if not root:
+        root = spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+    return root.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def _forget(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the JVM has gone first; the folder stays behind
+        pass
+
+
+def session_folder(spark: SparkSession) -> str:
+    """This application's own folder below the shared one, removed at its end."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = f"{checkpoint_root(spark)}/testlog-{app}-{uuid.uuid4().hex[:8]}"
+        atexit.register(_forget, spark, _FOLDERS[app])
+    return _FOLDERS[app]
+
+
+def store(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Later branches read the table instead of recomputing their input, and a
     lost executor costs only the tasks it ran.  Statistics of the written files
     also let Spark decide on broadcasts by size.
     """
-    spark = configure(df.sparkSession)
-    path = f"{checkpoint_root(spark)}/testlog-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{session_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """``store`` under the session settings that the log operators rely on."""
+    configure(df.sparkSession)
+    return store(df)
+
+
 def any_row(df: DataFrame) -> bool:
     return len(df.limit(1).take(1)) > 0
 
