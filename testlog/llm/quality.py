@@ -38,7 +38,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_SYMBOL_PERCENT = 2  # documents with more symbols are no part of a reference
 # Character histograms: (characters at least, largest distance); short texts vary more.
-CHAR_LIMITS = ((600, 0.17), (200, 0.30))
+CHAR_LIMITS = ((800, 0.17), (200, 0.30))
 WORD_GUARD = 80  # words below which the common-word histogram is not judged
 WORD_LIMIT = 0.40
 

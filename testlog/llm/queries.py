@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from testlog.llm import quality
+from testlog.llm import bpe, quality
 from testlog.llm.catalog import query, table
 
 
 @query("op9_quality_divergence")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rows(table(spark, sf_dir, "documents"))
+
+
+def token_digests(docs: DataFrame) -> DataFrame:
+    """Digests of the ids and of what they decode to, one row per document."""
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    tokens = bpe.decode(bpe.encode(docs.select("doc_id", "text"), vocabulary), vocabulary)
+    return tokens.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op3_byte_bpe")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"))
