@@ -25,6 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -378,8 +379,8 @@ def _share(df: DataFrame, path: str):
 def _pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of a few million bytes each, at least one row."""
     sizes = np.zeros(batch.num_rows, np.int64)
-    lengths = pa.compute.binary_length(batch.column(column))
-    sizes[:] = pa.compute.fill_null(lengths, 0).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(batch.column(column))
+    sizes[:] = pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False)
     first, total = 0, 0
     for k, size in enumerate(sizes.tolist()):
         if total and total + size > 2 * WINDOW:
