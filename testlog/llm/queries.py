@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testlog.llm import bpe, quality
+from testlog.llm import bpe, neardup, quality
 from testlog.llm.catalog import query, table
 
 
@@ -30,3 +30,8 @@ def token_digests(docs: DataFrame) -> DataFrame:
 @query("op3_byte_bpe")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op2_order_minhash")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_classes(table(spark, sf_dir, "documents"))
