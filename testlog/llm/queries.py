@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testlog.llm import bpe, neardup, quality
+from testlog.llm import bpe, decontam, linededup, neardup, quality
 from testlog.llm.catalog import query, table
 
 
@@ -35,3 +35,23 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_order_minhash")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op1_line_templates")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        "n_lines",
+        "n_recurring",
+        "n_dropped",
+        "is_copy",
+        F.length("text").cast("long").alias("n_chars_left"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
+@query("op6_spaced_seeds")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "first_word", "n_words", "share")
