@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testlog.llm import bpe, decontam, licenses, linededup, neardup, quality, sharding
+from testlog.llm import bpe, decontam, htmltext, licenses, linededup, neardup, quality, sharding, warc
 from testlog.llm.catalog import query, table
+from testlog.operators.durable import session_folder
 
 
 @query("op9_quality_divergence")
@@ -79,3 +82,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_license_join")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op4_warc_chains")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{session_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.page_records(spark, path).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+@query("op10_block_rules")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", "n_chars", "n_blocks", "n_kept"
+    )
