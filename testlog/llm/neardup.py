@@ -10,8 +10,8 @@ linked, and classes are the connected components over links.
 
 Scale: equal texts are one node.  Within a key, all members are compared with one
 leader (the least id); members that turn out unlike it go on to the next round with a
-leader of their own, until none is left, so a key of n members costs about n
-comparisons when they are alike and no pair is dropped by a cap.  Leaders are found by
+more leaders, 4, 16, 64 and so on, until none is left; so a key of n members costs about
+n comparisons when they are alike, and no pair is dropped by a cap.  Leaders are found by
 pre-aggregated minima; keys never gather their members in one task.
 
 Defined results: a null text counts as empty; texts with equal words in equal order
@@ -29,7 +29,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from testlog.llm import prefilter
@@ -42,6 +42,8 @@ SKETCHES = 40
 PICKED = 3
 THRESHOLD = 0.8
 SLICE_ROWS = 256  # documents hashed at once
+CELLS = 1 << 21  # hashes held at once
+GROWTH = 4  # leaders of a key grow by this factor from round to round
 
 _ODD = np.random.default_rng(20240817).integers(1, 1 << 63, SKETCHES + 8, dtype=np.uint64) | np.uint64(1)
 
@@ -96,18 +98,21 @@ def sketch(words: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     keys = np.empty(SKETCHES, np.uint64)
     picked = min(PICKED, len(grams))
-    for j in range(SKETCHES):
-        hashed = grams * _ODD[8 + j]
-        hashed ^= hashed >> np.uint64(29)
-        hashed *= _ODD[2]
-        if len(grams) > picked:
-            at = np.sort(np.argpartition(hashed, picked - 1)[:picked])
-        else:
-            at = np.arange(picked)
-        key = np.uint64(j + 1)
-        for g in grams[at]:
-            key = key * _ODD[3] + g
-        keys[j] = key
+    # all functions side by side, for very long texts a few at a time
+    together = max(1, min(SKETCHES, CELLS // len(grams)))
+    for low in range(0, SKETCHES, together):
+        odd = _ODD[8 + low : 8 + min(low + together, SKETCHES)]
+        hashed = ((grams[None, :] * odd[:, None]) >> np.uint64(32)).astype(np.uint32)
+        rows = np.arange(len(odd))
+        at = np.empty((len(odd), picked), np.int64)
+        for k in range(picked):
+            at[:, k] = hashed.argmin(axis=1)
+            hashed[rows, at[:, k]] = 0xFFFFFFFF
+        at.sort(axis=1)
+        key = np.arange(low + 1, low + len(odd) + 1, dtype=np.uint64)
+        for k in range(picked):
+            key = key * _ODD[3] + grams[at[:, k]]
+        keys[low : low + len(odd)] = key
     return mix(keys).view(np.int64)
 
 
@@ -188,38 +193,49 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id") -> DataFram
     """Verified links (a, b), a < b, between the nodes(id, n_words, keys)."""
     spark = docs.sparkSession
     members = nodes.select("id", "n_words", F.explode("keys").alias("key"))
-    tokens = None
-    found = spark.createDataFrame([], "leader long, id long, similarity double")
+    tokens, found, leading = None, None, 1
     while True:
-        leaders = (
-            members.groupBy("key")
-            .agg(F.min(F.struct("id", "n_words")).alias("first"), F.count("*").alias("size"))
-            .filter("size > 1")
-            .select("key", F.col("first.id").alias("leader"), F.col("first.n_words").alias("leader_words"))
-        )
-        met = store(
-            members.join(leaders, "key")
-            .filter(F.col("id") != F.col("leader"))
-            .groupBy("leader", "id", "leader_words", "n_words")
-            # a key that brings the two together, and whether more of them do
-            .agg(F.collect_set("key").alias("keys"))
-        )
+        if leading == 1:
+            leaders = members.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("size"))
+            leaders = leaders.filter("size > 1").select("key", "leader")
+        else:
+            place = Window.partitionBy("key").orderBy("id")
+            leaders = (
+                members.withColumn("place", F.row_number().over(place))
+                .filter(F.col("place") <= leading)
+                .select("key", F.col("id").alias("leader"))
+            )
+        met = store(members.join(leaders, "key").filter(F.col("id") > F.col("leader")))
         if not any_row(met):
-            return found.filter("similarity > 0").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+            break
+        # lengths too far apart cannot be similar, so only close ones are aligned
+        sizes = nodes.select(F.col("id").alias("leader"), F.col("n_words").alias("leader_words"))
         longer = F.greatest("n_words", "leader_words")
-        close = F.least("n_words", "leader_words") >= THRESHOLD * longer - 1e-9
-        pairs = met.filter(close).select("leader", "id")
+        pairs = store(
+            met.select("leader", "id", "n_words")
+            .distinct()
+            .join(sizes, "leader")
+            .filter(F.least("n_words", "leader_words") >= THRESHOLD * longer - 1e-9)
+            .select("leader", "id")
+        )
         if tokens is None:
             wanted = pairs.select(F.explode(F.array("leader", "id")).alias("id"))
             tokens = store(_tokens(docs, id_col, wanted).groupBy("id").agg(F.min("tokens").alias("tokens")))
+        elif any_row(new := pairs.select(F.explode(F.array("leader", "id")).alias("id")).distinct().join(tokens, "id", "left_anti")):
+            more = _tokens(docs, id_col, new).join(new, "id", "left_semi")
+            tokens = tokens.unionByName(store(more.groupBy("id").agg(F.min("tokens").alias("tokens"))))
         verdicts = store(_verify(pairs, tokens))
-        found = found.unionByName(verdicts)
+        found = verdicts if found is None else found.unionByName(verdicts)
         good = verdicts.filter("similarity > 0").select("leader", "id")
-        # members unlike their leader stay, without it
-        members = store(
-            met.join(good, ["leader", "id"], "left_anti")
-            .select("id", "n_words", F.explode("keys").alias("key"))
-        )
+        # who has led, or is like a leader, is done with this key; the others stay
+        done = met.join(good, ["leader", "id"], "left_semi").select("key", "id")
+        led = met.select("key", F.col("leader").alias("id"))
+        waiting = met.select("key", "id", "n_words").distinct()
+        members = store(waiting.join(done.unionByName(led).distinct(), ["key", "id"], "left_anti"))
+        leading *= GROWTH
+    if found is None:
+        found = spark.range(0).select(F.col("id").alias("leader"), "id", F.lit(0.0).alias("similarity"))
+    return found.filter("similarity > 0").select(F.col("leader").alias("a"), F.col("id").alias("b"))
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
