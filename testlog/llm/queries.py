@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testlog.llm import bpe, decontam, htmltext, licenses, linededup, neardup, quality, sharding, warc
+from testlog.llm import bpe, chat, decontam, htmltext, licenses, linededup, neardup, quality, sharding, warc
 from testlog.llm.catalog import query, table
 from testlog.operators.durable import session_folder
 
@@ -98,3 +98,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages")).select(
         "page_id", "url", "text", "n_chars", "n_blocks", "n_kept"
     )
+
+
+@query("op5_perspectives")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
