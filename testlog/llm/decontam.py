@@ -83,31 +83,36 @@ def _slots(seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def item_seeds(benchmark: DataFrame, item_col: str = "item_id") -> DataFrame:
-    """(item_id, n_words, words, seeds) of the items that are long enough."""
-    body = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    """(item_id, item_key, n_words, words, seeds) of the items that are long enough."""
+    body = benchmark.select(
+        F.col(item_col).cast("long").alias("item_id"),
+        F.col("text").cast("string").alias("text"),
+        F.xxhash64(F.col(item_col).cast("long"), F.col("text").cast("string")).alias("item_key"),
+    ).dropDuplicates(["item_key"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
+            for item, key, text in zip(*(batch.column(c).to_pylist() for c in ("item_id", "item_key", "text"))):
                 words, ends = word_hashes([text])
                 if len(words) >= MIN_WORDS:
                     place, seed = seeds(words, ends)
                     hits = [{"place": p, "seed": s} for p, s in zip(place.tolist(), seed.tolist())]
-                    rows.append((item, len(words), words.tobytes(), hits))
-            columns = list(zip(*rows)) if rows else [(), (), (), ()]
+                    rows.append((item, key, len(words), words.tobytes(), hits))
+            columns = list(zip(*rows)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(columns[0], pa.int64()),
                     pa.array(columns[1], pa.int64()),
-                    pa.array(columns[2], pa.binary()),
-                    pa.array(columns[3], pa.list_(pa.struct([("place", pa.int64()), ("seed", pa.int64())]))),
+                    pa.array(columns[2], pa.int64()),
+                    pa.array(columns[3], pa.binary()),
+                    pa.array(columns[4], pa.list_(pa.struct([("place", pa.int64()), ("seed", pa.int64())]))),
                 ],
-                names=["item_id", "n_words", "words", "seeds"],
+                names=["item_id", "item_key", "n_words", "words", "seeds"],
             )
 
     return body.mapInArrow(
-        run, "item_id long, n_words long, words binary, seeds array<struct<place:long,seed:long>>"
+        run, "item_id long, item_key long, n_words long, words binary, seeds array<struct<place:long,seed:long>>"
     )
 
 
@@ -182,7 +187,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per document and item that overlap: doc_id, item_id, row_key, first_word, n_words, share."""
     items = store(item_seeds(benchmark, item_col))
     low = F.lit(prefilter.BITS - 1).cast("long")
-    item_hits = items.select("item_id", F.explode("seeds").alias("at")).select("item_id", "at.place", "at.seed")
+    item_hits = items.select("item_key", F.explode("seeds").alias("at")).select("item_key", "at.place", "at.seed")
     both = item_hits.select(
         F.explode(F.array(F.col("seed").bitwiseAND(low), F.shiftright("seed", 32).bitwiseAND(low))).alias("slot")
     )
@@ -193,12 +198,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         found.select("passage", F.explode("hits").alias("hit"))
         .select("passage", F.col("hit.place").alias("text_place"), F.col("hit.seed").alias("seed"))
         .join(item_hits, "seed")
-        .select("passage", "item_id", (F.col("text_place") - F.col("place")).alias("shift"))
+        .select("passage", "item_key", (F.col("text_place") - F.col("place")).alias("shift"))
         .distinct()
     )
     sides = (
         laid.join(found.select("passage", "doc_id", "row_key", "first_word", "words").dropDuplicates(["passage"]), "passage")
-        .join(items.select("item_id", F.col("words").alias("item_words")), "item_id")
+        .join(items.select("item_key", "item_id", F.col("words").alias("item_words")), "item_key")
         .select("doc_id", "row_key", "item_id", "first_word", "shift", "words", "item_words")
     )
 
