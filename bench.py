@@ -13,6 +13,7 @@ import time
 from pyspark.sql import SparkSession
 
 from testlog.plans import catalog
+from testlog.session import SMALL_INPUTS
 
 HEADLINES = (
     "tap_flat_state",
@@ -40,6 +41,7 @@ def main() -> None:
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config(map=SMALL_INPUTS)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

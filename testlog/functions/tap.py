@@ -90,6 +90,12 @@ def line_kind(t: Column) -> Column:
     )
 
 
+def _ascii_upper(col: Column) -> Column:
+    """Upper case of the directives' letters only: other scripts have no say here."""
+    letters = "".join(sorted(set("".join(DIRECTIVES))))
+    return F.translate(col, letters.lower(), letters)
+
+
 def tap_tokens(lines: DataFrame) -> DataFrame:
     """``lines(run_id, line_no, line)`` -> one token row per line.
 
@@ -123,7 +129,7 @@ def tap_tokens(lines: DataFrame) -> DataFrame:
         "body", F.when(body.startswith("-"), ultrim(F.substring(body, 2, to_end))).otherwise(body)
     )
     # the first hash with white space on both sides starts a directive
-    token = F.when(F.contains(body, F.lit("#")), F.upper(F.regexp_extract(body, DIRECTIVE_PATTERN, 1)))
+    token = F.when(F.contains(body, F.lit("#")), _ascii_upper(F.regexp_extract(body, DIRECTIVE_PATTERN, 1)))
     point = point.withColumn("token", token).withColumn(
         "directive", F.when(F.col("token").isin(*DIRECTIVES), F.col("token"))
     )

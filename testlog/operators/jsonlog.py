@@ -235,9 +235,13 @@ def run_outline(lines: DataFrame) -> DataFrame:
     v = F.col("v")
     go, nextest = _go(v)["outcome"], _nextest(v)["outcome"]
     outcome = F.when(F.col("source") == "go", go).when(F.col("source") == "nextest", nextest)
-    rows = with_source(_text(lines).withColumn("v", json_value(F.col("text")))).select(
+    # blank lines count nothing, but a run of blank lines only has a row as well
+    text = lines.select("run_id", "line_no", utrim(F.col("line")).alias("text")).select("run_id", "line_no", "text")
+    told = F.col("text") != ""
+    rows = with_source(text.withColumn("v", F.when(told, json_value(F.col("text"))))).select(
         "run_id",
         "line_no",
+        told.alias("told"),
         v.isNotNull().alias("valid"),
         outcome.alias("outcome"),
         F.left("text", F.lit(1)).alias("head"),
@@ -256,10 +260,11 @@ def run_outline(lines: DataFrame) -> DataFrame:
         ],
         first(F.col("outcome").isNotNull()).alias("first_event"),
         first(F.col("valid")).alias("first_json"),
-        F.max(F.when(~F.col("valid"), n)).alias("last_noise"),
-        F.min(F.struct("line_no", "head")).alias("start"),
-        F.max(F.struct("line_no", "tail")).alias("end"),
+        F.max(F.when(~F.col("valid") & F.col("told"), n)).alias("last_noise"),
+        F.min(F.when(F.col("told"), F.struct("line_no", "head"))).alias("start"),
+        F.max(F.when(F.col("told"), F.struct("line_no", "tail"))).alias("end"),
         F.sum("bytes").alias("bytes"),
+        F.coalesce(F.bool_or("told"), F.lit(False)).alias("has_text"),
     )
     closed = F.concat("start.head", "end.tail").isin("{}", "[]")
     whole = F.col("first_json").isNull() & closed
@@ -272,8 +277,9 @@ def run_outline(lines: DataFrame) -> DataFrame:
         "first_event",
         "first_json",
         "last_noise",
-        (whole & (F.col("bytes") <= MAX_DOCUMENT_BYTES)).alias("maybe_document"),
-        (whole & (F.col("bytes") > MAX_DOCUMENT_BYTES)).alias("oversized"),
+        "has_text",
+        F.coalesce(whole & (F.col("bytes") <= MAX_DOCUMENT_BYTES), F.lit(False)).alias("maybe_document"),
+        F.coalesce(whole & (F.col("bytes") > MAX_DOCUMENT_BYTES), F.lit(False)).alias("oversized"),
     )
 
 
@@ -347,7 +353,7 @@ def json_run_state(lines: DataFrame, outline: DataFrame | None = None) -> DataFr
     )
     parsed = documents.select("run_id", F.lit(True).alias("parsed")).distinct()
     noisy = F.col("last_noise") > F.col("first_json")
-    unreadable = F.col("first_json").isNull() & F.col("parsed").isNull()
+    unreadable = F.col("has_text") & F.col("first_json").isNull() & F.col("parsed").isNull()
     base = (
         outline.join(last, "run_id", "left").join(single, "run_id", "left").join(parsed, "run_id", "left")
     )

@@ -1,208 +1,155 @@
-"""JUnit XML reports: test cases, report states and failures."""
+"""JUnit XML reports: test cases, report states and failures.
+
+Cases stand at any depth and below any element, in document order, which no fixed
+schema can hold; so each report is read by the standard library's XML parser in Arrow
+batches, report by report, and everything behind that is column expressions.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import xml.etree.ElementTree as ET
+from collections.abc import Iterable, Iterator
 
-from testlog.functions.text import utrim, with_first_line
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-# Nested test suites are unrolled to this depth; cases found deeper are counted
-# in ``cases_missed``.
-SUITE_DEPTH = 6
+from testlog.functions.text import WHITE_SPACE
 
-_NODE = "ARRAY<STRUCT<_VALUE:STRING,_message:STRING>>"
-_CASES = (
-    "testcase:ARRAY<STRUCT<_name:STRING,_classname:STRING,_file:STRING,"
-    f"skipped:{_NODE},failure:{_NODE},error:{_NODE}>>"
-)
 UNNAMED_CASE = "unnamed testcase"
 
-
-def _suite(depth: int) -> str:
-    inner = f",testsuite:ARRAY<{_suite(depth - 1)}>" if depth > 1 else ""
-    return f"STRUCT<_name:STRING,_file:STRING,{_CASES}{inner}>"
-
-
-def _schema() -> str:
-    suites = f"testsuite:ARRAY<{_suite(SUITE_DEPTH)}>"
-    return (
-        f"testsuites STRUCT<{suites},{_CASES}>, "
-        + suites.replace(":", " ", 1)
-        + ", "
-        + _CASES.replace(":", " ", 1)
-        + ", _corrupt_record STRING"
-    )
-
-
-XML_OPTIONS = {
-    "mode": "PERMISSIVE",
-    "columnNameOfCorruptRecord": "_corrupt_record",
-    "ignoreNamespace": "true",
-    "ignoreSurroundingSpaces": "false",
-}
+_CASE = pa.struct(
+    [(n, pa.string()) for n in ("status", "label", "suite", "test_file", "reason")]
+)
+_CASE_SQL = "STRUCT<status:STRING,label:STRING,suite:STRING,test_file:STRING,reason:STRING>"
+_COUNTS = ("total", "passed", "failed", "skipped")
+
+
+def _local(element: ET.Element) -> str:
+    return element.tag.rpartition("}")[2]
+
+
+def _first_line(text: str | None) -> str | None:
+    """First non-blank line, trimmed; null when there is none."""
+    for line in (text or "").split("\n"):
+        if line := line.strip(WHITE_SPACE):
+            return line
+    return None
+
+
+class _NoDoctype(ET.TreeBuilder):
+    """Builds the tree; a document type makes a report unreadable."""
+
+    def doctype(self, name: str, pubid: str | None, system: str | None) -> None:
+        raise ET.ParseError("document type")
+
+
+def _root(content: str | None) -> ET.Element | None:
+    """The report's root element, or null when the text is not well-formed."""
+    parser = ET.XMLParser(target=_NoDoctype())
+    try:
+        parser.feed((content or "").removeprefix("﻿"))
+        return parser.close()
+    except (ET.ParseError, UnicodeEncodeError):
+        return None
+
+
+def _case(case: ET.Element, suite: str | None, file: str | None) -> dict[str, str | None]:
+    kinds = [(_local(child), child) for child in case]
+    problem = next((child for kind, child in kinds if kind in ("failure", "error")), None)
+    if any(kind == "skipped" for kind, _ in kinds):
+        status, problem = "skipped", None
+    else:
+        status = "passed" if problem is None else "failed"
+    name = case.get("name", UNNAMED_CASE).strip(WHITE_SPACE)
+    group = case.get("classname", "").strip(WHITE_SPACE)
+    reason = None
+    if problem is not None:
+        reason = _first_line(problem.get("message")) or _first_line(problem.text)
+    return {
+        "status": status,
+        "label": "::".join(part for part in (group, name) if part) or UNNAMED_CASE,
+        "suite": suite,
+        "test_file": case.get("file", file),
+        "reason": reason,
+    }
+
+
+def _walk(root: ET.Element) -> Iterator[dict[str, str | None]]:
+    """Cases in document order; suite name and file come from the nearest suite with one."""
+    waiting: list[tuple[ET.Element, str | None, str | None]] = [(root, None, None)]
+    while waiting:
+        element, suite, file = waiting.pop()
+        kind = _local(element)
+        if kind == "testcase":
+            yield _case(element, suite, file)
+        elif kind == "testsuite":
+            suite, file = element.get("name", suite), element.get("file", file)
+        waiting.extend((child, suite, file) for child in reversed(element))
+
+
+def _read(reports: DataFrame, with_cases: bool) -> DataFrame:
+    """One row per report: malformed, counts by status and, if asked for, the cases."""
+    keys = reports.select("run_id", "path")
+    schema = ", ".join(
+        [f"{f.name} {f.dataType.simpleString()}" for f in keys.schema.fields]
+        + ["malformed boolean", *[f"{c} long" for c in _COUNTS], f"cases array<{_CASE_SQL}>"]
+    )
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            malformed, counts, listed = [], [], []
+            for content in batch.column("content").to_pylist():
+                root = _root(content)
+                cases = list(_walk(root)) if root is not None else []
+                statuses = [c["status"] for c in cases]
+                malformed.append(root is None)
+                counts.append([len(cases), *(statuses.count(s) for s in ("passed", "failed", "skipped"))])
+                listed.append(cases if with_cases else None)
+            columns = zip(*counts) if counts else [()] * len(_COUNTS)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("run_id"),
+                    batch.column("path"),
+                    pa.array(malformed, pa.bool_()),
+                    *[pa.array(c, pa.int64()) for c in columns],
+                    pa.array(listed, pa.list_(_CASE)),
+                ],
+                names=["run_id", "path", "malformed", *_COUNTS, "cases"],
+            )
+
+    return reports.select("run_id", "path", "content").mapInArrow(run, schema)
 
 
-def _parsed(reports: DataFrame) -> DataFrame:
-    """Reports with the parsed tree ``p`` and whether the text is XML at all.
+def junit_cases(reports: DataFrame) -> DataFrame:
+    """Every test case of well-formed reports: status, label and failure fields.
 
-    The tree is read below an added root, so that either root element fits one
-    schema.
+    ``case_no`` is the place in the document.
     """
-    body = F.col("body")
-    shaped = body.startswith("<") & body.endswith(">")
-    # With both kinds of problem present, one tag name keeps their order.
-    both = F.contains("content", F.lit("<failure")) & F.contains("content", F.lit("<error"))
-    one_tag = F.when(both, F.regexp_replace(body, r"<(/?)error(?=[\s/>])", "<$1failure")).otherwise(body)
-    tree = F.from_xml(F.concat(F.lit("<r>"), one_tag, F.lit("</r>")), _schema(), XML_OPTIONS)
-    bare = F.regexp_replace("content", r"(?s)\A[\uFEFF\s]*<\?xml.*?\?>", "")
-    return (
-        reports.withColumn("body", bare)
-        .withColumn("body", utrim(F.col("body")))
-        .withColumn("body", F.when(shaped, F.col("body")))
-        .withColumn("p", F.when(shaped, tree))
-        .withColumn("malformed", F.col("p").isNull() | F.col("p._corrupt_record").isNotNull())
-    )
-
-
-def _next_level(parents: str, source: str) -> str:
     return (
-        f"flatten(transform({parents}, p -> transform(coalesce(p.testsuite, array()), c -> "
-        f"named_struct('name', coalesce(c._name, p.name), 'file', coalesce(c._file, p.file), "
-        f"'testcase', c.testcase{source}))))"
-    )
-
-
-def _all_suites(df: DataFrame) -> DataFrame:
-    """Flatten nested suites; name and file come from the nearest suite that has them."""
-
-    def inner(depth: int) -> str:
-        return ", 'testsuite', c.testsuite" if depth > 1 else ""
-
-    def top(field: str) -> str:
-        return (
-            f"transform(coalesce({field}, array()), c -> named_struct('name', c._name, "
-            f"'file', c._file, 'testcase', c.testcase{inner(SUITE_DEPTH)}))"
-        )
-
-    df = df.withColumn("s0", F.expr(f"concat({top('p.testsuite')}, {top('p.testsuites.testsuite')})"))
-    levels = ["s0"]
-    for k in range(1, SUITE_DEPTH):
-        df = df.withColumn(f"s{k}", F.expr(_next_level(f"s{k - 1}", inner(SUITE_DEPTH - k))))
-        levels.append(f"s{k}")
-    bare = (
-        "array(named_struct('name', cast(null as string), 'file', cast(null as string), "
-        "'testcase', concat(coalesce(p.testcase, array()), coalesce(p.testsuites.testcase, array()))))"
-    )
-    same = [
-        f"transform({s}, x -> named_struct('name', x.name, 'file', x.file, 'testcase', x.testcase))"
-        for s in levels
-    ]
-    return df.withColumn("suites", F.expr(f"concat({bare}, {', '.join(same)})")).drop(*levels)
-
-
-def junit_cases(reports: DataFrame) -> DataFrame:
-    """Every test case of well-formed reports: status, label and failure fields."""
-    parsed = _parsed(reports)
-    flat = F.expr(
-        "if(malformed, null, flatten(transform(suites, s -> transform(coalesce(s.testcase, array()), c -> "
-        "named_struct('suite', s.name, 'suite_file', s.file, 'c', c)))))"
-    )
-    rows = (
-        _all_suites(parsed)
-        .select("run_id", "path", F.posexplode_outer(flat).alias("case_no", "x"))
-        .filter(F.col("case_no").isNotNull())
-        .select("run_id", "path", "case_no", "x.suite", "x.suite_file", "x.c")
-    )
-    problem = F.coalesce(F.col("c.failure")[0], F.col("c.error")[0])
-    has_problem = (F.size("c.failure") > 0) | (F.size("c.error") > 0)
-    status = (
-        F.when(F.size("c.skipped") > 0, F.lit("skipped"))
-        .when(has_problem, F.lit("failed"))
-        .otherwise(F.lit("passed"))
-    )
-    label = (
-        F.when((F.col("group") != "") & (F.col("case_name") != ""), F.concat_ws("::", "group", "case_name"))
-        .when(F.col("case_name") != "", F.col("case_name"))
-        .when(F.col("group") != "", F.col("group"))
-        .otherwise(F.lit(UNNAMED_CASE))
-    )
-    failed = F.col("status") == "failed"
-    rows = (
-        rows.withColumn("status", status)
-        .withColumn("problem", F.when(failed, problem))
-        .withColumn("message", F.col("problem._message"))
-        .withColumn("text", F.col("problem._VALUE"))
-        .withColumn("case_name", F.coalesce("c._name", F.lit(UNNAMED_CASE)))
-        .withColumn("group", F.coalesce("c._classname", F.lit("")))
-    )
-    rows = with_first_line(with_first_line(rows, "message"), "text")
-    reason = F.coalesce(F.nullif("message", F.lit("")), F.nullif("text", F.lit("")))
-    rows = rows.withColumn("case_name", utrim(F.col("case_name"))).withColumn(
-        "group", utrim(F.col("group"))
-    )
-    return rows.select(
-        "run_id",
-        "path",
-        "case_no",
-        "status",
-        label.alias("label"),
-        "suite",
-        F.coalesce("c._file", "suite_file").alias("test_file"),
-        reason.alias("reason"),
+        _read(reports, with_cases=True)
+        .select("run_id", "path", F.posexplode("cases").alias("case_no", "c"))
+        .select("run_id", "path", "case_no", "c.*")
     )
 
 
 def parse_junit(reports: DataFrame) -> DataFrame:
-    """One row per report: well-formed or not, and cases nested too deep to be listed."""
-    parsed = _parsed(reports)
-    listed = F.aggregate(
-        F.expr("transform(suites, s -> size(coalesce(s.testcase, array())))"),
-        F.lit(0),
-        lambda a, n: a + n,
-    )
-    rows = _all_suites(parsed).withColumn("listed", listed)
-    present = F.when(
-        ~F.col("malformed"),
-        F.xpath_int("body", F.lit("count(//*[local-name()='testcase'])")),
-    )
-    return rows.select(
-        "run_id",
-        "path",
-        "malformed",
-        F.greatest(F.coalesce(present - F.col("listed"), F.lit(0)), F.lit(0))
-        .cast("bigint")
-        .alias("cases_missed"),
-    )
-
-
-def _count(status: str) -> Column:
-    return F.count_if(F.col("status") == status)
+    """One row per report: is it well-formed, and how many cases it has."""
+    return _read(reports, with_cases=False).select("run_id", "path", "malformed", "total")
 
 
 def junit_report_state(reports: DataFrame) -> DataFrame:
     """State of each report; a malformed one is one parse warning and no cases."""
-    parsed = _parsed(reports)
-    suites = _all_suites(parsed)
-    cases = F.expr("flatten(transform(suites, s -> coalesce(s.testcase, array())))")
-    rows = suites.select("run_id", "path", "malformed", cases.alias("cs"))
-
-    def tally(cond: str) -> Column:
-        return F.size(F.expr(f"filter(cs, c -> {cond})")).cast("bigint")
-
-    skipped = "coalesce(size(c.skipped), 0) > 0"
-    problem = "(coalesce(size(c.failure), 0) > 0 or coalesce(size(c.error), 0) > 0)"
-    ok = ~F.col("malformed")
     zero = F.lit(0).cast("bigint")
-    return rows.select(
+    return _read(reports, with_cases=False).select(
         "run_id",
         "path",
         F.lit(None).cast("bigint").alias("planned"),
-        F.when(ok, F.size("cs").cast("bigint")).otherwise(zero).alias("total"),
-        F.when(ok, tally(f"not {skipped} and not {problem}")).otherwise(zero).alias("passed"),
-        F.when(ok, tally(f"not ({skipped}) and {problem}")).otherwise(zero).alias("failed"),
+        "total",
+        "passed",
+        "failed",
         zero.alias("todo"),
-        F.when(ok, tally(skipped)).otherwise(zero).alias("skipped"),
+        "skipped",
         F.lit(None).cast("string").alias("bailout_reason"),
         F.col("malformed").cast("bigint").alias("parse_warning_count"),
         zero.alias("protocol_failures"),

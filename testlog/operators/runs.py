@@ -305,13 +305,16 @@ def suppress_stale(
     return states.join(silent, "run_id", "left_anti")
 
 
+NO_REPORTS = "no_reports: only reports are asked for and there is none"
+
+
 def missing_reports(settings: DataFrame, reports: DataFrame) -> DataFrame:
     """Error rows of runs that only want reports but have none at all, fresh or stale."""
     return (
         settings.filter("junit_only")
         .select("run_id")
         .join(reports.select("run_id").distinct(), "run_id", "left_anti")
-        .withColumn("error", F.lit("junit-only requires at least one JUnit report input"))
+        .withColumn("error", F.lit(NO_REPORTS))
     )
 
 
@@ -346,17 +349,20 @@ def run_verdict(states: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """Success, plan mismatch and exit code of every run.
 
     With ``runs(run_id, exit_code)`` a child's nonzero code wins; a run listed
-    there without a code was ended by a signal and exits with 1.
+    there without a code was ended by a signal and exits with 1.  Where ``runs`` has a
+    ``command``, rows without one are piped logs: nothing was launched, so their own
+    result decides.
     """
     own = F.when(is_success(), 0).otherwise(1)
     if runs is None:
         code = own
     else:
-        child = runs.select("run_id", "exit_code", F.lit(True).alias("launched"))
+        launched = F.col("command").isNotNull() if "command" in runs.columns else F.lit(True)
+        child = runs.select("run_id", "exit_code", launched.alias("launched"))
         states = states.join(child, "run_id", "left")
         code = (
             F.when(F.col("launched") & F.col("exit_code").isNull(), 1)
-            .when(F.col("exit_code") != 0, F.col("exit_code"))
+            .when(F.col("launched") & (F.col("exit_code") != 0), F.col("exit_code"))
             .otherwise(own)
         )
     return states.select(

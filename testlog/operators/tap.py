@@ -15,13 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from testlog.functions.tap import KIND, PAYLOAD, UNNAMED_TEST, tap_tokens
+from testlog.functions.tap import KIND, PAYLOAD, SUBTEST_PREFIX, UNNAMED_TEST, tap_tokens
 from testlog.functions.text import MAX_UNSIGNED, to_bigint
 from testlog.operators import tap_rules as R
 from testlog.operators.durable import BLOCK_LINES, exceeds, materialize
 from testlog.schema import STATE_COLUMNS
 
-MAX_DEPTH = 4
 SLICE = 64  # lines folded before their results are appended to the block's
 
 _NO_PATH = "cast(array() as array<int>)"
@@ -308,10 +307,27 @@ def _effect_sql_full(depths: int) -> str:
     return f"aggregate(toks, named_struct('st', st, 'hd', hd), (a, t) -> {_landing_case(depths, branches)})"
 
 
+def nesting(lines: DataFrame) -> int:
+    """How deep subtests of any run can be nested.
+
+    A level needs a heading on the level above it, indented by four spaces per level, so
+    the levels are those reached by headings without a gap.  The driver gets one
+    number per indentation in use.
+    """
+    body = F.ltrim(F.col("line"))
+    spaces = F.char_length("line") - F.char_length(body)
+    headings = lines.filter(body.startswith(SUBTEST_PREFIX)).select((spaces / 4).cast("int").alias("level"))
+    levels = {r.level for r in headings.distinct().collect()}
+    depth = 0
+    while depth in levels:
+        depth += 1
+    return depth
+
+
 def tap_events(
     lines: DataFrame,
     strict: DataFrame | bool = False,
-    max_depth: int = MAX_DEPTH,
+    max_depth: int | None = None,
     block_lines: int = BLOCK_LINES,
     payload: tuple[str, ...] = PAYLOAD,
     long_runs: bool | None = None,
@@ -320,9 +336,10 @@ def tap_events(
 
     ``strict`` is a flag for all runs or a table ``(run_id, strict)``.
     ``long_runs`` says whether some run has more than ``block_lines`` lines;
-    leave it out to have that checked.
+    leave it out to have that checked.  ``max_depth`` bounds the nesting of subtests;
+    leave it out to follow them as deep as they go.
     """
-    depths = max_depth + 1
+    depths = (nesting(lines) if max_depth is None else max_depth) + 1
     tokens = _with_strict(tap_tokens(lines.select("run_id", "line_no", "line")), strict)
     if long_runs is None:
         long_runs = exceeds(lines, "line_no", block_lines)
@@ -594,7 +611,7 @@ def correlate_subtests(states: DataFrame) -> DataFrame:
 def tap_states(
     lines: DataFrame,
     strict: DataFrame | bool = False,
-    max_depth: int = MAX_DEPTH,
+    max_depth: int | None = None,
     block_lines: int = BLOCK_LINES,
 ) -> DataFrame:
     """State of every stream, subtests included, one row per (run_id, path)."""
@@ -606,7 +623,7 @@ def tap_states(
 def tap_run_state(
     lines: DataFrame,
     strict: DataFrame | bool = False,
-    max_depth: int = MAX_DEPTH,
+    max_depth: int | None = None,
     block_lines: int = BLOCK_LINES,
 ) -> DataFrame:
     """State of every TAP run: one row per run_id."""

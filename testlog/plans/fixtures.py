@@ -386,3 +386,28 @@ def junit_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         "modified",
         content.alias("content"),
     )
+
+
+def deep_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J2: one report per order; each case stands part key modulo 9 + 1 suites deep."""
+    rows = numbered_items(spark, sf_dir)
+    part = F.col("l_partkey")
+    depth = (part % 9).cast("int")
+    failure = F.when(
+        F.col("l_returnflag") == "R",
+        F.concat_ws("", F.lit("<failure><![CDATA[\n<error code="), part, F.lit("> raised]]></failure><error/>")),
+    )
+    case = F.concat_ws("", F.lit('<testcase name="part '), part, F.lit('">'), failure, F.lit("</testcase>"))
+    nested = F.concat(
+        F.repeat(F.lit("<testsuite><group>"), depth),
+        F.concat_ws("", F.lit('<testsuite name="suite '), depth, F.lit('">')),
+        case,
+        F.lit("</testsuite>"),
+        F.repeat(F.lit("</group></testsuite>"), depth),
+    )
+    body = F.transform(F.array_sort(F.collect_list(F.struct("rn", nested.alias("t")))), lambda x: x["t"])
+    return rows.groupBy("l_orderkey").agg(F.array_join(body, "\n").alias("body")).select(
+        F.col("l_orderkey").alias("run_id"),
+        F.concat_ws("", F.lit("TEST-"), "l_orderkey", F.lit(".xml")).alias("path"),
+        F.concat_ws("", F.lit("<report>"), "body", F.lit("</report>")).alias("content"),
+    )

@@ -298,7 +298,8 @@ def junit_cases(spark, sf_dir):
 @query(
     "junit_malformed_reports",
     """
-    SELECT l_orderkey AS run_id, l_orderkey % 17 = 0 AS malformed, CAST(0 AS BIGINT) AS cases_missed
+    SELECT l_orderkey AS run_id, l_orderkey % 17 = 0 AS malformed,
+           CASE WHEN l_orderkey % 17 = 0 THEN 0 ELSE count(*) END AS total
     FROM lineitem GROUP BY l_orderkey
     """,
 )
@@ -306,7 +307,33 @@ def junit_malformed_reports(spark, sf_dir):
     return junit.parse_junit(fixtures.junit_reports(spark, sf_dir)).drop("path")
 
 
-@query("pages_as_reports")
+@query(
+    "junit_deep_cases",
+    """
+    WITH n AS (
+      SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rn FROM lineitem)
+    SELECT l_orderkey AS run_id, CAST(rn - 1 AS INTEGER) AS case_no,
+           CASE WHEN l_returnflag = 'R' THEN 'failed' ELSE 'passed' END AS status,
+           'part ' || l_partkey AS label, 'suite ' || (l_partkey % 9) AS suite,
+           CASE WHEN l_returnflag = 'R' THEN '<error code=' || l_partkey || '> raised' END AS reason
+    FROM n
+    """,
+)
+def junit_deep_cases(spark, sf_dir):
+    """Cases one to nine suites deep, below foreign elements, in document order."""
+    cases = junit.junit_cases(fixtures.deep_reports(spark, sf_dir))
+    return cases.select("run_id", "case_no", "status", "label", "suite", "reason")
+
+
+@query(
+    "pages_as_reports",
+    f"""
+    SELECT page_id AS run_id, url AS path, {NO_PLAN}, CAST(0 AS BIGINT) AS total, CAST(0 AS BIGINT) AS passed,
+           CAST(0 AS BIGINT) AS failed, CAST(0 AS BIGINT) AS todo, CAST(0 AS BIGINT) AS skipped,
+           CAST(1 AS BIGINT) AS parse_warning_count, CAST(0 AS BIGINT) AS protocol_failures
+    FROM pages
+    """,
+)
 def pages_as_reports(spark, sf_dir):
     pages = fixtures.table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("run_id"),

@@ -491,7 +491,7 @@ def fleet_states(spark, sf_dir):
 @query(
     "fleet_errors",
     FLEET.split("SELECT run_id,\n       CAST(CASE WHEN logged")[0]
-    + "SELECT run_id, 'junit-only requires at least one JUnit report input' AS error "
+    + "SELECT run_id, 'no_reports: only reports are asked for and there is none' AS error "
     "FROM merged WHERE reports_only AND NOT offered",
 )
 def fleet_errors(spark, sf_dir):

@@ -7,14 +7,16 @@ from pyspark.sql import SparkSession
 SETTINGS = {
     # JIT compilers skip methods over 8000 bytes; split such expressions instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",
-    # Log text compresses well, so a small shuffle partition still means much work;
-    # keep such partitions apart instead of merging them into few tasks.
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     # A repeated key in a JSON object is legal; the last one counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
+# For small inputs only, set by whoever owns the session: log text compresses well, so a
+# small shuffle partition still means much work; keep such partitions apart.
+SMALL_INPUTS = {"spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB"}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         if spark.conf.get(key, None) != value:

@@ -40,7 +40,7 @@ def as_lines(spark, runs):
 
 def check(spark, runs, strict, block_lines):
     lines = as_lines(spark, runs)
-    states = tap_states(lines, strict=strict, block_lines=block_lines, max_depth=4)
+    states = tap_states(lines, strict=strict, block_lines=block_lines)
     got = {r.run_id: r for r in states.filter(F.size("path") == 0).collect()}
     for i, run in enumerate(runs):
         want, _ = tap(run, strict)
