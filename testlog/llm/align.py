@@ -8,6 +8,8 @@ after Myers and Hyyro).
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 
 
@@ -32,6 +34,9 @@ def banded_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
         return limit + 1
     if n == 0:
         return m
+    # a word without a partner costs an edit at least
+    if m - sum((Counter(a.tolist()) & Counter(b.tolist())).values()) > limit:
+        return limit + 1
     limit_here = min(limit, m)
     width = 2 * limit_here + 2
     mask = (1 << width) - 1

@@ -10,7 +10,7 @@ linked, and classes are the connected components over links.
 
 Scale: equal texts are one node.  Within a key, all members are compared with one
 leader (the least id); members that turn out unlike it go on to the next round with a
-more leaders, 4, 16, 64 and so on, until none is left; so a key of n members costs about
+more leaders, 8, 64, 512 and so on, until none is left; so a key of n members costs about
 n comparisons when they are alike, and no pair is dropped by a cap.  Leaders are found by
 pre-aggregated minima; keys never gather their members in one task.
 
@@ -39,11 +39,11 @@ from testlog.operators.durable import any_row, store
 
 SHINGLE = 5
 SKETCHES = 40
-PICKED = 3
+PICKED = 4
 THRESHOLD = 0.8
 SLICE_ROWS = 256  # documents hashed at once
 CELLS = 1 << 21  # hashes held at once
-GROWTH = 4  # leaders of a key grow by this factor from round to round
+GROWTH = 8  # leaders of a key grow by this factor from round to round
 
 _ODD = np.random.default_rng(20240817).integers(1, 1 << 63, SKETCHES + 8, dtype=np.uint64) | np.uint64(1)
 
