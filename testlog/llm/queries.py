@@ -8,14 +8,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testlog.llm import bpe, chat, decontam, htmltext, licenses, linededup, neardup, quality, sharding, warc
+from testlog.llm import (
+    bpe,
+    chat,
+    decontam,
+    htmltext,
+    licenses,
+    linededup,
+    neardup,
+    oracles,
+    quality,
+    sharding,
+    warc,
+)
 from testlog.llm.catalog import query, table
 from testlog.operators.durable import session_folder
 
 
-@query("op9_quality_divergence")
+@query("op9_quality_divergence", oracles.QUALITY_DIVERGENCE)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rows(table(spark, sf_dir, "documents"))
+    return quality.quality_rows(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
 def token_digests(docs: DataFrame) -> DataFrame:
@@ -40,7 +52,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
-@query("op1_line_templates")
+@query("op1_line_templates", oracles.LINE_TEMPLATES)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -54,10 +66,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op6_spaced_seeds")
+@query("op6_spaced_seeds", oracles.SPACED_SEEDS)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "item_id", "first_word", "n_words", "share")
+    return found.select("doc_id", "item_id", "n_words", "share")
 
 
 @query("op7_hypergeometric_shards")
@@ -79,12 +91,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op8_license_join")
+@query("op8_license_join", oracles.LICENSE_JOIN)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-@query("op4_warc_chains")
+@query("op4_warc_chains", oracles.WARC_CHAINS)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{session_folder(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -93,13 +105,16 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op10_block_rules")
+@query("op10_block_rules", oracles.BLOCK_RULES)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages")).select(
-        "page_id", "url", "text", "n_chars", "n_blocks", "n_kept"
+        "page_id", "url", "text", "n_chars", "n_kept"
     )
 
 
-@query("op5_perspectives")
+@query("op5_perspectives", oracles.PERSPECTIVES)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.rotate(table(spark, sf_dir, "conversations"))
+    views = chat.rotate(table(spark, sf_dir, "conversations"))
+    return views.withColumn(
+        "spans", F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    )
