@@ -192,34 +192,41 @@ def split_chains(rows: DataFrame) -> DataFrame:
 def entries(splits: DataFrame) -> DataFrame:
     """(path, split, entry): the first record of the true chain in each split that has one."""
     before = "PARTITION BY path ORDER BY split ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-    based = splits.withColumn("base", F.expr(f"coalesce(sum(length) OVER ({before}), 0L)"))
+    # paths are long and repeat; a hash of the path stands for the file
+    based = store(
+        splits.withColumn("base", F.expr(f"coalesce(sum(length) OVER ({before}), 0L)")).withColumn(
+            "file", F.xxhash64("path")
+        )
+    )
     nodes = store(
-        based.select("path", "split", "base", F.explode("chains").alias("c")).select(
-            "path", "split", "base", (F.col("base") + F.col("c.at")).alias("node"),
+        based.select("file", "base", "split", F.explode("chains").alias("c")).select(
+            "file", "split", (F.col("base") + F.col("c.at")).alias("node"),
             (F.col("base") + F.col("c.exit")).alias("next"),
         )
     )
-    jumps = nodes.select("path", "node", "next")
+    jumps = nodes.select("file", "node", "next")
     # the chain starts at the first record, which stands at the start of the file
-    reached = nodes.filter("node = 0").select("path", "node")
+    reached = nodes.filter("node = 0").select("file", "node")
     while True:
-        hop = reached.join(jumps, ["path", "node"]).select("path", F.col("next").alias("node"))
+        hop = reached.join(jumps, ["file", "node"]).select("file", F.col("next").alias("node"))
         new = store(
-            hop.join(nodes.select("path", "node"), ["path", "node"], "left_semi")
+            hop.join(nodes.select("file", "node"), ["file", "node"], "left_semi")
             .distinct()
-            .join(reached, ["path", "node"], "left_anti")
+            .join(reached, ["file", "node"], "left_anti")
         )
         if not any_row(new):
             break
         reached = store(reached.unionByName(new))
-        further = jumps.select("path", F.col("node").alias("next"), F.col("next").alias("beyond"))
+        further = jumps.select("file", F.col("node").alias("next"), F.col("next").alias("beyond"))
         jumps = store(
-            jumps.join(further, ["path", "next"], "left").select(
-                "path", "node", F.coalesce("beyond", "next").alias("next")
+            jumps.join(further, ["file", "next"], "left").select(
+                "file", "node", F.coalesce("beyond", "next").alias("next")
             )
         )
-    found = reached.join(nodes, ["path", "node"]).groupBy("path", "split", "base").agg(F.min("node").alias("node"))
-    return found.select("path", "split", "base", (F.col("node") - F.col("base")).alias("entry"))
+    found = reached.join(nodes, ["file", "node"]).groupBy("file", "split").agg(F.min("node").alias("node"))
+    return found.join(based.select("file", "split", "path", "base"), ["file", "split"]).select(
+        "path", "split", "base", (F.col("node") - F.col("base")).alias("entry")
+    )
 
 
 SCHEMA = (
