@@ -411,3 +411,28 @@ def deep_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("", F.lit("TEST-"), "l_orderkey", F.lit(".xml")).alias("path"),
         F.concat_ws("", F.lit("<report>"), "body", F.lit("</report>")).alias("content"),
     )
+
+
+def deep_tap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T9: one run per customer, with subtests nested customer key modulo 8 deep.
+
+    The innermost stream fails for a negative balance; the points above it agree,
+    except that every third customer's claim success throughout.
+    """
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("run_id"),
+        (F.col("c_custkey") % 8).cast("int").alias("depth"),
+        F.when(F.col("c_acctbal") < 0, F.lit("not ok")).otherwise(F.lit("ok")).alias("inner"),
+        (F.col("c_custkey") % 3 == 0).alias("boast"),
+    )
+    lines = F.expr(
+        "concat(array('TAP version 14'), "
+        "transform(sequence(0, 7), k -> IF(k < depth, concat(repeat('    ', k), '# Subtest: level ', k), NULL)), "
+        "array(concat(repeat('    ', depth), inner, ' 1 - innermost'), concat(repeat('    ', depth), '1..1')), "
+        "flatten(transform(sequence(7, 0), k -> IF(k < depth, array("
+        "concat(repeat('    ', k), IF(boast, 'ok', inner), ' 1 - level ', k), concat(repeat('    ', k), '1..1')), "
+        "array()))))"
+    )
+    return rows.select("run_id", F.posexplode(F.array_compact(lines)).alias("at", "line")).select(
+        "run_id", (F.col("at") + 1).alias("line_no"), "line"
+    )

@@ -309,14 +309,13 @@ def junit_malformed_reports(spark, sf_dir):
 
 @query(
     "junit_deep_cases",
-    """
-    WITH n AS (
-      SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rn FROM lineitem)
+    f"""
+    WITH {NUMBERED}
     SELECT l_orderkey AS run_id, CAST(rn - 1 AS INTEGER) AS case_no,
            CASE WHEN l_returnflag = 'R' THEN 'failed' ELSE 'passed' END AS status,
            'part ' || l_partkey AS label, 'suite ' || (l_partkey % 9) AS suite,
            CASE WHEN l_returnflag = 'R' THEN '<error code=' || l_partkey || '> raised' END AS reason
-    FROM n
+    FROM items
     """,
 )
 def junit_deep_cases(spark, sf_dir):

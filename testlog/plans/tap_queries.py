@@ -249,3 +249,22 @@ def tap_filled_ids(spark, sf_dir):
 def tap_failures(spark, sf_dir):
     events = tap.tap_events(materialize(fixtures.flat_tap(spark, sf_dir)))
     return tap.tap_failures(events).select("run_id", "line_no", "source", "label", "reason")
+
+
+@query(
+    "tap_deep_subtests",
+    f"""
+    WITH c AS (
+      SELECT c_custkey AS run_id, c_custkey % 8 AS depth, c_acctbal < 0 AS bad,
+             c_acctbal < 0 AND (c_custkey % 3 <> 0 OR c_custkey % 8 = 0) AS shown_bad
+      FROM customer)
+    SELECT run_id, CAST(1 AS BIGINT) AS planned, CAST(1 AS BIGINT) AS total,
+           CAST(NOT shown_bad AS BIGINT) AS passed, CAST(shown_bad AS BIGINT) AS failed, CAST(0 AS BIGINT) AS todo,
+           CAST(0 AS BIGINT) AS skipped, {NO_TEXT}, CAST(0 AS BIGINT) AS parse_warning_count,
+           CAST(CASE WHEN bad AND NOT shown_bad THEN depth ELSE 0 END AS BIGINT) AS protocol_failures
+    FROM c
+    """,
+)
+def tap_deep_subtests(spark, sf_dir):
+    """Every level whose point contradicts its subtest adds one violation to those below."""
+    return tap.tap_run_state(materialize(fixtures.deep_tap(spark, sf_dir)))
