@@ -60,29 +60,34 @@ def dedup_failures(
     """Keep the first failure of each key per run.
 
     Only the first ``remembered`` distinct keys of a run are known as repeats.
-    Keys are first reduced to one row each (partial aggregation, so neither a
-    run nor a key with a third of all rows ends up in one task); the ranking of
-    keys then only concerns runs that have more keys than are remembered.
+    Keys are first reduced to one row each by a partial aggregate, so neither a run
+    nor a key with a third of all rows ends up in one task.  That settles every run
+    with no more keys than are remembered.  In other runs the failures behind the last
+    remembered key are read again, and those of no remembered key are kept as well.
     """
     pos = F.struct(*position)
-    keyed = failures.withColumn("key", dedup_key()).withColumn("pos", pos)
-    firsts = keyed.groupBy("run_id", "key").agg(F.min("pos").alias("first_pos"))
+    rest = F.struct(*failures.columns)
+    keyed = failures.select("run_id", dedup_key().alias("key"), pos.alias("pos"), rest.alias("row"))
+    firsts = keyed.groupBy("run_id", "key").agg(F.min("pos").alias("first_pos"), F.min_by("row", "pos").alias("row"))
     crowded = (
         firsts.groupBy("run_id").agg(F.count(F.lit(1)).alias("keys")).filter(F.col("keys") > remembered)
     )
-    # In crowded runs: position of the last remembered key.
-    edge = (
+    known = (
         firsts.join(crowded.select("run_id"), "run_id", "left_semi")
-        .withColumn(
-            "rank", F.row_number().over(W.partitionBy("run_id").orderBy("first_pos"))
-        )
+        .withColumn("rank", F.row_number().over(W.partitionBy("run_id").orderBy("first_pos")))
         .filter(F.col("rank") <= remembered)
-        .groupBy("run_id")
-        .agg(F.max("first_pos").alias("edge"))
+        .select("run_id", "key", "first_pos")
+    )
+    edge = known.groupBy("run_id").agg(F.max("first_pos").alias("edge"))
+    settled = firsts.join(edge, "run_id", "left").filter(
+        F.col("edge").isNull() | (F.col("first_pos") <= F.col("edge"))
+    )
+    later = (
+        keyed.join(edge, "run_id")
+        .filter(F.col("pos") > F.col("edge"))
+        .join(known.select("run_id", "key"), ["run_id", "key"], "left_anti")
     )
-    known = keyed.join(firsts, ["run_id", "key"]).join(edge, "run_id", "left")
-    keep = (F.col("pos") == F.col("first_pos")) | (F.col("first_pos") > F.col("edge"))
-    return known.filter(F.coalesce(keep, F.lit(False))).select(failures.columns)
+    return settled.select("row.*").unionByName(later.select("row.*"))
 
 
 def cap_failures(

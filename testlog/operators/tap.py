@@ -391,9 +391,9 @@ def _points_only(events: DataFrame) -> DataFrame:
     return events.filter(F.col("role").isin(R.ROLE["point"], R.ROLE["resolving_point"]))
 
 
-def tap_points(events: DataFrame) -> DataFrame:
-    """Test points with their ids, missing ids filled in."""
-    return _points_only(fill_ids(events)).select(
+def tap_points(events: DataFrame, block_lines: int | None = BLOCK_LINES) -> DataFrame:
+    """Test points with their ids, missing ids filled in, a block of lines at a time."""
+    return _points_only(fill_ids(events, block_lines)).select(
         "run_id", "path", "line_no", "ok", "raw_id", "id", "description", "directive"
     )
 
