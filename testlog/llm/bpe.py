@@ -22,6 +22,7 @@ import base64
 import heapq
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ STATES = 8
 SHORT_ENDINGS = "stmd"
 LONG_ENDINGS = ("re", "ve", "ll")
 
-WINDOW = 1 << 20  # characters scanned at once
+WINDOW = 1 << 19  # characters scanned at once
 STRETCH = 512  # characters of one composed function
 CACHE_SLICES = 300_000
 LONG_SLICE = 64  # bytes from which a slice is merged by a heap
@@ -172,22 +173,28 @@ class Merger:
         self.lengths = lengths
         self.token_starts = np.cumsum(lengths) - lengths
         self.blob = np.frombuffer(b"".join(self.tokens), np.uint8)
-        pairs = {}
+        self.cache: dict[str, bytes] = {}
+
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted pairs of tokens whose bytes together are a token, and that token; only encoding asks."""
+        ranks, size = self.ranks, self.size
+        found = {}
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    pairs[left * size + right] = rank
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.values = np.array([pairs[k] for k in self.keys.tolist()] + [size], np.int64)
-        self.cache: dict[str, bytes] = {}
+                    found[left * size + right] = rank
+        keys = np.array(sorted(found), np.int64)
+        return keys, np.array([found[k] for k in keys.tolist()], np.int64)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, or ``size`` where the pair is no token."""
+        keys, values = self.pairs
         key = left * self.size + right
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == key, self.values[at], self.size)
+        at = np.searchsorted(keys, key)
+        at[at == len(keys)] = 0
+        return np.where(keys[at] == key, values[at], self.size)
 
     def _merge_long(self, piece: bytes) -> bytes:
         """One long slice: the best pair from a heap, the leftmost of equals first."""
