@@ -1,7 +1,7 @@
 """Connected components of a table of links by minimum labels and pointer jumping.
 
-Each round gives a node the least label among itself and its neighbours, then the
-label of that label.  Rounds are written tables; links and labels never leave the
+Each round gives a node the least among its label, its neighbours' labels, and the label
+of its label.  Rounds are written tables; links and labels never leave the
 executors.  A node with very many links is aggregated map-side, and its joins are
 left to Spark's splitting of skewed partitions.
 """
@@ -27,17 +27,16 @@ def components(links: DataFrame) -> DataFrame:
             .groupBy("node")
             .agg(F.min("near").alias("near"))
         )
-        nearer = store(
-            labels.join(offered, "node", "left").select(
-                "node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label")
+        further = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        new = store(
+            labels.join(offered, "node", "left")
+            .join(further, "label", "left")
+            .select(
+                "node",
+                F.col("label").alias("old"),
+                F.least("label", F.coalesce("near", "label"), F.coalesce("further", "label")).alias("label"),
             )
         )
-        jump = nearer.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        jumped = store(
-            nearer.join(jump, "label", "left").select(
-                "node", "old", F.least("label", F.coalesce("further", "label")).alias("label")
-            )
-        )
-        labels = jumped.select("node", "label")
-        if not any_row(jumped.filter(F.col("old") != F.col("label"))):
+        labels = new.select("node", "label")
+        if not any_row(new.filter(F.col("old") != F.col("label"))):
             return labels

@@ -211,7 +211,7 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id") -> DataFram
         # lengths too far apart cannot be similar, so only close ones are aligned
         sizes = nodes.select(F.col("id").alias("leader"), F.col("n_words").alias("leader_words"))
         longer = F.greatest("n_words", "leader_words")
-        pairs = store(
+        pairs = (
             met.select("leader", "id", "n_words")
             .distinct()
             .join(sizes, "leader")
@@ -219,11 +219,9 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id") -> DataFram
             .select("leader", "id")
         )
         if tokens is None:
-            wanted = pairs.select(F.explode(F.array("leader", "id")).alias("id"))
+            # whoever meets in a later round has met in this one
+            wanted = met.select(F.explode(F.array("leader", "id")).alias("id"))
             tokens = store(_tokens(docs, id_col, wanted).groupBy("id").agg(F.min("tokens").alias("tokens")))
-        elif any_row(new := pairs.select(F.explode(F.array("leader", "id")).alias("id")).distinct().join(tokens, "id", "left_anti")):
-            more = _tokens(docs, id_col, new).join(new, "id", "left_semi")
-            tokens = tokens.unionByName(store(more.groupBy("id").agg(F.min("tokens").alias("tokens"))))
         verdicts = store(_verify(pairs, tokens))
         found = verdicts if found is None else found.unionByName(verdicts)
         good = verdicts.filter("similarity > 0").select("leader", "id")
