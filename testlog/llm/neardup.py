@@ -11,7 +11,8 @@ linked, and classes are the connected components over links.
 Scale: equal texts are one node.  Within a key, all members are compared with one
 leader (the least id); members that turn out unlike it go on to the next round with a
 more leaders, 8, 64, 512 and so on, until none is left; so a key of n members costs about
-n comparisons when they are alike, and no pair is dropped by a cap.  Leaders are found by
+n comparisons when they are alike, and no pair is dropped by a cap.  From the second
+round on one member leads for each component, another one in each key.  Leaders are found by
 pre-aggregated minima; keys never gather their members in one task.
 
 Defined results: a null text counts as empty; texts with equal words in equal order
@@ -189,25 +190,44 @@ def _verify(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     )
 
 
-def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Verified links (a, b), a < b, between the nodes(id, n_words, keys)."""
+def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b), a < b, between the nodes(id, n_words, keys), and the labels
+    (node, label) of their components.
+
+    From the second round on, components are compared rather than documents: a link within
+    one would not change the classes.
+    """
     spark = docs.sparkSession
     members = nodes.select("id", "n_words", F.explode("keys").alias("key"))
-    tokens, found, leading = None, None, 1
+    none = spark.range(0)
+    found = none.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    labels = none.select(F.col("id").alias("node"), F.col("id").alias("label"))
+    tokens, leading = None, 1
     while True:
         if leading == 1:
             leaders = members.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("size"))
             leaders = leaders.filter("size > 1").select("key", "leader")
+            met = members.join(leaders, "key").filter(F.col("id") > F.col("leader"))
+            met = store(met.select("key", "id", "n_words", "leader"))
         else:
-            place = Window.partitionBy("key").orderBy("id")
-            leaders = (
-                members.withColumn("place", F.row_number().over(place))
-                .filter(F.col("place") <= leading)
-                .select("key", F.col("id").alias("leader"))
+            # one leader for each of the largest components of a key; its members are done with the
+            # key, the members of smaller components are compared with the leaders of larger ones
+            order = Window.partitionBy("key").orderBy(F.desc("size"), "label")
+            heads = members.groupBy("key", "label", "size").agg(
+                F.min_by("id", F.xxhash64("key", "id")).alias("leader")  # another one in each key
+            )
+            heads = heads.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= leading)
+            places = heads.select("key", "label", F.col("place").alias("my_place"))
+            m = members.join(places, ["key", "label"], "left").alias("m")
+            n = heads.select("key", "leader", "place").alias("n")
+            behind = F.coalesce(F.col("m.my_place"), F.lit(leading + 1)) > F.col("n.place")
+            met = store(
+                m.join(n, (F.col("m.key") == F.col("n.key")) & behind).select(
+                    "m.key", "id", "n_words", "leader", F.col("my_place").isNotNull().alias("led")
+                )
             )
-        met = store(members.join(leaders, "key").filter(F.col("id") > F.col("leader")))
         if not any_row(met):
-            break
+            return found, labels
         # lengths too far apart cannot be similar, so only close ones are aligned
         sizes = nodes.select(F.col("id").alias("leader"), F.col("n_words").alias("leader_words"))
         longer = F.greatest("n_words", "leader_words")
@@ -222,18 +242,25 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id") -> DataFram
             # whoever meets in a later round has met in this one
             wanted = met.select(F.explode(F.array("leader", "id")).alias("id"))
             tokens = store(_tokens(docs, id_col, wanted).groupBy("id").agg(F.min("tokens").alias("tokens")))
-        verdicts = store(_verify(pairs, tokens))
-        found = verdicts if found is None else found.unionByName(verdicts)
-        good = verdicts.filter("similarity > 0").select("leader", "id")
-        # who has led, or is like a leader, is done with this key; the others stay
-        done = met.join(good, ["leader", "id"], "left_semi").select("key", "id")
-        led = met.select("key", F.col("leader").alias("id"))
-        waiting = met.select("key", "id", "n_words").distinct()
-        members = store(waiting.join(done.unionByName(led).distinct(), ["key", "id"], "left_anti"))
+        verdicts = store(_verify(pairs, tokens).filter("similarity > 0"))
+        found = found.unionByName(verdicts.select(F.col("leader").alias("a"), F.col("id").alias("b")))
+        labels = components(found)
+        # who is in the class of a leader, or has led, is done with this key; the others stay
+        mine = labels.select(F.col("node").alias("id"), F.col("label").alias("my_label"))
+        theirs = labels.select(F.col("node").alias("leader"), F.col("label").alias("their_label"))
+        sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+        left = met if "led" not in met.columns else met.filter(~F.col("led"))
+        members = store(
+            left.join(mine, "id", "left")
+            .join(theirs, "leader", "left")
+            .withColumn("label", F.coalesce("my_label", "id"))
+            .groupBy("key", "id", "n_words", "label")
+            .agg(F.max((F.col("label") == F.coalesce("their_label", "leader")).cast("int")).alias("joined"))
+            .filter("joined = 0")
+            .join(sizes, "label", "left")
+            .select("key", "id", "n_words", "label", F.coalesce("size", F.lit(1)).alias("size"))
+        )
         leading *= GROWTH
-    if found is None:
-        found = spark.range(0).select(F.col("id").alias("leader"), "id", F.lit(0.0).alias("similarity"))
-    return found.filter("similarity > 0").select(F.col("leader").alias("a"), F.col("id").alias("b"))
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -245,8 +272,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id") -> DataFrame
         )
     )
     nodes = texts.filter(F.col("node").isNotNull()).select(F.col("node").alias("id"), "n_words", "keys")
-    found = store(links(docs, nodes, id_col))
-    labels = components(found)
+    found, labels = links(docs, nodes, id_col)
     degrees = (
         found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     )
