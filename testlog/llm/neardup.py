@@ -8,12 +8,14 @@ shared *and* stand in the same order.  Documents that share a key are compared b
 banded word alignment; those of similarity 0.8 or more (1 - edits / longer length) are
 linked, and classes are the connected components over links.
 
-Scale: equal texts are one node.  Within a key, all members are compared with one
-leader (the least id); members that turn out unlike it go on to the next round with a
-more leaders, 8, 64, 512 and so on, until none is left; so a key of n members costs about
-n comparisons when they are alike, and no pair is dropped by a cap.  From the second
-round on one member leads for each component, another one in each key.  Leaders are found by
-pre-aggregated minima; keys never gather their members in one task.
+Scale: equal texts are one node.  Within a key, all members are first compared with one
+leader (the least id), which settles families of like texts with n comparisons for n
+members.  Then every two other members that are still in different components are compared,
+in blocks of pairs that grow, so that components merge before most pairs come up.  A pair
+that shares a key is thus either aligned or in one component already, unless the lengths
+rule it out; none is dropped by a cap.  Leaders are found by pre-aggregated minima; keys
+never gather their members in one task.  ``n_links`` counts the links found this way: they
+connect a class, links between members of one component are not looked for.
 
 Defined results: a null text counts as empty; texts with equal words in equal order
 and equal spelling but for case and spacing have equal keys; a text of fewer than
@@ -30,7 +32,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from testlog.llm import prefilter
@@ -44,7 +46,8 @@ PICKED = 4
 THRESHOLD = 0.8
 SLICE_ROWS = 256  # documents hashed at once
 CELLS = 1 << 21  # hashes held at once
-GROWTH = 8  # leaders of a key grow by this factor from round to round
+SPOTS = 512  # pairs are dealt over so many spots by their ids
+BLOCKS = (0, 8, 64, SPOTS)  # spots at which a block of pairs ends
 
 _ODD = np.random.default_rng(20240817).integers(1, 1 << 63, SKETCHES + 8, dtype=np.uint64) | np.uint64(1)
 
@@ -190,77 +193,87 @@ def _verify(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     )
 
 
+def _open_pairs(members: DataFrame, labels: DataFrame, low: int, high: int) -> DataFrame:
+    """Pairs (leader, id) of one block that share a key of ``members(key, id, n_words)`` and are
+    not in one component.
+
+    In a key, members outside its largest component look for partners: all of the
+    largest component, and those of smaller id among themselves.  The spot of a pair does not
+    depend on the order of its two ids, so each pair is in one block.
+    """
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    known = labels.join(sizes, "label").select(F.col("node").alias("id"), "label", "size")
+    labelled = members.join(known, "id", "left").select(
+        "key",
+        "id",
+        "n_words",
+        F.pmod(F.xxhash64("id"), F.lit(SPOTS)).alias("spot"),
+        F.coalesce("label", "id").alias("label"),
+        F.coalesce("size", F.lit(1)).alias("size"),
+    )
+    tops = labelled.groupBy("key").agg(
+        F.max(F.struct("size", "label")).alias("top"), F.min("label").alias("low"), F.max("label").alias("high")
+    )
+    tops = tops.filter("low < high").select("key", F.col("top.label").alias("top"))
+    members = store(
+        labelled.join(tops, "key").select("key", "id", "n_words", "spot", "label", (F.col("label") == F.col("top")).alias("in_top"))
+    )
+    s, p = members.filter("not in_top").alias("s"), members.alias("p")
+    spot = F.pmod(F.col("s.spot") + F.col("p.spot"), F.lit(SPOTS))
+    # lengths too far apart cannot be similar, so only close ones are aligned
+    close = F.least("s.n_words", "p.n_words") >= THRESHOLD * F.greatest("s.n_words", "p.n_words") - 1e-9
+    meet = (
+        (F.col("s.key") == F.col("p.key"))
+        & (F.col("s.label") != F.col("p.label"))
+        & (F.col("p.in_top") | (F.col("p.id") < F.col("s.id")))
+        & (spot >= low)
+        & (spot < high)
+        & close
+    )
+    return s.join(p, meet).select(F.least("s.id", "p.id").alias("leader"), F.greatest("s.id", "p.id").alias("id")).distinct()
+
+
 def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b), a < b, between the nodes(id, n_words, keys), and the labels
     (node, label) of their components.
 
-    From the second round on, components are compared rather than documents: a link within
-    one would not change the classes.
+    Any two nodes that share a key and have similarity ``THRESHOLD`` or more are in one
+    component; a link within a component would not change the classes and is not looked for.
     """
     spark = docs.sparkSession
     members = nodes.select("id", "n_words", F.explode("keys").alias("key"))
-    none = spark.range(0)
-    found = none.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    labels = none.select(F.col("id").alias("node"), F.col("id").alias("label"))
-    tokens, leading = None, 1
-    while True:
-        if leading == 1:
-            leaders = members.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("size"))
-            leaders = leaders.filter("size > 1").select("key", "leader")
-            met = members.join(leaders, "key").filter(F.col("id") > F.col("leader"))
-            met = store(met.select("key", "id", "n_words", "leader"))
-        else:
-            # one leader for each of the largest components of a key; its members are done with the
-            # key, the members of smaller components are compared with the leaders of larger ones
-            order = Window.partitionBy("key").orderBy(F.desc("size"), "label")
-            heads = members.groupBy("key", "label", "size").agg(
-                F.min_by("id", F.xxhash64("key", "id")).alias("leader")  # another one in each key
-            )
-            heads = heads.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= leading)
-            places = heads.select("key", "label", F.col("place").alias("my_place"))
-            m = members.join(places, ["key", "label"], "left").alias("m")
-            n = heads.select("key", "leader", "place").alias("n")
-            behind = F.coalesce(F.col("m.my_place"), F.lit(leading + 1)) > F.col("n.place")
-            met = store(
-                m.join(n, (F.col("m.key") == F.col("n.key")) & behind).select(
-                    "m.key", "id", "n_words", "leader", F.col("my_place").isNotNull().alias("led")
-                )
-            )
-        if not any_row(met):
-            return found, labels
-        # lengths too far apart cannot be similar, so only close ones are aligned
-        sizes = nodes.select(F.col("id").alias("leader"), F.col("n_words").alias("leader_words"))
-        longer = F.greatest("n_words", "leader_words")
-        pairs = (
-            met.select("leader", "id", "n_words")
-            .distinct()
-            .join(sizes, "leader")
-            .filter(F.least("n_words", "leader_words") >= THRESHOLD * longer - 1e-9)
-            .select("leader", "id")
-        )
-        if tokens is None:
-            # whoever meets in a later round has met in this one
-            wanted = met.select(F.explode(F.array("leader", "id")).alias("id"))
-            tokens = store(_tokens(docs, id_col, wanted).groupBy("id").agg(F.min("tokens").alias("tokens")))
-        verdicts = store(_verify(pairs, tokens).filter("similarity > 0"))
-        found = found.unionByName(verdicts.select(F.col("leader").alias("a"), F.col("id").alias("b")))
-        labels = components(found)
-        # who is in the class of a leader, or has led, is done with this key; the others stay
-        mine = labels.select(F.col("node").alias("id"), F.col("label").alias("my_label"))
-        theirs = labels.select(F.col("node").alias("leader"), F.col("label").alias("their_label"))
-        sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
-        left = met if "led" not in met.columns else met.filter(~F.col("led"))
-        members = store(
-            left.join(mine, "id", "left")
-            .join(theirs, "leader", "left")
-            .withColumn("label", F.coalesce("my_label", "id"))
-            .groupBy("key", "id", "n_words", "label")
-            .agg(F.max((F.col("label") == F.coalesce("their_label", "leader")).cast("int")).alias("joined"))
-            .filter("joined = 0")
-            .join(sizes, "label", "left")
-            .select("key", "id", "n_words", "label", F.coalesce("size", F.lit(1)).alias("size"))
+    leaders = members.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("size"))
+    leaders = leaders.filter("size > 1").select("key", "leader")
+    met = members.join(leaders, "key").filter(F.col("id") > F.col("leader"))
+    met = store(met.select("key", "id", "n_words", "leader"))
+    if not any_row(met):
+        none = spark.range(0)
+        return none.select(F.col("id").alias("a"), F.col("id").alias("b")), none.select(
+            F.col("id").alias("node"), F.col("id").alias("label")
         )
-        leading *= GROWTH
+    sizes = nodes.select(F.col("id").alias("leader"), F.col("n_words").alias("leader_words"))
+    longer = F.greatest("n_words", "leader_words")
+    pairs = (
+        met.select("leader", "id", "n_words")
+        .distinct()
+        .join(sizes, "leader")
+        .filter(F.least("n_words", "leader_words") >= THRESHOLD * longer - 1e-9)
+        .select("leader", "id")
+    )
+    # whoever meets in a later block has met a leader
+    wanted = met.select(F.explode(F.array("leader", "id")).alias("id"))
+    tokens = store(_tokens(docs, id_col, wanted).groupBy("id").agg(F.min("tokens").alias("tokens")))
+    ends = [F.col("leader").alias("a"), F.col("id").alias("b")]
+    found = store(_verify(pairs, tokens).filter("similarity > 0")).select(*ends)
+    labels = components(found)
+    # a leader has been compared with the whole key, so it is done there
+    others = met.select("key", "id", "n_words")
+    for low, high in zip(BLOCKS, BLOCKS[1:]):
+        verdicts = store(_verify(_open_pairs(others, labels, low, high), tokens).filter("similarity > 0"))
+        if any_row(verdicts):
+            found = found.unionByName(verdicts.select(*ends))
+            labels = components(found)
+    return found, labels
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

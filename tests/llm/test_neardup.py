@@ -89,6 +89,43 @@ def test_classes_match_all_pairs(spark):
     assert got == brute(texts)
 
 
+def chained_family(size):
+    """Variants of variants of one text around the threshold, which often share a key."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    family = [[word() for _ in range(100)]]
+    while len(family) < size:
+        words = list(rng.choice(family))
+        start = rng.randrange(100)
+        for k in range(rng.randint(12, 24)):
+            words[(start + k) % 100] = word()
+        family.append(words)
+    rng.shuffle(family)
+    return [(d, " ".join(words)) for d, words in enumerate(family)]
+
+
+def test_no_link_of_a_chained_family_is_lost(spark):
+    docs = chained_family(400)
+    words = neardup.word_hashes([t for _, t in docs])
+    with np.errstate(over="ignore"):
+        keys = np.array([neardup.sketch(w) for w in words])
+    label = list(range(len(docs)))
+
+    def root(d):
+        while label[d] != d:
+            d = label[d]
+        return d
+
+    for b in range(len(docs)):
+        for a in np.flatnonzero((keys[:b] == keys[b]).any(axis=1)):
+            if similarity(words[a], words[b], 0.8) > 0:
+                p, q = root(int(a)), root(b)
+                label[max(p, q)] = min(p, q)
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(table).collect()}
+    assert got == {d: root(d) for d, _ in docs}
+
+
 def test_nulls_repeats_and_extra_columns(spark):
     long_text = " ".join(f"w{i % 997}x{i}" for i in range(30000))
     rows = [
