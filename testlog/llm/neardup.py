@@ -41,8 +41,8 @@ from testlog.llm.components import components
 from testlog.operators.durable import any_row, store
 
 SHINGLE = 5
-SKETCHES = 40
-PICKED = 4
+SKETCHES = 80
+PICKED = 3
 THRESHOLD = 0.8
 SLICE_ROWS = 256  # documents hashed at once
 CELLS = 1 << 21  # hashes held at once

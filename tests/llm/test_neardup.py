@@ -126,6 +126,23 @@ def test_no_link_of_a_chained_family_is_lost(spark):
     assert got == {d: root(d) for d, _ in docs}
 
 
+def test_scattered_substitutions_share_a_key():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    for alike, least in ((0.95, 1.0), (0.9, 0.97), (0.85, 0.72), (0.8, 0.3)):
+        hit = 0
+        for _ in range(120):
+            one = [word() for _ in range(400)]
+            two = list(one)
+            for k in rng.sample(range(400), round((1 - alike) * 400)):
+                two[k] = word()
+            a, b = neardup.word_hashes([" ".join(one), " ".join(two)])
+            assert similarity(a, b, 0.8) > 0
+            with np.errstate(over="ignore"):
+                hit += bool((neardup.sketch(a) == neardup.sketch(b)).any())
+        assert hit >= least * 120, (alike, hit)
+
+
 def test_nulls_repeats_and_extra_columns(spark):
     long_text = " ".join(f"w{i % 997}x{i}" for i in range(30000))
     rows = [
