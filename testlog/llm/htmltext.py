@@ -56,6 +56,8 @@ COMMON = frozenset(w for listed in COMMON_WORDS.values() for w in listed)
 
 TAG = re.compile(r"""(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>"']+))?(?=[\s/>]|$)""", re.I)
+# The end tag of an element whose content is not parsed; names are ASCII, so no other case rules apply.
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.A | re.I) for name in RAW}
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -118,7 +120,7 @@ def blocks(page: str) -> list[Block]:
             if links:
                 block.linked += len("".join(text.split()))
 
-    lower = None
+    unended: set[str] = set()  # elements without an end tag in the rest of the page
     at, size = 0, len(page)
     while at < size:
         start = page.find("<", at)
@@ -148,12 +150,14 @@ def blocks(page: str) -> list[Block]:
         closing, name, attributes = bool(tag[1]), tag[2].lower(), tag[3]
         if name in RAW:
             if not closing and not attributes.endswith("/"):
-                if lower is None:
-                    lower = page.lower()
-                stop = lower.find("</" + name, at) if len(lower) == size else -1
-                if stop < 0 and name == "head":
+                end = None
+                if name not in unended:
+                    end = RAW_END[name].search(page, at)
+                if end is None:
+                    unended.add(name)
+                if end is None and name == "head":
                     continue  # its end tag may be left out; its elements are skipped one by one
-                stop = size if stop < 0 else page.find(">", stop)
+                stop = size if end is None else page.find(">", end.end())
                 at = size if stop < 0 else stop + 1
             continue
         if name in INLINE or name == "br":

@@ -31,6 +31,19 @@ def test_main_text(page, text):
     assert h.main_text(page)[0] == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html><head><title>\u0130zmir</title></head><body><article><p>x</p></article></body>", "x"),
+        ("<article><p>\u0130</p><script>a</SCRIPT ><p>y</p><style>b</style\n></article>", "\u0130\n\ny"),
+        ("<head><title>T</title><body><article><p>x</p><header><p>y</p></header></article>", "x\n\ny"),
+        ("<article><svg><title>a</title></svgs></svg><p>x</p></article>", "x"),
+    ],
+)
+def test_end_tags_of_unparsed_elements(page, text):
+    assert h.main_text(page)[0] == text
+
+
 def test_second_pass_takes_the_nearest_label_of_the_region():
     labels = [True, None, None, None, False, None, None, True]
     assert h.second_pass(labels, [0] * 8) == [True, True, True, False, False, False, True, True]
