@@ -7,6 +7,9 @@ item would lie in the document; there the two are compared word by word, and the
 document is contaminated where ``STRETCH`` successive words of the item (all of a
 shorter item) agree in a share of ``THRESHOLD`` or more.
 
+An item shorter than ``STRETCH`` is cut into one block more than it may have differing words, so
+that one block is always intact; its seeds are these blocks, which start at fixed places.
+
 Words are runs of letters, digits and underscores in lower case.  Items of fewer than
 ``MIN_WORDS`` words are too common to tell and are never reported.
 
@@ -36,6 +39,8 @@ from testlog.operators.durable import store
 
 # Places that count, from the first word of the window.
 MASKS = ("11101011", "1101100101", "11001010011")
+# Masks of the blocks of items shorter than STRETCH; documents use them where there are such items.
+BLOCK_MASKS = ("111", "1111")
 MIN_WORDS = 8
 STRETCH = 13
 THRESHOLD = 0.8
@@ -53,13 +58,19 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.cumsum([len(ws) for ws in words], dtype=np.int64)
 
 
-def seeds(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def block_size(n_words: int) -> int:
+    """Words of a block of a short item: one more block than words that may differ."""
+    differ = max(k for k in range(n_words) if (n_words - k) / n_words >= THRESHOLD)
+    return n_words // (differ + 1)
+
+
+def seeds(words: np.ndarray, ends: np.ndarray, masks: tuple[str, ...] = MASKS) -> tuple[np.ndarray, np.ndarray]:
     """(place, seed) of every mask at every place where it fits into one text."""
     sizes = np.diff(ends, prepend=0)
     left = np.repeat(ends, sizes) - np.arange(len(words))  # words from here to the text's end
     places, values = [], []
     with np.errstate(over="ignore"):
-        for number, mask in enumerate(MASKS):
+        for number, mask in enumerate(masks):
             n = len(words) - len(mask) + 1
             if n < 1:
                 continue
@@ -77,6 +88,17 @@ def seeds(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(values).view(np.int64)
 
 
+def block_seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, seed) of every block of one short item, numbered as among all masks."""
+    size = block_size(len(words))
+    places, values = seeds(words, np.array([len(words)]), MASKS + BLOCK_MASKS)
+    # the seeds of a mask stand together, in the order of masks
+    counts = [max(0, len(words) - len(m) + 1) for m in MASKS + BLOCK_MASKS]
+    number = np.repeat(np.arange(len(counts)), counts)
+    mine = (number == len(MASKS) + BLOCK_MASKS.index("1" * size)) & (places % size == 0)
+    return places[mine], values[mine]
+
+
 def _slots(seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = prefilter.BITS - 1
     return seed & low, (seed >> 32) & low
@@ -96,7 +118,7 @@ def item_seeds(benchmark: DataFrame, item_col: str = "item_id") -> DataFrame:
             for item, key, text in zip(*(batch.column(c).to_pylist() for c in ("item_id", "item_key", "text"))):
                 words, ends = word_hashes([text])
                 if len(words) >= MIN_WORDS:
-                    place, seed = seeds(words, ends)
+                    place, seed = seeds(words, ends) if len(words) >= STRETCH else block_seeds(words)
                     hits = [{"place": p, "seed": s} for p, s in zip(place.tolist(), seed.tolist())]
                     rows.append((item, key, len(words), words.tobytes(), hits))
             columns = list(zip(*rows)) if rows else [()] * 5
@@ -116,7 +138,7 @@ def item_seeds(benchmark: DataFrame, item_col: str = "item_id") -> DataFrame:
     )
 
 
-def _passages(docs: DataFrame, table: np.ndarray, reach: int, id_col: str) -> DataFrame:
+def _passages(docs: DataFrame, table: np.ndarray, reach: int, masks: tuple[str, ...], id_col: str) -> DataFrame:
     """Stretches of documents around seeds that the bit table knows."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
     body = docs.select(
@@ -131,7 +153,7 @@ def _passages(docs: DataFrame, table: np.ndarray, reach: int, id_col: str) -> Da
             for first in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(first, SLICE_ROWS)
                 words, ends = word_hashes(part.column("text").to_pylist())
-                place, seed = seeds(words, ends)
+                place, seed = seeds(words, ends, masks)
                 one, two = _slots(seed)
                 known = prefilter.in_table(shared.value, one)
                 known[known] = prefilter.in_table(shared.value, two[known])
@@ -192,8 +214,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.explode(F.array(F.col("seed").bitwiseAND(low), F.shiftright("seed", 32).bitwiseAND(low))).alias("slot")
     )
     table = prefilter.bit_table(both)
-    reach = items.agg(F.max("n_words")).first()[0] or 0
-    found = store(_passages(docs, table, int(reach), id_col).withColumn("passage", F.xxhash64("row_key", "first_word", "words")))
+    shortest, reach = items.agg(F.min("n_words"), F.max("n_words")).first()
+    masks = MASKS if shortest is None or shortest >= STRETCH else MASKS + BLOCK_MASKS
+    found = store(_passages(docs, table, int(reach or 0), masks, id_col).withColumn("passage", F.xxhash64("row_key", "first_word", "words")))
     laid = (
         found.select("passage", F.explode("hits").alias("hit"))
         .select("passage", F.col("hit.place").alias("text_place"), F.col("hit.seed").alias("seed"))

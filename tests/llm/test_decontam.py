@@ -1,3 +1,4 @@
+import itertools
 import random
 
 from testlog.llm import decontam
@@ -64,3 +65,19 @@ def test_edges(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5]
     assert decontam.drop_contaminated(docs, bench.limit(0)).count() == 6
     assert decontam.contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_short_items_with_every_allowed_substitution(spark):
+    items, docs, wanted = [], [], set()
+    for n in range(8, 13):
+        words = [f"item{n}word{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        for gone in itertools.combinations(range(n), n // 5):
+            text = ["other" if k in gone else w for k, w in enumerate(words)]
+            wanted.add((len(docs), n))
+            docs.append((len(docs), " ".join(["before"] * 5 + text + ["after"] * 5)))
+        for gone in itertools.combinations(range(n), n // 5 + 1):
+            docs.append((len(docs), " ".join("other" if k in gone else w for k, w in enumerate(words))))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    found = decontam.contaminated(table, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == wanted
