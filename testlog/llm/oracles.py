@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from testlog.llm import chat, decontam, licenses, linededup, quality
+from testlog.llm import chat, decontam, licenses, linededup, phrases, quality
 
 WARC_CHAINS = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -233,3 +233,38 @@ SELECT page_id, url, array_to_string(blocks, chr(10) || chr(10)) AS text,
        CAST(length(array_to_string(blocks, chr(10) || chr(10))) AS BIGINT) AS n_chars, CAST(len(blocks) AS BIGINT) AS n_kept
 FROM c
 """
+
+
+PHRASE_GRAPH = rf"""
+WITH p AS (
+  SELECT coalesce(lang, '{phrases.UNKNOWN}') AS lang,
+         unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT lang, ws[i : i + k - 1] AS g, k FROM i, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE i + k - 1 <= len(ws)),
+f AS (SELECT lang, g, k, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE f >= {phrases.MIN_COUNT} AND k > 1),
+inner_parts AS (
+  SELECT lang, g[s : s + j - 1] AS g, f
+  FROM c, (SELECT unnest(range(1, 5)) AS s), (SELECT unnest(range(2, 5)) AS j) WHERE j < k AND s + j - 1 <= k),
+held AS (SELECT lang, g, max(f) AS most FROM inner_parts GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN held USING (lang, g) WHERE coalesce(100 * most < 100 * f, true)),
+cut AS (
+  SELECT kept.lang, kept.g, kept.f AS a, j, x.f AS l, y.f AS r, n,
+         CAST((1000::HUGEINT * kept.f * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM kept JOIN (SELECT unnest(range(1, 5)) AS j) ON j < kept.k
+  JOIN f x ON x.lang = kept.lang AND x.g = kept.g[1 : j]
+  JOIN f y ON y.lang = kept.lang AND y.g = kept.g[j + 1 : kept.k]
+  JOIN n ON n.lang = kept.lang),
+best AS (
+  SELECT *, array_to_string(g, ' ') AS phrase FROM cut
+  QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a, l, r, n, score
+FROM best
+QUALIFY rank <= {phrases.TOP}
+"""

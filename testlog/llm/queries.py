@@ -17,6 +17,7 @@ from testlog.llm import (
     linededup,
     neardup,
     oracles,
+    phrases,
     quality,
     sharding,
     warc,
@@ -118,3 +119,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.withColumn(
         "spans", F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
     )
+
+
+@query("op13_phrase_graph", oracles.PHRASE_GRAPH)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
