@@ -52,9 +52,10 @@ def test_equals_brute_force(spark, monkeypatch):
         text = "".join(w + rng.choice([" ", " ", " ", "\t", "  ", ". ", ",", "\n"]) for w in words)
         rows.append((rng.choice([text, text.upper(), None, ""]), rng.choice(["en", "en", None, "und", "fr"])))
     rows += [rows[0]] * 20
-    # windows leave a task in several parts
-    monkeypatch.setattr(phrases, "FLUSH", 300)
+    # texts are cut into many parts, and windows leave a task a few at a time
+    monkeypatch.setattr(phrases, "PART", 9)
     monkeypatch.setattr(phrases, "HELD", 40)
+    monkeypatch.setattr(phrases, "PAIRS", 50)
     expected = brute(rows, 4, 1000)
     assert len(expected) > 30 and mined(spark, rows, 4, 1000) == expected
     assert mined(spark, rows, 4, 3) == [r for r in expected if r[1] <= 3]
@@ -89,6 +90,19 @@ def test_unary_paths_and_large_numbers(spark):
         phrases.phrase_counts = original
 
 
+def test_parts_of_long_texts(monkeypatch):
+    monkeypatch.setattr(phrases, "PART", 10)
+    for text in (b"a b c d e f g h i j k l m n", b"abcdefghijklmnop qrstuvwxyzabcdef g\nh i", b"", b"x" * 50, b"aa\nbb " * 9):
+        found, low = [], 0
+        for part, own in phrases._parts(text):
+            assert text[low:].startswith(part)
+            behind = part[own:].split()
+            assert len(behind) >= min(phrases.LONGEST - 1, len(text[low + own :].split()))
+            found += part[:own].split()
+            low += own
+        assert found == text.split()
+
+
 def test_nothing_to_count(spark):
     assert mined(spark, [("", "en"), (None, None), ("?! ,", "fr")], 1, 10) == []
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
