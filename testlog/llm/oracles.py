@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from testlog.llm import chat, decontam, licenses, linededup, phrases, quality
+from testlog.llm import chat, decontam, licenses, linededup, mixing, phrases, quality
 
 WARC_CHAINS = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -268,3 +268,38 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM best
 QUALIFY rank <= {phrases.TOP}
 """
+
+WATER_FILLING = rf"""
+WITH d AS (
+  SELECT doc_id, source,
+         CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[{mixing.SPACE}]+'), lambda x: x <> '')) AS BIGINT) AS size,
+         sha256('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS h
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (
+  SELECT *, {list(mixing.WEIGHTS)}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1] AS w,
+         {mixing.EPOCHS} * source_size AS cap
+  FROM s),
+b AS (
+  SELECT *, coalesce(sum(cap) OVER f, 0) AS caps, coalesce(sum(w) OVER f, 0) AS ws,
+         sum(source_size) OVER () AS total, sum(w) OVER () AS weight
+  FROM w
+  WINDOW f AS (ORDER BY CAST(cap AS DOUBLE) / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, cap::HUGEINT * (weight - ws) <= w::HUGEINT * (total - caps) AS full_up FROM b),
+g AS (
+  SELECT source, source_size,
+         CASE WHEN full_up THEN CAST(cap AS DOUBLE)
+              ELSE CAST((total - coalesce(sum(cap) FILTER (full_up) OVER (), 0)) * w AS DOUBLE)
+                   / CAST(weight - coalesce(sum(w) FILTER (full_up) OVER (), 0) AS DOUBLE) END AS target
+  FROM c),
+r AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target + 0.5) AS BIGINT) // source_size END AS whole FROM g),
+e AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) - whole * source_size AS rest FROM r),
+k AS (SELECT source, h, sum(size) AS tie FROM d GROUP BY source, h),
+o AS (SELECT *, sum(tie) OVER (PARTITION BY source ORDER BY h) - tie AS before FROM k)
+SELECT d.doc_id, d.size, e.source_size, e.target,
+       CAST(e.whole * d.size + CASE WHEN o.before + o.tie <= e.rest THEN d.size WHEN o.before >= e.rest THEN 0
+            ELSE ((e.rest - o.before)::HUGEINT * d.size) // o.tie END AS BIGINT) AS taken
+FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
+JOIN o ON d.source IS NOT DISTINCT FROM o.source AND d.h = o.h
+"""

@@ -15,6 +15,7 @@ from testlog.llm import (
     htmltext,
     licenses,
     linededup,
+    mixing,
     neardup,
     oracles,
     phrases,
@@ -124,3 +125,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_phrase_graph", oracles.PHRASE_GRAPH)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op11_water_filling", oracles.WATER_FILLING)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
