@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from testlog.llm import chat, decontam, licenses, linededup, mixing, phrases, quality
+from testlog.llm import chat, decontam, licenses, linededup, mixing, phrases, prefixtrie, quality
 
 WARC_CHAINS = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -303,3 +303,41 @@ SELECT d.doc_id, d.size, e.source_size, e.target,
 FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
 JOIN o ON d.source IS NOT DISTINCT FROM o.source AND d.h = o.h
 """
+
+# CRC-32 of a short ASCII string, bit by bit.
+_CRC32 = """
+xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ord(x)::BIGINT)),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295)
+"""
+
+PREFIX_TRIE = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, conv_id - conv_id % {prefixtrie.FAMILY} AS base, {_CRC32} % {prefixtrie.HEADS} AS h FROM n),
+r AS (
+  SELECT c.conv_id, place AS pos, role, text FROM c JOIN t ON t.conv_id = base WHERE place <= h OR base = c.conv_id
+  UNION ALL
+  SELECT c.conv_id, place - h + least(h, coalesce(n.n, 0)), role, text
+  FROM c JOIN t ON t.conv_id = c.conv_id LEFT JOIN n ON n.conv_id = base WHERE place > h AND base <> c.conv_id),
+w AS (
+  SELECT conv_id, pos AS depth, text, list(struct_pack(r := role, t := text)) OVER (PARTITION BY conv_id ORDER BY pos) AS path FROM r),
+m AS (
+  SELECT conv_id, 0 AS depth, '' AS text, [] AS path FROM c
+  UNION ALL SELECT conv_id, depth, text, path FROM w),
+e AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM m),
+g AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * strlen(any_value(text)) AS saved,
+         sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM e GROUP BY path, depth),
+k AS (SELECT path[1 : depth - 1] AS path, count(*) AS n FROM g WHERE depth > 0 GROUP BY ALL),
+u AS (SELECT g.*, coalesce(k.n, 0) AS n_children FROM g LEFT JOIN k ON k.path = g.path),
+s AS (
+  SELECT m.path, CAST(sum(saved) AS BIGINT) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM u JOIN m ON m.conv_id = u.conv_id AND m.depth <= u.depth GROUP BY m.path)
+SELECT u.conv_id, u.depth, p.conv_id AS parent_conv_id, u.n_convs, u.n_children, s.n_leaves, s.saved_tokens, u.ends_sha256
+FROM u JOIN s ON s.path = u.path LEFT JOIN g p ON u.depth > 0 AND p.path = u.path[1 : u.depth - 1]
+"""

@@ -19,6 +19,7 @@ from testlog.llm import (
     neardup,
     oracles,
     phrases,
+    prefixtrie,
     quality,
     sharding,
     warc,
@@ -130,3 +131,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_water_filling", oracles.WATER_FILLING)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+@query("op12_prefix_trie", oracles.PREFIX_TRIE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
