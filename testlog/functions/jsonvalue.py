@@ -7,20 +7,26 @@ from pyspark.sql import functions as F
 
 from testlog.functions.text import MAX_BIGINT
 
-# The characters a JSON value can start with.
-VALUE_STARTS = ("{", "[", '"', "t", "f", "n", "-", *"0123456789")
+# The characters a JSON value can start with, and those that end it then.
+DIGITS = "0123456789"
+VALUE_ENDS = {"{": "}", "[": "]", '"': '"', "t": "e", "f": "e", "n": "l"} | dict.fromkeys("-" + DIGITS, DIGITS)
 
 
 def json_value(text: Column) -> Column:
     """``{"v": value}`` as VARIANT when the trimmed text is exactly one JSON value.
 
     ``try_parse_json`` ignores what follows the first value, so the text is tried
-    inside an object and inside an array; only a single value fits both.
+    inside an object and inside an array; only a single value fits both.  Most lines of a
+    pretty-printed document already show by their ends that they are none.
     """
     in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    starts = F.left(text, F.lit(1)).isin(*VALUE_STARTS)
-    return F.when(starts & in_array.isNotNull(), in_object)
+    begin, end = F.left(text, F.lit(1)), F.right(text, F.lit(1))
+    bounded = F.lit(False)
+    for ends in dict.fromkeys(VALUE_ENDS.values()):
+        bounded = bounded | (begin.isin(*[b for b, e in VALUE_ENDS.items() if e == ends]) & end.isin(*ends))
+    # one character alone is no text, list or object
+    return F.when(bounded & (begin.isin(*DIGITS) | (F.octet_length(text) > 1)) & in_array.isNotNull(), in_object)
 
 
 def field_type(v: Column, path: str) -> Column:

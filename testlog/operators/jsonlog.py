@@ -1,8 +1,9 @@
 """JSON logs: Go and nextest event lines, Jest and Vitest summary documents.
 
 Counts need no order beyond "first" and "last", so a run of any size is folded
-by partial aggregates; no run is ever gathered in one task, except the text of
-a single pretty-printed document.
+by partial aggregates; no run is ever gathered in one task.  The text of a pretty-printed
+document is put together only up to ``GATHERED_BYTES``; longer ones are read line by line, with
+the same result.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ from pyspark.sql import functions as F
 
 from testlog.functions.jsonvalue import array_at, count_at, json_value, string_at
 from testlog.functions.text import nonblank, utrim, with_short_reason
-from testlog.operators.durable import materialize
+from testlog.operators.durable import any_row, materialize
+from testlog.operators.jsondoc import ScannedDocuments, scan_documents
+from testlog.operators.ordered import running_total
 from testlog.session import configure
 
-# A VARIANT value cannot be larger; such a document is counted as unreadable
-# and marked in ``oversized``.
-MAX_DOCUMENT_BYTES = 128 * 1024 * 1024
+# Documents up to this size are parsed as one text.
+GATHERED_BYTES = 1024 * 1024
 
 # Labels used when a test has no name.
 UNKNOWN = "unknown"
@@ -172,26 +174,40 @@ def summary_docs(values: DataFrame) -> DataFrame:
     )
 
 
+def _items(entry: Column) -> Column:
+    """What may have failed in one entry: its assertions, or the entry itself where it lists none."""
+    alone = F.array(F.struct(entry.alias("entry"), F.lit(None).cast("variant").alias("assertion")))
+    listed = F.transform(
+        array_at(entry, "$.assertionResults"),
+        lambda a: F.struct(entry.alias("entry"), a.alias("assertion")),
+    )
+    return F.coalesce(listed, alone)
+
+
 def doc_failures(docs: DataFrame) -> DataFrame:
     """Failed assertions of each document, and failed entries without assertions."""
     entries = array_at(F.col("v"), "$.v.testResults")
-
-    def items(entry: Column) -> Column:
-        alone = F.array(
-            F.struct(entry.alias("entry"), F.lit(None).cast("variant").alias("assertion"))
-        )
-        listed = F.transform(
-            array_at(entry, "$.assertionResults"),
-            lambda a: F.struct(entry.alias("entry"), a.alias("assertion")),
-        )
-        return F.coalesce(listed, alone)
-
     rows = docs.select(
         "run_id",
         "line_no",
         "source",
-        F.posexplode_outer(F.flatten(F.transform(entries, items))).alias("item_no", "x"),
-    ).select("run_id", "line_no", "item_no", "source", "x.entry", "x.assertion")
+        F.posexplode_outer(F.flatten(F.transform(entries, _items))).alias("item_no", "x"),
+    )
+    return _failed_items(rows)
+
+
+def entry_failures(docs: DataFrame, scanned: ScannedDocuments) -> DataFrame:
+    """The same for documents that were read line by line, from their entries."""
+    entry = F.try_variant_get("v", "$.v", "variant")
+    rows = scanned.entries.join(docs.select("run_id", "line_no", "source"), "run_id")
+    rows = rows.withColumn("items", _items(entry))
+    rows = running_total(rows, F.size("items"), "before", order="place")
+    rows = rows.select("run_id", "line_no", "source", "before", F.posexplode("items").alias("pos", "x"))
+    return _failed_items(rows.withColumn("item_no", (F.col("before") + F.col("pos")).cast("int")))
+
+
+def _failed_items(items: DataFrame) -> DataFrame:
+    rows = items.select("run_id", "line_no", "item_no", "source", "x.entry", "x.assertion")
     e, a = F.col("entry"), F.col("assertion")
     of_assertion = a.isNotNull()
     status = F.when(of_assertion, string_at(a, "$.status")).otherwise(string_at(e, "$.status"))
@@ -278,22 +294,22 @@ def run_outline(lines: DataFrame) -> DataFrame:
         "first_json",
         "last_noise",
         "has_text",
-        F.coalesce(whole & (F.col("bytes") <= MAX_DOCUMENT_BYTES), F.lit(False)).alias("maybe_document"),
-        F.coalesce(whole & (F.col("bytes") > MAX_DOCUMENT_BYTES), F.lit(False)).alias("oversized"),
+        F.coalesce(whole, F.lit(False)).alias("maybe_document"),
+        "bytes",
     )
 
 
-def whole_documents(lines: DataFrame, outline: DataFrame) -> DataFrame:
-    """The value of runs whose text is one document spread over many lines.
+def _candidates(lines: DataFrame, outline: DataFrame, which: Column) -> DataFrame:
+    """Lines of runs without any JSON line, opened and closed by matching brackets."""
+    return lines.join(outline.filter(F.col("maybe_document") & which).select("run_id"), "run_id", "left_semi")
 
-    Only runs without any JSON line, opened and closed by matching brackets and
-    small enough for a value, are put together.
-    """
-    runs = outline.filter("maybe_document").select("run_id")
+
+def gathered_documents(lines: DataFrame, outline: DataFrame) -> DataFrame:
+    """The values of documents small enough to be put together."""
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     text = F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")
     return (
-        lines.join(runs, "run_id", "left_semi")
+        _candidates(lines, outline, F.col("bytes") <= GATHERED_BYTES)
         .groupBy("run_id")
         .agg(text.alias("text"))
         .withColumn("text", utrim(F.col("text")))
@@ -306,12 +322,35 @@ def whole_documents(lines: DataFrame, outline: DataFrame) -> DataFrame:
     )
 
 
+def long_documents(lines: DataFrame, outline: DataFrame) -> ScannedDocuments | None:
+    """Documents above ``GATHERED_BYTES``, read line by line; None where there is none."""
+    long = F.col("bytes") > GATHERED_BYTES
+    if not any_row(outline.filter(F.col("maybe_document") & long)):
+        return None
+    scanned = scan_documents(_candidates(lines, outline, long).select("run_id", "line_no", "line"))
+    return ScannedDocuments(materialize(scanned.values), materialize(scanned.entries))
+
+
+def whole_documents(
+    lines: DataFrame, outline: DataFrame, scanned: ScannedDocuments | None = None
+) -> DataFrame:
+    """The value of runs whose text is one document spread over many lines.
+
+    Values of ``scanned`` documents lack their entries.
+    """
+    found = gathered_documents(lines, outline)
+    if scanned is None:
+        return found
+    line = F.lit(DOCUMENT_LINE).alias("line_no")
+    return found.unionByName(scanned.values.select("run_id", line, "v"))
+
+
 def json_values(lines: DataFrame, outline: DataFrame | None = None) -> DataFrame:
     """Every JSON value of every run: value lines, else the whole text."""
     if outline is None:
         outline = materialize(run_outline(lines))
     by_line = parse_lines(lines)
-    return by_line.unionByName(whole_documents(lines, outline))
+    return by_line.unionByName(whole_documents(lines, outline, long_documents(lines, outline)))
 
 
 def _applied_docs(lines: DataFrame, outline: DataFrame, documents: DataFrame) -> DataFrame:
@@ -341,7 +380,7 @@ def json_run_state(lines: DataFrame, outline: DataFrame | None = None) -> DataFr
     """
     if outline is None:
         outline = materialize(run_outline(lines))
-    documents = materialize(whole_documents(lines, outline))
+    documents = materialize(whole_documents(lines, outline, long_documents(lines, outline)))
     docs = _applied_docs(lines, outline, documents)
     is_jest = F.col("source") == "jest"
     last = docs.groupBy("run_id").agg(
@@ -384,12 +423,13 @@ def json_failures(lines: DataFrame, outline: DataFrame | None = None) -> DataFra
     """Failures of events and of the documents that apply."""
     if outline is None:
         outline = materialize(run_outline(lines))
-    documents = materialize(whole_documents(lines, outline))
+    scanned = long_documents(lines, outline)
+    documents = materialize(whole_documents(lines, outline, scanned))
     by_line = parse_lines(lines)
     failed = json_events(by_line.unionByName(documents), outcome="failed")
     columns = ("run_id", "line_no", "item_no", "source", "label", "suite", "test_file", "reason")
-    return (
-        failed.withColumn("item_no", F.lit(0))
-        .select(*columns)
-        .unionByName(doc_failures(_applied_docs(lines, outline, documents)).select(*columns))
-    )
+    applied = _applied_docs(lines, outline, documents)
+    found = failed.withColumn("item_no", F.lit(0)).select(*columns).unionByName(doc_failures(applied).select(*columns))
+    if scanned is not None:
+        found = found.unionByName(entry_failures(applied, scanned).select(*columns))
+    return found

@@ -40,3 +40,29 @@ def last_before(
         .withColumn(name, F.coalesce(name, "carried"))
         .drop("block", "carried")
     )
+
+
+def running_total(
+    df: DataFrame, value: Column, name: str, order: str = "line_no", block_size: int = BLOCK_LINES
+) -> DataFrame:
+    """Add the sum of ``value`` over the earlier rows of the same run.
+
+    ``order`` numbers the rows of a run, with gaps or without.  Each window covers one block of
+    numbers; the sums of whole blocks are one row per block.
+    """
+    df = df.withColumns({name: value, "block": F.expr(f"{order} div {block_size}")})
+    inside = W.partitionBy("run_id", "block").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    across = W.partitionBy("run_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    carried = (
+        df.groupBy("run_id", "block")
+        .agg(F.sum(name).alias("whole"))
+        .select("run_id", "block", F.sum("whole").over(across).alias("carried"))
+        .filter(F.col("carried").isNotNull())
+    )
+    zero = F.lit(0)
+    return (
+        df.withColumn(name, F.coalesce(F.sum(name).over(inside), zero))
+        .join(carried, ["run_id", "block"], "left")
+        .withColumn(name, F.col(name) + F.coalesce("carried", zero))
+        .drop("block", "carried")
+    )

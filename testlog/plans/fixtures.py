@@ -436,3 +436,35 @@ def deep_tap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("run_id", F.posexplode(F.array_compact(lines)).alias("at", "line")).select(
         "run_id", (F.col("at") + 1).alias("line_no"), "line"
     )
+
+
+HUGE_RUNS = 4
+
+
+def huge_document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G5: all line items as the entries of a few pretty-printed documents, their counts at the end."""
+    rows = numbered_items(spark, sf_dir).withColumn("run", F.col("l_orderkey") % HUGE_RUNS)
+    failed = F.col("l_returnflag") == "R"
+    nested = F.col("l_linenumber") % 2 == 1
+    entry = F.concat_ws(
+        "",
+        F.lit(',\n  {"name": "order '), "l_orderkey", F.lit('",\n   "status": "'),
+        F.when(failed, "failed").otherwise("passed"), F.lit('", "note": "a } and a ] \\" within",\n   "message": "bad '),
+        "l_partkey", F.lit('"'),
+        F.when(nested, F.concat_ws(
+            "", F.lit(',\n   "assertionResults": [\n    {"title": "part '), "l_partkey", F.lit('",\n     "status": "'),
+            F.when(failed, "failed").otherwise("passed"), F.lit('"\n    }\n   ]'))),
+        F.lit("\n  }"),
+    )
+    items = _chunk(rows, "run", F.col("l_orderkey") * 64 + F.col("rn"), entry)
+    counts = rows.groupBy("run").agg(
+        F.count("*").alias("n"),
+        *[F.count_if(F.col("l_returnflag") == f).alias(c) for f, c in (("N", "ok"), ("R", "bad"), ("A", "left"))],
+        F.max("l_orderkey").alias("last"),
+    )
+    head = _chunk(counts, "run", F.lit(0), F.lit('{\n "testResults": [\n  {"name": "first",\n   "status": "passed"}'))
+    tail = F.concat_ws(
+        "", F.lit('\n ],\n "stats": {\n  "tests": '), "n", F.lit(', "passes": '), "ok", F.lit(',\n  "failures": '), "bad",
+        F.lit(', "skipped": '), "left", F.lit("\n }\n}\n"),
+    )
+    return head.unionByName(items).unionByName(_chunk(counts, "run", (F.col("last") + 1) * 64, tail))

@@ -190,6 +190,34 @@ def document_failures(spark, sf_dir):
     )
 
 
+@query(
+    "json_huge_document",
+    f"""
+    SELECT l_orderkey % {fixtures.HUGE_RUNS} AS run_id, {NO_PLAN}, {ZEROES}, count(*) AS total,
+           count(*) FILTER (l_returnflag = 'N') AS passed,
+           count(*) FILTER (l_returnflag = 'R') AS failed,
+           count(*) FILTER (l_returnflag = 'A') AS skipped, CAST(0 AS BIGINT) AS todo
+    FROM lineitem GROUP BY l_orderkey % {fixtures.HUGE_RUNS}
+    """,
+)
+def json_huge_document(spark, sf_dir):
+    return jsonlog.json_run_state(stored_lines(fixtures.huge_document_chunks(spark, sf_dir)))
+
+
+@query(
+    "huge_document_failures",
+    f"""
+    SELECT l_orderkey % {fixtures.HUGE_RUNS} AS run_id, 'vitest' AS source,
+           CASE WHEN l_linenumber % 2 = 1 THEN 'part ' || l_partkey ELSE 'order ' || l_orderkey END AS label,
+           'order ' || l_orderkey AS suite, 'bad ' || l_partkey AS reason
+    FROM lineitem WHERE l_returnflag = 'R'
+    """,
+)
+def huge_document_failures(spark, sf_dir):
+    rows = jsonlog.json_failures(stored_lines(fixtures.huge_document_chunks(spark, sf_dir)))
+    return rows.select("run_id", "source", "label", "suite", "reason")
+
+
 @query(
     "bun_run_state",
     f"""
