@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from testlog.functions.text import nonblank
+from testlog.operators.durable import materialize
 from testlog.operators.runs import is_success
 
 # Fixed value: how many distinct failures of a run are remembered.
@@ -106,6 +107,59 @@ def cap_failures(
     )
 
 
+CAP_BLOCK = 4096
+
+
+def failure_policy(failures: DataFrame, policy: DataFrame) -> DataFrame:
+    """Failures that a run's own settings let through.
+
+    ``policy`` has ``dedup_failures`` and ``max_failure_notifications`` (null: no limit) for each run; a run
+    not listed there is deduplicated and has no limit.
+    """
+    plain = policy.filter(~F.col("dedup_failures")).select("run_id")
+    rows = dedup_failures(failures.join(plain, "run_id", "left_anti")).unionByName(
+        failures.join(plain, "run_id", "left_semi")
+    )
+    return cap_by_run(rows, policy.select("run_id", F.col("max_failure_notifications").alias("limit")))
+
+
+def cap_by_run(failures: DataFrame, limits: DataFrame) -> DataFrame:
+    """The first failures of each run, up to the run's own ``limits(run_id, limit)``; null keeps all.
+
+    Rows are counted per block of a run's order, and only the block in which a limit falls is looked into:
+    first its lines, then the rows of one line.  The limit thus becomes a position, and rows before it
+    are kept; no run is ever ranked as a whole.
+    """
+    stored = materialize(failures)
+    limits = limits.filter(F.col("limit").isNotNull())
+    totals = stored.groupBy("run_id").agg(F.count("*").alias("n"))
+    over = totals.join(limits, "run_id").filter(F.col("n") > F.col("limit")).select("run_id", F.col("limit").alias("left"))
+    over = materialize(over)
+    spot = stored.select("run_id", F.struct(*POSITION).alias("pos")).join(over.select("run_id"), "run_id", "left_semi")
+    at = F.col("pos")
+    places = (
+        # a block of lines, then a line with a block of its items, then the row
+        F.struct(at["stage"], at["path"], F.floor(at["line_no"] / CAP_BLOCK)),
+        F.struct(at["line_no"], F.floor(at["item_no"] / CAP_BLOCK)),
+        at["item_no"],
+    )
+    for place in places:
+        blocks = spot.groupBy("run_id", place.alias("place")).agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+        order = W.partitionBy("run_id").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
+        crossing = (
+            blocks.withColumn("upto", F.sum("n").over(order))
+            .join(over.select("run_id", "left"), "run_id")
+            .filter((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("n") <= F.col("left")))
+        )
+        over = materialize(
+            crossing.select("run_id", "place", (F.col("left") - F.col("upto") + F.col("n")).alias("left"), F.col("first").alias("border"))
+        )
+        spot = spot.withColumn("place", place).join(over.select("run_id", "place"), ["run_id", "place"], "left_semi").drop("place")
+    borders = over.select("run_id", "border")
+    kept = stored.join(borders, "run_id", "left")
+    return kept.filter(F.col("border").isNull() | (F.struct(*POSITION) < F.col("border"))).select(*failures.columns)
+
+
 def _project() -> Column:
     return F.col("project")
 

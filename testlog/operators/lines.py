@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -16,6 +18,8 @@ DETECTION_BYTES = 64 * 1024
 # Every line before the deciding one takes a byte at least.
 DETECTION_LINES = DETECTION_BYTES + 1
 
+FORMATS = ("json", "tap", "bun")
+
 # Line signals of each format.
 TAP_SIGNALS = ("TAP version", "ok ", "not ok ", "Bail out!")
 BUN_SIGNALS = ("bun test ", "(pass)", "(fail)", "Ran ")
@@ -25,7 +29,10 @@ PLAN_SIGNAL = r"(?U)\A([+]?[0-9]+)\s*\.\.\s*([0-9]+)"
 
 
 def chunks_to_lines(
-    chunks: DataFrame, block: int = CHUNK_BLOCK, long_runs: bool | None = None
+    chunks: DataFrame,
+    block: int = CHUNK_BLOCK,
+    long_runs: bool | None = None,
+    width: Callable[[str], Column] = F.octet_length,
 ) -> DataFrame:
     r"""Join each run's chunks in ``seq`` order and cut at ``\n``, ``\r\n`` or ``\r``.
 
@@ -33,7 +40,8 @@ def chunks_to_lines(
     numbered from the count of line ends before it, and only the pieces of lines
     that cross a chunk border are collected, per line.  Chunks are ordered in
     blocks of ``block`` sequence numbers; counts reached before a block are
-    carried in.
+    carried in.  ``bytes`` is what a line took in the run's output, its end included; ``width`` measures
+    a text.
     """
     timed = "event_ts" in chunks.columns
     raw = F.col("chunk")
@@ -47,6 +55,10 @@ def chunks_to_lines(
         *(["event_ts"] if timed else []),
         *([F.expr(f"seq div {block}").alias("block")] if long_runs else []),
         flat.alias("text"),
+        F.when(
+            F.contains(raw, F.lit("\r\n")),
+            F.transform(F.regexp_extract_all(raw, F.lit(r"\r\n|\r|\n"), F.lit(0)), F.octet_length),
+        ).alias("ends"),
         raw.startswith("\n").alias("opens_nl"),
         raw.endswith("\r").alias("ends_cr"),
         (raw.endswith("\r") | raw.endswith("\n")).alias("ends_line"),
@@ -59,6 +71,7 @@ def chunks_to_lines(
     rows = (
         cut.withColumn("joined", joined)
         .withColumn("after_line", F.lag("ends_line").over(order))
+        .withColumn("next_nl", F.lead("opens_nl").over(order))
         .withColumn("breaks", breaks - F.col("joined").cast("int"))
         .withColumn("offset", F.coalesce(F.sum("breaks").over(before), F.lit(0)))
     )
@@ -72,17 +85,21 @@ def chunks_to_lines(
                 F.max_by("ends_cr", "seq").alias("ends_cr"),
                 F.max_by("ends_line", "seq").alias("ends_line"),
                 F.min("seq").alias("first_seq"),
+                F.max("seq").alias("last_seq"),
             )
             .withColumn(
                 "fix", F.col("opens_nl") & F.coalesce(F.lag("ends_cr").over(runs), F.lit(False))
             )
             .withColumn("line_before", F.lag("ends_line").over(runs))
+            .withColumn("nl_after", F.lead("opens_nl").over(runs))
             .withColumn("n", F.col("n") - F.col("fix").cast("int"))
             .select(
                 *keys,
                 "first_seq",
+                "last_seq",
                 "fix",
                 "line_before",
+                "nl_after",
                 F.coalesce(
                     F.sum("n").over(runs.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
                 ).alias("start"),
@@ -93,6 +110,7 @@ def chunks_to_lines(
             rows.join(carried, keys)
             .withColumn("joined", F.when(first, F.col("fix")).otherwise(F.col("joined")))
             .withColumn("after_line", F.when(first, F.col("line_before")).otherwise(F.col("after_line")))
+            .withColumn("next_nl", F.when(F.col("seq") == F.col("last_seq"), F.col("nl_after")).otherwise(F.col("next_nl")))
             .withColumn(
                 "offset",
                 F.col("offset") + F.col("start") - F.when(~first, F.col("fix").cast("int")).otherwise(0),
@@ -107,6 +125,9 @@ def chunks_to_lines(
             *stamp,
             "offset",
             F.coalesce("after_line", F.lit(True)).alias("fresh"),
+            # the line feed that a following chunk opens with belongs to the carriage return that ends this one
+            (F.col("ends_cr") & F.coalesce("next_nl", F.lit(False))).cast("int").alias("late_nl"),
+            F.when(F.col("joined"), F.slice("ends", 2, 2**31 - 1)).otherwise(F.col("ends")).alias("ends"),
             F.split(text, "\n", -1).alias("parts"),
         )
         .select(
@@ -115,6 +136,8 @@ def chunks_to_lines(
             *stamp,
             "offset",
             "fresh",
+            "late_nl",
+            "ends",
             (F.size("parts") - 1).alias("last"),
             F.posexplode_outer("parts").alias("pos", "piece"),
         )
@@ -125,12 +148,19 @@ def chunks_to_lines(
             *stamp,
             (F.col("offset") + F.col("pos") + 1).cast("int").alias("line_no"),
             "piece",
+            (
+                width("piece")
+                + F.when(F.col("pos") < F.col("last"), F.coalesce(F.get("ends", F.col("pos")), F.lit(1))).otherwise(0)
+                + F.when(F.col("pos") == F.col("last") - 1, F.col("late_nl")).otherwise(0)
+            )
+            .cast("bigint")
+            .alias("bytes"),
             (F.col("pos") < F.col("last")).alias("ended"),
             ((F.col("pos") > 0) | F.col("fresh")).alias("begun"),
         )
     )
     whole = F.col("ended") & F.col("begun")
-    columns = ["run_id", "line_no", F.col("piece").alias("line"), *stamp]
+    columns = ["run_id", "line_no", F.col("piece").alias("line"), *stamp, "bytes"]
     crossing = (
         pieces.filter(~whole)
         .groupBy("run_id", "line_no")
@@ -141,6 +171,7 @@ def chunks_to_lines(
                 ),
                 "",
             ).alias("piece"),
+            F.sum("bytes").alias("bytes"),
             *([F.max("event_ts").alias("event_ts")] if timed else []),
         )
     )
@@ -159,7 +190,7 @@ def binary_chunks_to_lines(chunks: DataFrame, **options) -> DataFrame:
     whole again before it is checked.
     """
     as_text = chunks.withColumn("chunk", F.decode("chunk", "ISO-8859-1"))
-    lines = chunks_to_lines(as_text, **options)
+    lines = chunks_to_lines(as_text, width=F.char_length, **options)
     text = F.encode("line", "ISO-8859-1").cast("string")
     return lines.withColumn("line", text).withColumn("valid", F.is_valid_utf8("line"))
 
@@ -204,28 +235,28 @@ def detect_format(lines: DataFrame) -> DataFrame:
     """Format of every run from its first telling line, else TAP.
 
     Only lines within the byte budget count, hence only the first
-    ``DETECTION_LINES`` lines of a run are looked at, however long it is.
+    ``DETECTION_LINES`` lines of a run are looked at, however long it is.  Lines without ``bytes``
+    count as ended by a line feed.
     """
+    taken = F.col("bytes") if "bytes" in lines.columns else F.octet_length("line") + 1
     head = (
         lines.filter(F.col("line_no") <= DETECTION_LINES)
         .select(
             "run_id",
             "line_no",
-            (F.octet_length("line") + 1).cast("bigint").alias("bytes"),
+            taken.cast("bigint").alias("bytes"),
             ultrim(F.col("line")).alias("t"),
         )
         .select("run_id", "line_no", "bytes", line_signal(F.col("t")).alias("signal"))
     )
     before = W.partitionBy("run_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
     read = F.coalesce(F.sum("bytes").over(before), F.lit(0))
-    telling = F.when(
-        F.col("signal").isNotNull() & (F.col("read") <= DETECTION_BYTES), F.col("line_no")
-    )
-    return (
-        head.withColumn("read", read)
-        .groupBy("run_id")
-        .agg(F.coalesce(F.min_by("signal", telling), F.lit("tap")).alias("format"))
-    )
+    # line number and signal in one number, so that the least needs no string
+    code = F.expr("CASE signal " + " ".join(f"WHEN '{f}' THEN {k}" for k, f in enumerate(FORMATS)) + " END")
+    telling = F.when(F.col("read") <= DETECTION_BYTES, F.col("line_no").cast("bigint") * len(FORMATS) + code)
+    first = head.withColumn("read", read).groupBy("run_id").agg(F.min(telling).alias("first"))
+    found = F.expr(f"CASE first % {len(FORMATS)} " + " ".join(f"WHEN {k} THEN '{f}'" for k, f in enumerate(FORMATS)) + " END")
+    return first.select("run_id", F.coalesce(found, F.lit("tap")).alias("format"))
 
 
 def choose_format(detected: DataFrame, settings: DataFrame | None = None) -> DataFrame:

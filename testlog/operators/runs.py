@@ -239,6 +239,98 @@ def inferred_reports(reports: DataFrame, globs: DataFrame) -> DataFrame:
     return reports.join(tools, "run_id").filter(match).select(reports.columns)
 
 
+def glob_regex(glob: Column) -> Column:
+    """A column of path globs as anchored regular expressions.
+
+    ``**/`` stands for any folders or none, ``*`` and ``?`` stay within one name, ``[...]`` is a choice
+    of characters and ``[!...]`` all others.
+    """
+    out = F.regexp_replace(glob, r"[.^$+(){}|\\]", r"\\$0")
+    out = F.regexp_replace(out, r"\[!", "[^")
+    out = F.regexp_replace(out, r"\?", "[^/]")
+    # wild cards are set aside, since what stands for one holds others
+    out = F.replace(F.replace(out, F.lit("**/"), F.lit("\x01")), F.lit("**"), F.lit("\x02"))
+    out = F.replace(out, F.lit("*"), F.lit("[^/]*"))
+    out = F.replace(F.replace(out, F.lit("\x01"), F.lit("(?:.*/)?")), F.lit("\x02"), F.lit(".*"))
+    return F.concat(F.lit(r"\A"), out, F.lit(r"\z"))
+
+
+def report_inputs(settings: DataFrame) -> DataFrame:
+    """The configured report inputs of every run: (run_id, kind, pattern, folder).
+
+    A directory stands for all ``*.xml`` below it.  ``folder`` is the part of a pattern before its first
+    wild card, up to a slash; a named file has none.
+    """
+    below = F.transform("junit_dir", lambda d: F.concat(F.regexp_replace(d, "/+$", ""), F.lit("/**/*.xml")))
+
+    def named(kind: str, patterns: Column) -> Column:
+        return F.transform(patterns, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("pattern")))
+
+    each = [named("file", F.col("junit_file")), named("dir", below), named("glob", F.col("junit_glob"))]
+    rows = settings.select("run_id", F.explode(F.concat(*each)).alias("x")).select("run_id", "x.*").distinct()
+    folder = F.regexp_extract("pattern", r"\A((?:[^*?\[/]*/)*)", 1)
+    return rows.withColumn("folder", F.when(F.col("kind") != "file", folder))
+
+
+def match_reports(reports: DataFrame, inputs: DataFrame) -> DataFrame:
+    """(run_id, path) of the reports that a run's configured inputs name.
+
+    Paths meet patterns in the pattern's folder: each path is listed under all its folders, of which
+    there are few, and only patterns of the same run and folder are tried on it.
+    """
+    paths = reports.select("run_id", "path").join(inputs.select("run_id").distinct(), "run_id", "left_semi")
+    named = inputs.filter("kind = 'file'").select("run_id", F.col("pattern").alias("path"))
+    parts = F.split("path", "/")
+    folders = F.transform(
+        F.sequence(F.lit(0), F.size(parts) - 1),
+        lambda n: F.when(n == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("/"))),
+    )
+    listed = paths.select("run_id", "path", F.explode(folders).alias("folder"))
+    globs = inputs.filter("kind != 'file'").select("run_id", "folder", glob_regex(F.col("pattern")).alias("regex"))
+    found = listed.join(globs, ["run_id", "folder"]).filter(F.expr("path rlike regex")).select("run_id", "path")
+    return found.unionByName(paths.join(named, ["run_id", "path"], "left_semi").select("run_id", "path")).distinct()
+
+
+def report_tools(runs: DataFrame, settings: DataFrame, matched: DataFrame) -> DataFrame:
+    """(run_id, explicit, named, tool): the tool whose usual report places are looked at.
+
+    That is done where no report was configured, or none of the directories and globs matched; a named
+    file counts as found even if it is absent.
+    """
+    base = infer_tool(runs, settings).withColumnRenamed("tool", "inferred")
+    given = settings.select("run_id", "auto_junit_reports", (F.size("junit_file") > 0).alias("named"))
+    hits = matched.select("run_id", F.lit(True).alias("hit")).distinct()
+    tools = F.create_map(*[F.lit(x) for kv in TOOL_PROGRAMS.items() for x in kv])
+    again = F.element_at(tools, executable(F.get("command", F.lit(0))))
+    fallback = (
+        F.col("explicit") & F.coalesce("auto_junit_reports", F.lit(True)) & ~F.col("named") & F.col("hit").isNull()
+    )
+    rows = base.join(runs.select("run_id", "command"), "run_id").join(given, "run_id", "left").join(hits, "run_id", "left")
+    rows = rows.withColumn("named", F.coalesce("named", F.lit(False)))
+    return rows.select(
+        "run_id", "explicit", "named", F.when(F.col("explicit"), F.when(fallback, again)).otherwise(F.col("inferred")).alias("tool")
+    )
+
+
+def chosen_reports(reports: DataFrame, matched: DataFrame, tools: DataFrame) -> DataFrame:
+    """The candidate reports that are read: configured ones, pytest's, or those at the tool's usual places."""
+    configured = reports.join(matched, ["run_id", "path"], "left_semi")
+    pytest = reports.join(tools.filter("tool = 'pytest'"), "run_id", "left_semi")
+    usual = inferred_reports(reports, tools.filter("tool is not null"))
+    return configured.unionByName(pytest).unionByName(usual).dropDuplicates(["run_id", "path"])
+
+
+def absent_files(runs: DataFrame, reports: DataFrame, inputs: DataFrame) -> DataFrame:
+    """(run_id, absent): named report files that are not there, of runs without a start.
+
+    Where a start is known they fall to the freshness filter; elsewhere each is an unreadable report.
+    """
+    named = inputs.filter("kind = 'file'").select("run_id", F.col("pattern").alias("path"))
+    absent = named.join(reports.select("run_id", "path"), ["run_id", "path"], "left_anti")
+    undated = runs.filter(F.col("started_at").isNull()).select("run_id")
+    return absent.join(undated, "run_id", "left_semi").groupBy("run_id").agg(F.count("*").alias("absent"))
+
+
 def _dated(reports: DataFrame, runs: DataFrame) -> DataFrame:
     """Reports with ``fresh``; ``runs(run_id, started_at, explicit, tool)``."""
     chosen = runs.select(
@@ -309,9 +401,12 @@ NO_REPORTS = "no_reports: only reports are asked for and there is none"
 
 
 def missing_reports(settings: DataFrame, reports: DataFrame) -> DataFrame:
-    """Error rows of runs that only want reports but have none at all, fresh or stale."""
+    """Error rows of runs that only want reports but have none at all, fresh or stale.
+
+    A named report file counts as a report even if it is absent.
+    """
     return (
-        settings.filter("junit_only")
+        settings.filter(F.col("junit_only") & (F.size("junit_file") == 0))
         .select("run_id")
         .join(reports.select("run_id").distinct(), "run_id", "left_anti")
         .withColumn("error", F.lit(NO_REPORTS))

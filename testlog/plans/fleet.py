@@ -10,21 +10,26 @@ from pyspark.sql import functions as F
 
 from testlog.operators import bun, jsonlog, junit, tap
 from testlog.operators.durable import BLOCK_LINES, exceeds, materialize
-from testlog.operators.failures import all_failures
+from testlog.operators.failures import all_failures, failure_policy, render_failures, render_run_messages
 from testlog.operators.lines import choose_format, chunks_to_lines, detect_format, route
 from testlog.operators.runs import (
+    absent_files,
+    chosen_reports,
     fresh_reports,
     infer_tool,
-    inferred_reports,
+    match_reports,
     merge_run_states,
     missing_reports,
     only_stale,
     prefer_reports,
+    report_inputs,
+    report_tools,
     run_verdict,
     skips_stream,
     suppress_stale,
 )
 from testlog.schema import COUNTERS, STATE_COLUMNS
+from testlog.sources.sinks import routed_summaries
 
 
 @dataclass
@@ -84,9 +89,38 @@ def empty_logs(runs: DataFrame, parsed: DataFrame, settings: DataFrame | None) -
 
 @dataclass
 class FleetResult:
+    """Verdicts, all failures and error rows of a fleet; what the runs' own settings let through of it is
+    worked out on demand."""
+
     verdicts: DataFrame
     failures: DataFrame
     errors: DataFrame
+    runs: DataFrame
+    settings: DataFrame
+    streams: DataFrame  # states of the parsed logs, before reports are merged
+
+    def notified(self) -> DataFrame:
+        """Failures after each run's deduplication and limit, where messages are switched on."""
+        enabled = self.settings.filter("enabled").select("run_id")
+        return failure_policy(self.failures.join(enabled, "run_id", "left_semi"), self.settings)
+
+    def messages(self) -> DataFrame:
+        """Rendered messages: failures, bailouts and run summaries.
+
+        The summary of a parsed log tells of the log alone; that of other runs of their reports.
+        """
+        label = F.when(F.col("include_project_context"), F.coalesce("project_label", "project"))
+        named = self.settings.filter("enabled").join(self.runs.select("run_id", "project"), "run_id")
+        named = named.select("run_id", label.alias("project"))
+        shown = self.streams.select("run_id", *STATE_COLUMNS).unionByName(
+            self.verdicts.join(self.streams.select("run_id"), "run_id", "left_anti").select("run_id", *STATE_COLUMNS)
+        )
+        failed = render_failures(self.notified().join(named, "run_id"))
+        return failed.unionByName(render_run_messages(shown.join(named, "run_id")))
+
+    def summaries(self) -> DataFrame:
+        """(run_id, summary_file, summary) in each run's own format; runs that want none have no row."""
+        return routed_summaries(self.verdicts, self.settings)
 
 
 def analyze_runs(
@@ -94,29 +128,38 @@ def analyze_runs(
 ) -> FleetResult:
     """Logs and reports of whole fleets; ``settings`` as given by ``resolve_settings``.
 
-    ``reports`` are candidates: configured ones where a run has any, else those
-    at the places its build tool writes to.
+    ``reports`` are candidates, with paths as seen from the run's folder: those that the run's settings
+    name are read, else those at the places its build tool writes to.
     """
-    tools = materialize(infer_tool(runs, settings))
-    skipped = materialize(skips_stream(tools, settings))
+    skipped = materialize(skips_stream(infer_tool(runs, settings), settings))
     # logs that reports replace are left out before anything is read from them
     lines = materialize(chunks_to_lines(chunks.join(skipped, "run_id", "left_anti")))
     streams = analyze_lines(lines, settings)
     read = runs.join(skipped, "run_id", "left_anti")
-    stream = streams.states.unionByName(empty_logs(read, lines.select("run_id").distinct(), settings))
+    stream = materialize(streams.states.unionByName(empty_logs(read, lines.select("run_id").distinct(), settings)))
 
-    explicit = reports.join(tools.filter("explicit"), "run_id", "left_semi")
-    pytest = reports.join(tools.filter("tool = 'pytest'"), "run_id", "left_semi")
-    globbed = inferred_reports(reports, tools.filter("tool is not null"))
-    offered = reduce(DataFrame.unionByName, [explicit, pytest, globbed]).dropDuplicates(["run_id", "path"])
+    inputs = report_inputs(settings)
+    matched = materialize(match_reports(reports, inputs))
+    tools = materialize(report_tools(runs, settings, matched))
+    offered = chosen_reports(reports, matched, tools)
     dated = runs.select("run_id", "started_at").join(tools, "run_id")
     fresh = materialize(fresh_reports(offered, dated))
-    stale = only_stale(offered, dated)
-    junit_states = materialize(junit.junit_run_state(fresh))
+    # a named file that is absent is as good as a stale one
+    named = dated.filter(F.col("named") & F.col("started_at").isNotNull()).select("run_id")
+    stale = only_stale(offered, dated).union(named.join(fresh.select("run_id"), "run_id", "left_anti")).distinct()
+    zero = F.lit(0).cast("bigint")
+    absent = absent_files(runs, reports, inputs).select(
+        "run_id",
+        F.lit(None).cast("bigint").alias("planned"),
+        *[zero.alias(c) for c in COUNTERS],
+        F.lit(None).cast("string").alias("bailout_reason"),
+        F.col("absent").alias("parse_warning_count"),
+        zero.alias("protocol_failures"),
+    )
+    junit_states = materialize(junit.junit_run_state(fresh).select("run_id", *STATE_COLUMNS).unionByName(absent))
 
-    kept = prefer_reports(materialize(stream), junit_states, tools)
+    kept = prefer_reports(stream, junit_states, tools)
     base = runs.select("run_id").join(kept, "run_id", "left")
-    zero = F.lit(0).cast("bigint")
     base = base.select(
         "run_id",
         F.lit(0).alias("stage"),
@@ -131,4 +174,4 @@ def analyze_runs(
     errors = missing_reports(settings, offered)
     shown = suppress_stale(merged, skipped, stale, junit_states).join(errors, "run_id", "left_anti")
     failures = all_failures(streams.failures, junit.junit_failures(junit.junit_cases(fresh)))
-    return FleetResult(run_verdict(shown, runs), failures, errors)
+    return FleetResult(run_verdict(shown, runs), failures, errors, runs, settings, stream)

@@ -79,18 +79,20 @@ def documents_as_tap(spark, sf_dir):
 @query(
     "detection_budget",
     """
-    SELECT doc_id AS run_id, CASE WHEN n_chars * 20 + 1 <= 65536 THEN 'bun' ELSE 'tap' END AS format
+    SELECT doc_id AS run_id,
+           CASE WHEN strlen(replace(coalesce(text, ''), chr(10), chr(13) || chr(10))) + 2 <= 65536 THEN 'bun' ELSE 'tap' END
+             AS format
     FROM documents
     """,
 )
 def detection_budget(spark, sf_dir):
     docs = fixtures.table(spark, sf_dir, "documents")
-    pad = F.expr("repeat('~', cast(n_chars * 20 as int))")
-    chunks = docs.select(
-        F.col("doc_id").alias("run_id"),
-        F.explode_outer(F.array(F.struct(F.lit(0).cast("bigint").alias("seq"), pad.alias("chunk")),
-                          F.struct(F.lit(1).cast("bigint").alias("seq"), F.lit("\nbun test v1\n").alias("chunk")))).alias("x"),
-    ).select("run_id", "x.seq", "x.chunk")
+    # carriage returns count; some texts are cut between a carriage return and its line feed
+    text = F.concat(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\r\n")), F.lit("\r"))
+    tail = F.concat(F.lit("\n"), F.lit("bun test v1\n"))
+    zero, one = (F.lit(n).cast("bigint") for n in (0, 1))
+    parts = F.array(F.struct(zero.alias("seq"), text.alias("chunk")), F.struct(one.alias("seq"), tail.alias("chunk")))
+    chunks = docs.select(F.col("doc_id").alias("run_id"), F.explode(parts).alias("x")).select("run_id", "x.seq", "x.chunk")
     return detect_format(stored_lines(chunks))
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from testlog.operators import failures as fl
 from testlog.operators import jsonlog, junit, runs, tap
-from testlog.operators.durable import materialize
+from testlog.operators.durable import materialize, session_folder
 from testlog.operators.lines import stored_lines
 from testlog.plans import fixtures
 from testlog.plans.catalog import query
@@ -446,20 +448,21 @@ base AS (
 facts AS (
   SELECT b.*, coalesce(j.fresh, false) AS fresh, j.run_id IS NOT NULL AS has_report,
          b.run_id % 16 = 0 AS reports_only,
-         b.run_id % 12 = 0 OR b.run_id % 64 = 0 AS explicit,
-         CASE WHEN b.run_id % 12 = 0 OR b.run_id % 64 = 0 THEN NULL
-              WHEN b.run_id % 8 = 0 THEN 'gradle' WHEN b.run_id % 8 = 1 THEN 'maven'
-              WHEN b.run_id % 8 IN (2, 3) THEN 'pytest' END AS tool,
+         b.run_id % 12 = 0 OR b.run_id % 64 = 0 AS explicit, b.run_id % 64 = 0 AS named,
+         CASE WHEN b.run_id % 8 = 0 THEN 'gradle' WHEN b.run_id % 8 = 1 THEN 'maven'
+              WHEN b.run_id % 8 IN (2, 3) THEN 'pytest' END AS program,
          CASE WHEN b.run_id % 6 = 0 THEN true ELSE b.run_id % 4 <> 0 END AS auto
   FROM base b LEFT JOIN judged j ON j.run_id = b.run_id),
 plan AS (
-  SELECT *, reports_only OR (tool IS NOT NULL AND auto) AS skip,
-         has_report AND (explicit OR coalesce(tool, '') IN ('pytest', 'gradle')) AS offered
+  -- the configured globs match no report, so the usual places are looked at unless a file is named
+  SELECT *, reports_only OR (NOT explicit AND program IS NOT NULL AND auto) AS skip,
+         has_report AND NOT named AND (coalesce(program, '') = 'gradle' OR NOT explicit AND coalesce(program, '') = 'pytest')
+           AS offered
   FROM facts),
 used AS (
-  SELECT *, offered AND (coalesce(tool = 'pytest', false) OR fresh) AS taken FROM plan),
+  SELECT *, offered AND (program = 'pytest' OR fresh) AS taken FROM plan),
 merged AS (
-  SELECT run_id, reports_only, offered, skip, taken, tool, n,
+  SELECT run_id, reports_only, offered, named, skip, taken, n,
          NOT skip AND n > 0 AS logged, NOT skip AND n = 0 AS silent,
          taken AND run_id % 17 <> 0 AS counted, p, f, t, s
   FROM used)
@@ -474,8 +477,8 @@ SELECT run_id,
        CAST(CASE WHEN taken AND NOT counted THEN 1 ELSE 0 END AS BIGINT) AS parse_warning_count,
        CAST(CASE WHEN silent THEN 1 ELSE 0 END AS BIGINT) AS protocol_failures
 FROM merged
-WHERE NOT (reports_only AND NOT offered)
-  AND NOT (skip AND offered AND NOT taken)
+WHERE NOT (reports_only AND NOT offered AND NOT named)
+  AND NOT (skip AND (offered OR named) AND NOT taken)
 """
 
 
@@ -492,7 +495,172 @@ def fleet_states(spark, sf_dir):
     "fleet_errors",
     FLEET.split("SELECT run_id,\n       CAST(CASE WHEN logged")[0]
     + "SELECT run_id, 'no_reports: only reports are asked for and there is none' AS error "
-    "FROM merged WHERE reports_only AND NOT offered",
+    "FROM merged WHERE reports_only AND NOT offered AND NOT named",
 )
 def fleet_errors(spark, sf_dir):
     return _fleet(spark, sf_dir).errors
+
+
+def _report_settings(spark, sf_dir):
+    """R2: report inputs on several layers, chosen by modulus."""
+    key = F.col("o_orderkey")
+    entries = [
+        (key % 3 == 0, "junit_glob", F.lit("app/**/TEST-*0.xml,app/build/test-results/*/TEST-?.xml")),
+        (key % 5 == 0, "junit_dir", F.lit("app/build/")),
+        (key % 7 == 0, "junit_dir", F.lit("app/buil")),
+        (key % 11 == 0, "junit_file", F.concat(F.lit("app/build/test-results/test/TEST-"), key, F.lit(".xml"))),
+        (key % 13 == 0, "junit_file", F.lit("nowhere.xml")),
+        (key % 17 == 0, "auto_junit_reports", F.lit("false")),
+        (key % 19 == 0, "junit_glob", F.lit("*.xml,[!b]pp/**/[^T]*.xml")),
+    ]
+    items = F.array(
+        *[
+            F.when(cond, F.struct(F.lit("local").alias("layer"), F.lit(k).alias("key"), v.alias("value")))
+            for cond, k, v in entries
+        ]
+    )
+    rows = fixtures.table(spark, sf_dir, "orders").select(key.alias("run_id"), F.explode(items).alias("x"))
+    # of two values of one key and layer the later entry stands
+    return rows.filter(F.col("x").isNotNull()).groupBy("run_id", "x.key").agg(
+        F.first("x.layer").alias("layer"), F.max("x.value").alias("value")
+    )
+
+
+@query(
+    "fleet_reports",
+    """
+    WITH r AS (
+      SELECT DISTINCT l_orderkey AS run_id, 'app/build/test-results/test/TEST-' || l_orderkey || '.xml' AS path FROM lineitem),
+    s AS (
+      SELECT o_orderkey AS run_id,
+             o_orderkey % 11 = 0 AND o_orderkey % 13 <> 0 AS file_hit, o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 AS named,
+             o_orderkey % 5 = 0 AS dir_hit, o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 AS dir,
+             -- in a glob only [!...] stands for other characters, so [^T] matches a T
+             CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 10 = 0 OR o_orderkey < 10 ELSE o_orderkey % 19 = 0 END AS glob_hit,
+             o_orderkey % 3 = 0 OR o_orderkey % 19 = 0 AS globbed,
+             o_orderkey % 17 <> 0 AS auto, o_orderkey % 8 AS program
+      FROM orders),
+    m AS (SELECT *, file_hit OR dir_hit OR glob_hit AS hit, named OR dir OR globbed AS explicit FROM s)
+    SELECT run_id, path, explicit FROM m JOIN r USING (run_id)
+    WHERE hit OR (NOT named AND auto AND (program = 0 OR (program IN (2, 3) AND NOT explicit)))
+    """,
+)
+def fleet_reports(spark, sf_dir):
+    all_runs = order_runs(spark, sf_dir)
+    settings = materialize(runs.resolve_settings(all_runs, _report_settings(spark, sf_dir)))
+    reports = fixtures.junit_reports(spark, sf_dir).select("run_id", "path")
+    matched = materialize(runs.match_reports(reports, runs.report_inputs(settings)))
+    tools = runs.report_tools(all_runs, settings, matched)
+    chosen = runs.chosen_reports(reports, matched, tools)
+    return chosen.join(tools.select("run_id", "explicit"), "run_id").select("run_id", "path", "explicit")
+
+
+def _policy_fleet(spark, sf_dir):
+    """R3: one run per customer with T1's lines, and settings by modulus that thin and route what is sent."""
+    items = fixtures.numbered_items(spark, sf_dir)
+    orders = fixtures.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    failed = F.col("l_returnflag") == "R"
+    line = F.concat_ws("", F.when(failed, "not ok").otherwise("ok"), F.lit(" part "), F.col("l_partkey") % 9)
+    rows = items.join(orders, "l_orderkey")
+    chunks = rows.select(
+        F.col("o_custkey").alias("run_id"), (F.col("l_orderkey") * 64 + F.col("rn")).cast("bigint").alias("seq"),
+        F.concat(line, F.lit("\n")).alias("chunk"),
+    )
+    customer = fixtures.table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    none = F.lit(None)
+    all_runs = materialize(
+        customer.select(
+            key.alias("run_id"), F.col("c_name").alias("project"), none.cast("array<string>").alias("command"),
+            none.cast("timestamp").alias("started_at"), none.cast("int").alias("exit_code"),
+        )
+    )
+    entries = [
+        (key % 3 == 0, "cli", "dedup_failures", F.lit("false")),
+        (key % 4 == 0, "env", "max_failure_notifications", (key % 5).cast("string")),
+        (key % 7 == 0, "user", "enabled", F.lit("false")),
+        (key % 5 == 0, "local", "include_project_context", F.lit("false")),
+        (key % 6 == 0, "cli", "project_label", F.lit("Team")),
+        (key % 2 == 0, "env", "summary_format", F.lit("text")),
+        (key % 9 == 0, "cli", "summary_format", F.lit("json")),
+        (key % 8 == 0, "local", "summary_file", F.concat(F.lit("out"), key % 3, F.lit(".txt"))),
+        (key % 16 == 0, "cli", "summary_file", F.lit("-")),
+    ]
+    given = [
+        F.when(cond, F.struct(F.lit(layer).alias("layer"), F.lit(k).alias("key"), v.alias("value")))
+        for cond, layer, k, v in entries
+    ]
+    rows = customer.select(key.alias("run_id"), F.explode(F.array(*given)).alias("x")).filter(F.col("x").isNotNull())
+    settings = materialize(runs.resolve_settings(all_runs, rows.select("run_id", "x.*")))
+    reports = fixtures.junit_reports(spark, sf_dir).limit(0)
+    return analyze_runs(chunks, all_runs, reports, settings)
+
+
+POLICY = f"""
+items AS (
+  SELECT o_custkey AS run_id, 'part ' || (l_partkey % 9) AS label, l_returnflag = 'R' AS failed,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, {ITEM_ORDER}) AS line_no
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+listed AS (
+  SELECT run_id, CAST(line_no AS INTEGER) AS line_no, label FROM items WHERE failed
+  QUALIFY run_id % 3 = 0 OR row_number() OVER (PARTITION BY run_id, label ORDER BY line_no) = 1),
+sent AS (
+  SELECT run_id, line_no, label FROM listed WHERE run_id % 7 <> 0
+  QUALIFY run_id % 4 <> 0 OR row_number() OVER (PARTITION BY run_id ORDER BY line_no) <= run_id % 5),
+state AS (
+  SELECT c_custkey AS run_id, c_name, count(label) AS total, count(*) FILTER (NOT failed) AS passed, count(*) FILTER (failed) AS failed
+  FROM customer LEFT JOIN items ON run_id = c_custkey GROUP BY ALL),
+label AS (
+  SELECT c_custkey AS run_id,
+         CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 6 = 0 THEN 'Team' ELSE c_name END AS project
+  FROM customer)
+"""
+
+
+@query("fleet_failures", f"WITH {POLICY} SELECT * FROM sent")
+def fleet_failures(spark, sf_dir):
+    return _policy_fleet(spark, sf_dir).notified().select("run_id", "line_no", "label")
+
+
+@query(
+    "fleet_messages",
+    f"""
+    WITH {POLICY}
+    SELECT run_id, 'failure' AS kind, 'TAP failure' AS title,
+           concat_ws(chr(10), 'Runner: TAP', 'Test: ' || label, 'Reason: ' || label, 'Project: ' || project) AS body
+    FROM sent JOIN label USING (run_id)
+    UNION ALL
+    SELECT run_id, 'summary_failure', concat_ws(' - ', 'Run summary', project),
+           'status: failure; total: ' || total || '; passed: ' || passed || '; failed: ' || failed || '; todo: 0; skipped: 0'
+    FROM state JOIN label USING (run_id) WHERE run_id % 7 <> 0
+    """,
+)
+def fleet_messages(spark, sf_dir):
+    return _policy_fleet(spark, sf_dir).messages()
+
+
+SUMMARIES = f"""
+WITH {POLICY}
+SELECT run_id, CASE WHEN run_id % 16 <> 0 AND run_id % 8 = 0 THEN 'out' || (run_id % 3) || '.txt' END AS summary_file,
+       CASE WHEN run_id % 9 = 0 THEN
+         '{{"planned":null,"total":' || total || ',"passed":' || passed || ',"failed":' || failed
+         || ',"todo":0,"skipped":0,"bailout_reason":null,"parse_warning_count":0,"protocol_failures":1}}'
+       ELSE 'status=failure total=' || total || ' passed=' || passed || ' failed=' || failed
+         || ' todo=0 skipped=0 parse_warnings=0' END AS summary
+FROM state WHERE run_id % 9 = 0 OR run_id % 2 = 0
+"""
+
+
+@query("fleet_summaries", SUMMARIES)
+def fleet_summaries(spark, sf_dir):
+    return _policy_fleet(spark, sf_dir).summaries()
+
+
+@query(
+    "written_summaries",
+    f"SELECT coalesce(summary_file, '-') AS summary_file, summary FROM ({SUMMARIES})",
+)
+def written_summaries(spark, sf_dir):
+    path = f"{session_folder(spark)}/summaries-{uuid.uuid4().hex}"
+    sinks.write_routed(_policy_fleet(spark, sf_dir).summaries(), path)
+    return sinks.read_routed(spark, path)

@@ -26,11 +26,14 @@ def test_any_cut_gives_the_same_lines(spark, block):
             rows.append((i, seq, text[at : at + size]))
             at, seq = at + size, seq + 1
     chunks = spark.createDataFrame(rows, "run_id bigint, seq bigint, chunk string")
-    got = {}
+    got, sizes = {}, {}
     for r in chunks_to_lines(chunks, block=block).collect():
         got.setdefault(r.run_id, []).append((r.line_no, r.line))
+        sizes.setdefault(r.run_id, []).append((r.line_no, r.bytes))
     for i, text in enumerate(texts):
         lines = sorted(got.get(i, []))
+        raw = [len(part.encode()) for part in re.findall(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+\Z", text)]
+        assert [n for _, n in sorted(sizes.get(i, []))] == raw, repr(text)
         assert [n for n, _ in lines] == list(range(1, len(lines) + 1))
         assert [line for _, line in lines] == expected_lines(text), repr(text)
 
@@ -56,3 +59,11 @@ def test_first_telling_line_decides(spark):
     lines = spark.createDataFrame(rows, "run_id bigint, line_no int, line string")
     got = {r.run_id: r.format for r in detect_format(lines).collect()}
     assert got == {i: f for i, (_, f) in enumerate(CASES)}
+
+
+def test_line_ends_count_in_the_budget(spark):
+    texts = ["x\r\n" * 22000 + "Ran 3 tests\n", "x\n" * 22000 + "Ran 3 tests\n", "x\r\n" * 21846 + "{", "x\r\n" * 21845 + "y{\r\n{"]
+    rows = [(i, k, part) for i, t in enumerate(texts) for k, part in enumerate((t[:7777], t[7777:]))]
+    chunks = spark.createDataFrame(rows, "run_id bigint, seq bigint, chunk string")
+    got = {r.run_id: r.format for r in detect_format(chunks_to_lines(chunks)).collect()}
+    assert got == {0: "tap", 1: "bun", 2: "tap", 3: "tap"}
