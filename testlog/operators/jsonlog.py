@@ -133,9 +133,11 @@ def nextest_events(values: DataFrame) -> DataFrame:
     return json_events(values).filter(F.col("source") == "nextest")
 
 
-def summary_docs(values: DataFrame) -> DataFrame:
-    """Jest and Vitest summary documents with their stated counts."""
-    v = F.col("v")
+STATED = ("total", "passed", "failed", "skipped", "todo")
+
+
+def _stated(v: Column) -> tuple[Column, dict[str, Column]]:
+    """Kind of a summary document, null for other values, and the counts it states."""
     jest = {
         "total": count_at(v, "$.v.numTotalTests"),
         "passed": count_at(v, "$.v.numPassedTests"),
@@ -151,29 +153,40 @@ def summary_docs(values: DataFrame) -> DataFrame:
         "todo": F.lit(None).cast("bigint"),
     }
 
-    def stated(c: dict[str, Column]) -> Column:
+    def told(c: dict[str, Column]) -> Column:
         return F.coalesce(c["total"], c["passed"], c["failed"]).isNotNull()
 
-    kind = F.when(stated(jest), F.lit("jest")).when(stated(vitest), F.lit("vitest"))
+    kind = F.when(told(jest), F.lit("jest")).when(told(vitest), F.lit("vitest"))
+    is_jest = F.col("kind") == "jest"
+    return kind, {n: F.coalesce(F.when(is_jest, jest[n]).otherwise(vitest[n]), F.lit(0)) for n in STATED}
+
+
+def summary_docs(values: DataFrame) -> DataFrame:
+    """Jest and Vitest summary documents with their stated counts."""
+    kind, counts = _stated(F.col("v"))
     docs = (
         with_source(values)
         .filter(F.col("source").isNull())
         .withColumn("kind", kind)
         .filter(F.col("kind").isNotNull())
     )
-    is_jest = F.col("kind") == "jest"
     return docs.select(
-        "run_id",
-        "line_no",
-        F.col("kind").alias("source"),
-        *[
-            F.coalesce(F.when(is_jest, jest[n]).otherwise(vitest[n]), F.lit(0)).alias(n)
-            for n in jest
-        ],
-        "v",
+        "run_id", "line_no", F.col("kind").alias("source"), *[c.alias(n) for n, c in counts.items()], "v"
     )
 
 
+def value_facts(values: DataFrame) -> DataFrame:
+    """What every value counts, row by row: ``outcome`` of an event, or ``kind`` and counts (``doc_..``) of a
+    summary document; a null ``v`` counts nothing.  ``v`` and ``source`` are dropped."""
+    v = F.col("v")
+    kind, counts = _stated(v)
+    is_go = F.col("source") == "go"
+    outcome = F.when(is_go, _go(v)["outcome"]).when(F.col("source").isNotNull(), _nextest(v)["outcome"])
+    rows = with_source(values).withColumns({"outcome": outcome, "kind": F.when(F.col("source").isNull(), kind)})
+    stated = {f"doc_{n}": F.when(F.col("kind").isNotNull(), c) for n, c in counts.items()}
+    return rows.withColumns(stated).drop("v", "source")
+
+
 def _items(entry: Column) -> Column:
     """What may have failed in one entry: its assertions, or the entry itself where it lists none."""
     alone = F.array(F.struct(entry.alias("entry"), F.lit(None).cast("variant").alias("assertion")))

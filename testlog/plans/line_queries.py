@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from testlog.operators.durable import materialize
+from testlog.operators.durable import materialize, session_folder
 from testlog.operators.lines import (
     binary_chunks_to_lines,
     choose_format,
@@ -16,6 +18,7 @@ from testlog.operators.lines import (
 from testlog.operators.tap import tap_run_state
 from testlog.plans import fixtures
 from testlog.plans.catalog import query
+from testlog.sources.chunks import read_log_files
 
 WHITE = "[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{0B}]"
 
@@ -46,6 +49,27 @@ def log_lines(spark, sf_dir):
     return stored_lines(chunks).select("run_id", "line_no", "line")
 
 
+@query(
+    "log_files",
+    """
+    SELECT CAST(user_id % 8 AS VARCHAR) AS run_id,
+           CAST(row_number() OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) AS INTEGER) AS line_no,
+           event_type || ' ' || event_id AS line
+    FROM events
+    """,
+)
+def log_files(spark, sf_dir):
+    events = fixtures.table(spark, sf_dir, "events")
+    path = f"{session_folder(spark)}/logs-{uuid.uuid4().hex}"
+    run = (F.col("user_id") % 8).alias("run")
+    # one file for each run, its lines in order
+    rows = events.select(run, "ts", "event_id", F.concat_ws(" ", "event_type", "event_id").alias("value"))
+    rows = rows.repartition("run").sortWithinPartitions("run", "ts", "event_id").select("value", "run")
+    rows.write.partitionBy("run").text(path)
+    chunks = read_log_files(spark, path, r"/run=([^/]+)/")
+    return stored_lines(chunks).select("run_id", "line_no", "line")
+
+
 def document_chunks(spark, sf_dir):
     docs = fixtures.table(spark, sf_dir, "documents")
     return docs.select(

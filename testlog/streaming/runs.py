@@ -6,16 +6,17 @@ Input streams have one line per row: run_id, line_no, line, event_ts.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.window import Window as W
 
-from testlog.functions.tap import KIND, UNNAMED_TEST, tap_tokens
+from testlog.operators.durable import materialize
 from testlog.operators.failures import dedup_key, render_failures
 from testlog.operators.jsonlog import json_events, parse_lines
 from testlog.schema import LOG_LINES
+from testlog.streaming.close import stream_tap_runs
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -90,138 +91,71 @@ def stream_dedup(failures: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
-CAPPED = (
-    "run_id BIGINT, event_ts TIMESTAMP, line_no INT, source STRING, label STRING, reason STRING"
-)
-
-
-class CapFailures(StatefulProcessor):
-    """Emit a run's first failures in line order, at most ``limit``, then stay silent.
+def stream_cap(
+    lines: DataFrame, limit: int, delay: str = "10 minutes", idle_ms: int = 3_600_000
+) -> DataFrame:
+    """At most ``limit`` failing points per run from a stream of TAP lines, by the rules of the protocol.
 
-    State per run is the number emitted, the next line expected and the lines
-    that came early.  An event-time timer lets the run go ``idle_ms`` after its
-    last line.
+    The delay must cover how far lines of different runs are apart in time; the session must keep streaming
+    state in RocksDB (``rocksdb_state``).
     """
+    rows = stream_tap_runs(lines, limit=limit, delay=delay, idle_ms=idle_ms).filter(~F.col("closed"))
+    label = F.col("label")
+    return rows.select(
+        "run_id", "event_ts", F.col("line_no").cast("int").alias("line_no"), F.lit("TAP").alias("source"), label, label.alias("reason")
+    )
 
-    def __init__(self, limit: int, idle_ms: int):
-        self.limit = limit
-        self.idle_ms = idle_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.progress = handle.getValueState(
-            "progress", "emitted INT, next_line INT, waiting INT, closes_at BIGINT"
-        )
-        self.early = handle.getMapState(
-            "early", "line_no INT", "event_ts TIMESTAMP, failed BOOLEAN, label STRING"
-        )
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streaming state in RocksDB, which several state variables per key need, while queries are started."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
 
-    def _row(self, key, line_no, line) -> dict:
-        event_ts, _, label = line
-        return {
-            "run_id": key[0], "event_ts": event_ts, "line_no": line_no, "source": "TAP",
-            "label": label, "reason": label,
-        }
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        emitted, expected, waiting, closes_at = (
-            self.progress.get() if self.progress.exists() else (0, 1, 0, 0)
-        )
-        latest = closes_at - self.idle_ms
-        for batch in rows:
-            latest = max(latest, int(batch["event_ts"].max().timestamp() * 1000))
-            if emitted >= self.limit:
-                continue
-            fresh = {
-                int(n): (ts.to_pydatetime(), bool(f), label)
-                for n, ts, f, label in zip(
-                    batch["line_no"], batch["event_ts"], batch["failed"], batch["label"]
-                )
-            }
-            out = []
-            while emitted < self.limit:
-                line = fresh.pop(expected, None)
-                if line is None and waiting and self.early.containsKey((expected,)):
-                    line = tuple(self.early.getValue((expected,)))
-                    self.early.removeKey((expected,))
-                    waiting -= 1
-                if line is None:
-                    break
-                if line[1]:
-                    out.append(self._row(key, expected, line))
-                    emitted += 1
-                expected += 1
-            if emitted < self.limit:
-                for n, line in fresh.items():
-                    self.early.updateValue((n,), line)
-                waiting += len(fresh)
-            elif waiting:
-                self.early.clear()
-                waiting = 0
-            if out:
-                yield pd.DataFrame(out)
-        if closes_at:
-            self.handle.deleteTimer(closes_at)
-        closes_at = latest + self.idle_ms
-        self.handle.registerTimer(closes_at)
-        self.progress.update((emitted, expected, waiting, closes_at))
-
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-        """The run has ended: failures behind a gap are still owed, in order."""
-        emitted = self.progress.get()[0] if self.progress.exists() else 0
-        owed = sorted((k[0], tuple(v)) for k, v in self.early.iterator() if v[1])
-        self.early.clear()
-        self.progress.clear()
-        if owed[: self.limit - emitted]:
-            yield pd.DataFrame([self._row(key, n, line) for n, line in owed[: self.limit - emitted]])
-
-    def close(self) -> None:
-        pass
+def message_id(batch_id: int) -> Column:
+    """Names a message of a batch, the same when the batch is run again."""
+    return F.sha2(F.concat_ws("|", F.lit(batch_id).cast("string"), "run_id", "kind", "title", "body", "copy"), 256)
 
 
-def stream_cap(
-    lines: DataFrame, limit: int, delay: str = "10 minutes", idle_ms: int = 3_600_000
-) -> DataFrame:
-    """At most ``limit`` failing points per run from a stream of flat TAP lines.
+def alert_sink(
+    failures: DataFrame,
+    write: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    ledger: str | None = None,
+):
+    """Send rendered failure messages batch by batch; ``write`` gets (messages, batch id).
 
-    The delay must cover how far lines of different runs are apart in time.
+    With ``ledger``, a folder, messages carry a ``message_id`` and what was sent is noted there, so that a
+    batch that is run again after a failure sends only what was not sent before.
     """
-    # several state variables per key need the RocksDB store
-    lines.sparkSession.conf.set(STATE_STORE, ROCKSDB)
-    packed = lines.select(F.struct("run_id", "event_ts").alias("run_id"), "line_no", "line")
-    tokens = tap_tokens(packed)
-    failed = (
-        (F.col("kind") == KIND["point"])
-        & (F.col("spaces") == 0)
-        & ~F.col("ok")
-        & F.col("directive").isNull()
-    )
-    rows = tokens.select(
-        "run_id.run_id",
-        "run_id.event_ts",
-        "line_no",
-        F.coalesce(failed, F.lit(False)).alias("failed"),
-        F.coalesce("description", F.lit(UNNAMED_TEST)).alias("label"),
-    )
-    return (
-        rows.withWatermark("event_ts", delay)
-        .groupBy("run_id")
-        .transformWithStateInPandas(
-            CapFailures(limit, idle_ms),
-            outputStructType=CAPPED,
-            outputMode="append",
-            timeMode="eventTime",
-        )
-    )
-
-
-def alert_sink(failures: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
-    """Send rendered failure messages batch by batch; ``write`` gets (messages, batch id)."""
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
         named = batch if "project" in batch.columns else batch.withColumn(
             "project", F.lit(None).cast("string")
         )
-        write(render_failures(named), batch_id)
+        messages = render_failures(named)
+        if ledger is None:
+            write(messages, batch_id)
+            return
+        spark = batch.sparkSession
+        # equal messages of one batch are told apart by number
+        again = W.partitionBy("run_id", "kind", "title", "body").orderBy(F.lit(1))
+        messages = messages.withColumn("copy", F.row_number().over(again))
+        messages = materialize(messages.withColumn("message_id", message_id(batch_id)).drop("copy"))
+        sent = spark.read.schema("message_id STRING, batch BIGINT").parquet(ledger) if _exists(spark, ledger) else None
+        if sent is not None:
+            messages = messages.join(sent.filter(F.col("batch") == batch_id), "message_id", "left_anti")
+        write(messages, batch_id)
+        messages.select("message_id", F.lit(batch_id).cast("bigint").alias("batch")).write.mode("append").partitionBy("batch").parquet(ledger)
 
     return failures.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
