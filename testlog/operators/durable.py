@@ -10,6 +10,7 @@ run of unbounded size.
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,13 +26,16 @@ _FOLDERS: dict[str, str] = {}
 def checkpoint_root(spark: SparkSession) -> str:
     """Folder that the driver and every executor share.
 
-    ``spark.checkpoint.dir`` names it.  Where that is unset the session's warehouse
-    is used, which Spark shares as well; never a folder of one machine.
+    ``spark.checkpoint.dir`` names it.  Where that is unset, a session on one machine
+    uses its warehouse; on a cluster no folder is sure to be shared, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder shared by the whole cluster ({master})")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
     return root.rstrip("/")
 

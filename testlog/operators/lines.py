@@ -55,10 +55,7 @@ def chunks_to_lines(
         *(["event_ts"] if timed else []),
         *([F.expr(f"seq div {block}").alias("block")] if long_runs else []),
         flat.alias("text"),
-        F.when(
-            F.contains(raw, F.lit("\r\n")),
-            F.transform(F.regexp_extract_all(raw, F.lit(r"\r\n|\r|\n"), F.lit(0)), F.octet_length),
-        ).alias("ends"),
+        F.when(F.contains(raw, F.lit("\r\n")), F.regexp_extract_all(raw, F.lit(r"\r\n|\r|\n"), F.lit(0))).alias("ends"),
         raw.startswith("\n").alias("opens_nl"),
         raw.endswith("\r").alias("ends_cr"),
         (raw.endswith("\r") | raw.endswith("\n")).alias("ends_line"),
@@ -150,7 +147,7 @@ def chunks_to_lines(
             "piece",
             (
                 width("piece")
-                + F.when(F.col("pos") < F.col("last"), F.coalesce(F.get("ends", F.col("pos")), F.lit(1))).otherwise(0)
+                + F.when(F.col("pos") < F.col("last"), F.coalesce(F.octet_length(F.get("ends", F.col("pos"))), F.lit(1))).otherwise(0)
                 + F.when(F.col("pos") == F.col("last") - 1, F.col("late_nl")).otherwise(0)
             )
             .cast("bigint")

@@ -100,7 +100,22 @@ def stream_run_counts(spark, sf_dir):
     return _run_updates(st.stream_run_counts(_event_lines(spark, sf_dir)), spark)
 
 
-@query("stream_run_close")
+@query(
+    "stream_run_close",
+    """
+    WITH e AS (
+      SELECT user_id AS run_id, CAST(ts AS TIMESTAMP) AS ts, event_type,
+             CAST(ts AS TIMESTAMP) >= lag(CAST(ts AS TIMESTAMP)) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE AS opens
+      FROM events WHERE event_type IN ('click', 'error', 'signup')),
+    s AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY run_id ORDER BY ts) AS session FROM e),
+    c AS (
+      SELECT run_id, min(ts) AS started_at, max(ts) + INTERVAL 30 MINUTE AS closed_at, count(*) AS total,
+             count(*) FILTER (event_type = 'click') AS passed, count(*) FILTER (event_type = 'error') AS failed,
+             count(*) FILTER (event_type = 'signup') AS skipped, CAST(0 AS BIGINT) AS todo
+      FROM s GROUP BY run_id, session)
+    SELECT * FROM c WHERE closed_at <= (SELECT max(CAST(ts AS TIMESTAMP)) FROM events) - INTERVAL 10 MINUTE
+    """,
+)
 def stream_run_close(spark, sf_dir):
     return _run(st.stream_run_close(_event_lines(spark, sf_dir)), spark)
 
