@@ -4,11 +4,14 @@ A page is cut into blocks at block-level tags.  Each block has a length, a share
 characters inside links, a density of common words, and the region it stands in
 (boilerplate by tag, role or class name; an article; or the open page).
 
-First pass, per block: boilerplate regions and link lists are bad; long blocks are
-good, on the open page only with enough common words; all others are undecided.
+First pass, per block: boilerplate regions and link lists are bad; long blocks are good in
+an article, and on the open page unless they hold far fewer common words than the page.  A
+page whose words are not common in any listed language is judged by length alone.  All
+others are undecided, among them headings that are links.
 Second pass: undecided blocks take the label of the nearest decided blocks on both
 sides within their region; where these disagree, the nearer one counts, the one before
-on a tie; where there is none, the block is kept.
+on a tie.  A link list passes its label on only to blocks that hold links themselves.  Where
+there is no such neighbour, or the region has no good block, the block is kept.
 
 Defined results: null html counts as empty; a page without text, or of boilerplate
 only, gives an empty text; unclosed tags, comments and pages end where the page ends;
@@ -31,15 +34,19 @@ from testlog.llm.quality import COMMON_WORDS
 
 LONG = 140  # characters of a block that decides by itself
 LINK_SHARE = 0.4
-COMMON_DENSITY = 0.10
+COMMON_DENSITY = 0.10  # share of common words from which the page's language counts as listed
+RELATIVE_DENSITY = 0.5  # of the page's density, which a long block of the open page needs
 
 # Element names of HTML by their part in a page.
-RAW = frozenset("script style template noscript textarea title svg math iframe object canvas head".split())
+RAW = frozenset("script style template noscript textarea title svg annotation annotation-xml iframe object canvas head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike "
-    "strong sub sup time tt u var wbr img ruby rt rp".split()
+    "strong sub sup time tt u var wbr img ruby rt rp "
+    "math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover "
+    "mfenced mstyle mpadded mphantom menclose mmultiscripts mprescripts mtable mtr mtd".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOILERPLATE = frozenset("nav footer aside form dialog menu button select fieldset header".split())
 ARTICLE = frozenset(("article", "main"))
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu".split())
@@ -50,8 +57,10 @@ MARKS = frozenset(
     "related recommended share sharing social comment comments disqus replies breadcrumb breadcrumbs menu nav "
     "navbar navigation pagination pager footer header masthead widget widgets toolbar".split()
 )
-# Names that belong to wrappers of the content, whatever else they say.
-WRAPPERS = frozenset("content main article body post entry wrapper container page has with no layout".split())
+# Beside these a mark says what the page has around the element, not what the element is.
+ABOUT_OTHERS = frozenset("has with without no layout".split())
+# Beside these a header is that of the content.
+CONTENT = frozenset("article content entry post".split())
 COMMON = frozenset(w for listed in COMMON_WORDS.values() for w in listed)
 
 TAG = re.compile(r"""(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
@@ -67,36 +76,38 @@ class Block:
     kind: str  # what that region is: "boilerplate", "article" or "page"
     parts: list[str] = field(default_factory=list)
     linked: int = 0  # characters inside links
+    tag: str = ""  # the element it begins in
 
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
 
 
-def _marked(name: str, attributes: str, inside_article: bool) -> bool:
-    """Do the tag or its attributes say boilerplate?"""
+def _marked(name: str, attributes: str, inside_article: bool) -> str:
+    """Do the tag or its attributes say boilerplate?  "element" or "name" by what says so, else empty."""
     if name in BOILERPLATE and not (name == "header" and inside_article):
-        return True
+        return "element"
     if not attributes:
-        return False
+        return ""
+    by_name = ""
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
+            return "element"
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
+                return "element"
         elif key == "role":
             if value.lower() in ROLES:
-                return True
+                return "element"
         elif name not in ("html", "body", "main"):
             for word in value.split():
                 parts = {p.lower() for p in NAME_PART.findall(word)}
                 found = parts & MARKS
-                if inside_article:
+                if inside_article or parts & CONTENT:
                     found = found - {"header"}
-                if found and not parts & WRAPPERS:
-                    return True
-    return False
+                if found and not parts & ABOUT_OTHERS:
+                    by_name = "name"
+    return by_name
 
 
 def blocks(page: str) -> list[Block]:
@@ -106,12 +117,13 @@ def blocks(page: str) -> list[Block]:
     region, kind, regions = 0, "page", 0
     links = 0
     block = Block(region, kind)
+    named: set[int] = set()  # boilerplate regions that only a class name or id makes so
 
     def close() -> None:
         nonlocal block
         if block.parts and "".join(block.parts).strip():
             found.append(block)
-        block = Block(region, kind)
+        block = Block(region, kind, tag=stack[-1][0] if stack else "")
 
     def say(text: str) -> None:
         if text:
@@ -183,49 +195,83 @@ def blocks(page: str) -> list[Block]:
             region, kind = stack.pop()[1:]
         stack.append((name, region, kind))
         if kind != "boilerplate":
-            if _marked(name, attributes, kind == "article"):
+            marked = _marked(name, attributes, kind == "article")
+            if marked:
                 regions += 1
                 region, kind = regions, "boilerplate"
+                if marked == "name":
+                    named.add(region)
             elif name in ARTICLE and kind != "article":
                 regions += 1
                 region, kind = regions, "article"
+        elif name == "main" and region in named:
+            # the name was that of a wrapper of the whole page
+            regions += 1
+            region, kind = regions, "article"
         close()
     close()
     return found
 
 
-def first_pass(block: Block, text: str) -> bool | None:
-    """Good, bad or undecided by the block alone."""
+def density(text: str) -> float:
+    """Share of common words of the listed languages."""
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in COMMON for w in words) / max(1, len(words))
+
+
+def is_link_list(block: Block, text: str) -> bool:
+    return block.linked > LINK_SHARE * len(text.replace(" ", ""))
+
+
+def first_pass(block: Block, text: str, page_density: float) -> bool | None:
+    """Good, bad or undecided by the block and the density of the whole page."""
     if block.kind == "boilerplate":
         return False
-    if block.linked > LINK_SHARE * len(text.replace(" ", "")):
-        return False
-    if block.kind == "article":
-        return True if len(text) >= LONG else None
-    words = text.lower().split()
-    dense = sum(w.strip(".,;:!?\"'()") in COMMON for w in words) >= COMMON_DENSITY * len(words)
-    return True if len(text) >= LONG and dense else None
-
-
-def second_pass(labels: list[bool | None], regions: list[int]) -> list[bool]:
-    """Undecided blocks inherit from the nearest decided ones of their region."""
-    out = list(labels)
-    before: dict[int, tuple[int, bool]] = {}
-    left: list[tuple[int, bool] | None] = []
-    for i, (label, region) in enumerate(zip(labels, regions)):
-        if label is not None:
-            before[region] = (i, label)
-        left.append(before.get(region))
-    after: dict[int, tuple[int, bool]] = {}
-    for i in range(len(labels) - 1, -1, -1):
-        if labels[i] is not None:
-            after[regions[i]] = (i, labels[i])
-            continue
-        a, b = left[i], after.get(regions[i])
-        if a and b:
-            out[i] = a[1] if i - a[0] <= b[0] - i else b[1]
-        else:
-            out[i] = (a or b or (i, True))[1]
+    if is_link_list(block, text):
+        return None if block.tag in HEADINGS else False
+    if len(text) < LONG:
+        return None
+    if block.kind == "article" or page_density < COMMON_DENSITY:
+        return True
+    return density(text) >= RELATIVE_DENSITY * page_density
+
+
+def second_pass(
+    labels: list[bool | None], regions: list[int], lists: list[bool] | None = None, with_links: list[bool] | None = None
+) -> list[bool]:
+    """Undecided blocks inherit from the nearest decided ones of their region.
+
+    ``lists`` marks link lists, whose label goes to blocks ``with_links`` only.
+    """
+    size = len(labels)
+    lists, with_links = lists or [False] * size, with_links or [True] * size
+    good = {region for label, region in zip(labels, regions) if label}
+
+    def nearest(order: Iterable[int]) -> list[tuple[int | None, int | None]]:
+        """Nearest decided block seen so far: of all, and without link lists."""
+        out: list[tuple[int | None, int | None]] = [(None, None)] * size
+        seen: dict[int, tuple[int | None, int | None]] = {}
+        for i in order:
+            every, plain = seen.get(regions[i], (None, None))
+            if labels[i] is not None:
+                every, plain = i, plain if lists[i] else i
+                seen[regions[i]] = (every, plain)
+            out[i] = (every, plain)
+        return out
+
+    before, after = nearest(range(size)), nearest(range(size - 1, -1, -1))
+    out: list[bool] = []
+    for i, label in enumerate(labels):
+        if label is None:
+            side = 0 if with_links[i] else 1
+            a, b = before[i][side], after[i][side]
+            if regions[i] not in good or (a is None and b is None):
+                label = True
+            elif b is None or (a is not None and i - a <= b - i):
+                label = labels[a]
+            else:
+                label = labels[b]
+        out.append(bool(label))
     return out
 
 
@@ -233,7 +279,13 @@ def main_text(page: str | None) -> tuple[str, int, int]:
     """(text, blocks of the page, blocks kept)."""
     found = blocks(page or "")
     texts = [b.text() for b in found]
-    labels = second_pass([first_pass(b, t) for b, t in zip(found, texts)], [b.region for b in found])
+    page_density = density(" ".join(t for b, t in zip(found, texts) if b.kind != "boilerplate" and not is_link_list(b, t)))
+    labels = second_pass(
+        [first_pass(b, t, page_density) for b, t in zip(found, texts)],
+        [b.region for b in found],
+        [is_link_list(b, t) for b, t in zip(found, texts)],
+        [b.linked > 0 for b in found],
+    )
     kept = [t for t, good in zip(texts, labels) if good and t]
     return "\n\n".join(kept), len(found), len(kept)
 

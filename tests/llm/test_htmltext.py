@@ -44,6 +44,36 @@ def test_end_tags_of_unparsed_elements(page, text):
     assert h.main_text(page)[0] == text
 
 
+RUSSIAN = "Дождь шёл весь год, и ветер на холмах долго был тем, о чём говорили все жители этой деревни. " * 3
+LINKS = "<ul><li><a href=/1>one</a></li><li><a href=/2>two</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<p>{RUSSIAN}</p>{LINKS}<p>{RUSSIAN}</p>", f"{RUSSIAN.strip()}\n\n{RUSSIAN.strip()}"),
+        ("<div><p>First short.</p><p>Second short.</p><a href=/2>next page</a></div>", "First short.\n\nSecond short."),
+        ("<article><h1>T</h1><p>Short.</p><p><a href=/s>Source</a></p></article>", "T\n\nShort."),
+        (f"<article><h1><a href=/t>Title</a></h1><p>{LONG}</p></article>", f"Title\n\n{LONG.strip()}"),
+        (f"<p>{LONG}</p><p>by me</p>{LINKS}", f"{LONG.strip()}\n\nby me"),
+        (f"<p>{LONG}</p>{LINKS}<p>See <a href=/x>it</a> there now</p>{LINKS}", LONG.strip()),
+        (f"<p>{LONG}</p><p>{'xq zz ' * 40}</p><p>ww</p>", LONG.strip()),
+        ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>", "so x=1 holds"),
+        (f"<div class='page-widget-wrapper'><main><p>{LONG}</p></main><p>other</p></div>", LONG.strip()),
+        ("<div class='post'><div class='entry-header'><h1>T</h1></div><p>x</p></div>", "T\n\nx"),
+    ],
+)
+def test_no_page_with_content_comes_out_empty(page, text):
+    assert h.main_text(page)[0] == text
+
+
+@pytest.mark.parametrize(
+    "name", ["sidebar-container", "ad-container", "cookie-banner-wrapper", "page-footer", "post-comments", "entry-footer"]
+)
+def test_marks_win_over_names_of_wrappers(name):
+    assert h.main_text(f"<p>{LONG}</p><div class='{name}'><p>{LONG}</p><p>x</p></div>")[0] == LONG.strip()
+
+
 def test_second_pass_takes_the_nearest_label_of_the_region():
     labels = [True, None, None, None, False, None, None, True]
     assert h.second_pass(labels, [0] * 8) == [True, True, True, False, False, False, True, True]
