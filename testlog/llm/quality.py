@@ -14,8 +14,9 @@ the input are kept; a measure replaces an input column of the same name.
 
 Repeats of three-word windows are found by sorting (hash, position) packed in one
 long per window: the position takes as many low bits as the document needs, the
-hash the others (48 at 30,000 words), so that two different windows of one such
-document are taken as equal with a chance of about 1e-6.
+hash the others.  Neighbours of equal hash are compared by their words; a document in
+which two different windows share a hash is sorted by the words themselves instead, so
+counts are exact at any length.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ WORD_LIMIT = 0.40
 
 SPACE = r"\x20\x09-\x0D"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+# Hash of one window ``w`` of three words.
+WINDOW_HASH = "xxhash64(w)"
 # Every working column carries this prefix, so that no input column can clash.
 P = "__q_"
 
@@ -103,6 +106,7 @@ def measure(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFram
         count(r"[#*$%&|<>]++").alias("n_symbols"),
         count(r"\p{N}++").alias(P + "digits"),
         (F.size(P + "lines") - F.size(F.array_distinct(P + "lines"))).cast("long").alias("n_dup_lines"),
+        P + "words",
         windows.alias(P + "windows"),
         _common_positions(words, F.col(P + "lang")).alias(P + "common"),
     )
@@ -110,7 +114,7 @@ def measure(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFram
         P + "sorted",
         F.sort_array(
             F.expr(
-                f"transform({P}windows, (w, i) -> shiftleft(xxhash64(w), {P}bits) | CAST(i AS BIGINT))"
+                f"transform({P}windows, (w, i) -> shiftleft({WINDOW_HASH}, {P}bits) | CAST(i AS BIGINT))"
             )
         ),
     ).drop(P + "windows")
@@ -123,19 +127,31 @@ def measure(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFram
     fourth = third.select(
         *kept,
         P + "lang", P + "chars", P + "upper", P + "spaces", P + "digits", P + "rest_chars",
-        P + "bits", P + "mask",
+        P + "bits", P + "mask", P + "words",
         "n_words", "n_symbols", "n_dup_lines",
         (F.col(P + "chars") - F.col(P + "spaces")).alias("word_chars"),
         F.slice(packed, F.lit(1), n).alias(P + "left"),
         F.slice(packed, F.lit(2), n).alias(P + "right"),
         F.array(*per_word, (F.col("n_words") - F.size(common)).cast("double")).alias(P + "word_counts"),
-    ).withColumn(
-        P + "twins",
-        F.expr(
-            f"array_remove(zip_with({P}left, {P}right, (a, b) -> IF((a ^ b) BETWEEN 0 AND {P}mask, "
-            f"shiftleft(a & {P}mask, {P}bits) | (b & {P}mask), -1L)), -1L)"
-        ),
     )
+    same_hash = f"(a ^ b) BETWEEN 0 AND {P}mask"
+    same_words = " AND ".join(
+        f"element_at({P}words, CAST(a & {P}mask AS INT) + {k}) = element_at({P}words, CAST(b & {P}mask AS INT) + {k})"
+        for k in (1, 2, 3)
+    )
+    twins = (
+        f"array_remove(zip_with({P}left, {P}right, (a, b) -> IF({same_hash}, "
+        f"shiftleft(a & {P}mask, {P}bits) | (b & {P}mask), -1L)), -1L)"
+    )
+    # only for documents in which two windows share a hash: neighbours in the order of the words themselves
+    by_words = (
+        f"transform(array(sort_array(transform(sequence(1, size({P}words) - 2), "
+        f"i -> struct(slice({P}words, i, 3) AS w, CAST(i - 1 AS BIGINT) AS i)))), "
+        f"s -> array_remove(zip_with(slice(s, 1, size(s) - 1), slice(s, 2, size(s) - 1), (a, b) -> "
+        f"IF(a.w = b.w, shiftleft(a.i, {P}bits) | b.i, -1L)), -1L))[0]"
+    )
+    clash = f"exists(zip_with({P}left, {P}right, (a, b) -> {same_hash} AND NOT ({same_words})), x -> x)"
+    fourth = fourth.withColumn(P + "twins", F.expr(f"IF({clash}, {by_words}, {twins})")).drop(P + "words")
     repeated = F.expr(
         f"CAST(size(array_distinct(flatten(transform({P}twins, t -> array("
         f"shiftright(t, {P}bits), shiftright(t, {P}bits) + 1, shiftright(t, {P}bits) + 2, "

@@ -38,6 +38,17 @@ def test_measures_match_brute_force(spark):
         assert not (r.base_failed and r.kept)
 
 
+def test_windows_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    rng = random.Random(12)
+    docs = [(d, " ".join(rng.choice("abcde") for _ in range(rng.choice([0, 1, 2, 3, 4, 40, 90])))) for d in range(120)]
+    docs.append((500, " ".join(f"w{i}" for i in range(400)) + " w7 w8 w9"))
+    table = spark.createDataFrame(docs, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    for hashed in ("pmod(xxhash64(w), 5)", "pmod(xxhash64(w), 400)", "0L"):
+        monkeypatch.setattr(q, "WINDOW_HASH", hashed)
+        got = {r.doc_id: r.n_repeat_words for r in q.measure(table).select("doc_id", "n_repeat_words").collect()}
+        assert got == {d: measures(t)[4] for d, t in docs}
+
+
 def test_distance(spark):
     def js(p, r):
         part = lambda a, b: a * math.log2(2 * a / (a + b)) if a else 0.0
