@@ -10,8 +10,10 @@ shorter item) agree in a share of ``THRESHOLD`` or more.
 An item shorter than ``STRETCH`` is cut into one block more than it may have differing words, so
 that one block is always intact; its seeds are these blocks, which start at fixed places.
 
-Words are runs of letters, digits and underscores in lower case.  Items of fewer than
-``MIN_WORDS`` words are too common to tell and are never reported.
+Items of fewer than ``TOLERANT`` words must agree in every word; their only seed is the whole item.
+
+Words are runs of letters, digits and underscores in lower case.  One or two words are no
+passage: items of fewer than ``MIN_WORDS`` words are not looked for.
 
 Scale: a document row leaves the scan only where its seeds hit a bit table of fixed
 size over the benchmark's seeds, together with the words around; so texts are never
@@ -35,14 +37,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from testlog.llm import prefilter
+from testlog.llm.names import unused
 from testlog.operators.durable import store
 
 # Places that count, from the first word of the window.
 MASKS = ("11101011", "1101100101", "11001010011")
-# Masks of the blocks of items shorter than STRETCH; documents use them where there are such items.
-BLOCK_MASKS = ("111", "1111")
-MIN_WORDS = 8
+MIN_WORDS = 3
+TOLERANT = 8
 STRETCH = 13
+# Masks of the blocks of items shorter than STRETCH; documents use those of which there are items.
+BLOCK_MASKS = tuple("1" * n for n in range(MIN_WORDS, TOLERANT))
 THRESHOLD = 0.8
 SLICE_ROWS = 256
 
@@ -58,8 +62,15 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.cumsum([len(ws) for ws in words], dtype=np.int64)
 
 
+def needed(n_words: int) -> float:
+    """Share of an item's stretch that must agree."""
+    return THRESHOLD if n_words >= TOLERANT else 1.0
+
+
 def block_size(n_words: int) -> int:
     """Words of a block of a short item: one more block than words that may differ."""
+    if n_words < TOLERANT:
+        return n_words
     differ = max(k for k in range(n_words) if (n_words - k) / n_words >= THRESHOLD)
     return n_words // (differ + 1)
 
@@ -70,7 +81,8 @@ def seeds(words: np.ndarray, ends: np.ndarray, masks: tuple[str, ...] = MASKS) -
     left = np.repeat(ends, sizes) - np.arange(len(words))  # words from here to the text's end
     places, values = [], []
     with np.errstate(over="ignore"):
-        for number, mask in enumerate(masks):
+        for mask in masks:
+            number = (MASKS + BLOCK_MASKS).index(mask)
             n = len(words) - len(mask) + 1
             if n < 1:
                 continue
@@ -91,12 +103,8 @@ def seeds(words: np.ndarray, ends: np.ndarray, masks: tuple[str, ...] = MASKS) -
 def block_seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place, seed) of every block of one short item, numbered as among all masks."""
     size = block_size(len(words))
-    places, values = seeds(words, np.array([len(words)]), MASKS + BLOCK_MASKS)
-    # the seeds of a mask stand together, in the order of masks
-    counts = [max(0, len(words) - len(m) + 1) for m in MASKS + BLOCK_MASKS]
-    number = np.repeat(np.arange(len(counts)), counts)
-    mine = (number == len(MASKS) + BLOCK_MASKS.index("1" * size)) & (places % size == 0)
-    return places[mine], values[mine]
+    places, values = seeds(words, np.array([len(words)]), ("1" * size,))
+    return places[places % size == 0], values[places % size == 0]
 
 
 def _slots(seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,8 +222,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.explode(F.array(F.col("seed").bitwiseAND(low), F.shiftright("seed", 32).bitwiseAND(low))).alias("slot")
     )
     table = prefilter.bit_table(both)
-    shortest, reach = items.agg(F.min("n_words"), F.max("n_words")).first()
-    masks = MASKS if shortest is None or shortest >= STRETCH else MASKS + BLOCK_MASKS
+    reach = items.agg(F.max("n_words")).first()[0]
+    short = items.filter(F.col("n_words") < STRETCH).select("n_words").distinct().collect()  # ten numbers at most
+    masks = MASKS + tuple(sorted({"1" * block_size(r.n_words) for r in short}))
     found = store(_passages(docs, table, int(reach or 0), masks, id_col).withColumn("passage", F.xxhash64("row_key", "first_word", "words")))
     laid = (
         found.select("passage", F.explode("hits").alias("hit"))
@@ -239,7 +248,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 starts.append(first + shift + at)
                 counts.append(n)
                 shares.append(share)
-            keep = pa.array([s >= THRESHOLD for s in shares], pa.bool_())
+            keep = pa.array([s >= needed(n) for s, n in zip(shares, counts)], pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("row_key"), batch.column("item_id"),
                  pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(shares, pa.float64())],
@@ -257,6 +266,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents that overlap with no benchmark item."""
-    bad = store(contaminated(docs, benchmark, id_col).select(F.col("row_key").alias("__row")).distinct())
+    row = unused(docs.columns, "__row")
+    bad = store(contaminated(docs, benchmark, id_col).select(F.col("row_key").alias(row)).distinct())
     key = F.xxhash64(F.col(id_col).cast("long"), F.col("text").cast("string"))
-    return docs.withColumn("__row", key).join(bad, "__row", "left_anti").drop("__row")
+    return docs.withColumn(row, key).join(bad, row, "left_anti").drop(row)

@@ -214,7 +214,8 @@ runs AS (
            PARTITION BY doc_id, item_id, shift ORDER BY pos RANGE BETWEEN n - 1 PRECEDING AND CURRENT ROW) AS agree
   FROM same WHERE overlap >= n)
 SELECT doc_id, item_id, n AS n_words, max(agree) / CAST(n AS DOUBLE) AS share
-FROM runs GROUP BY doc_id, item_id, n HAVING max(agree) >= {decontam.THRESHOLD} * n
+FROM runs GROUP BY doc_id, item_id, n 
+HAVING max(agree) >= CASE WHEN n < {decontam.TOLERANT} THEN 1 ELSE {decontam.THRESHOLD} END * n
 """
 
 BLOCK_RULES = r"""

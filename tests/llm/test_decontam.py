@@ -7,7 +7,7 @@ from testlog.llm import decontam
 def make():
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
-    items = [(i, [word() for _ in range(rng.randint(8, 60))]) for i in range(40)]
+    items = [(i, [word() for _ in range(rng.randint(1, 60))]) for i in range(40)]
     docs, bad = [], set()
     for d in range(200):
         words = [word() for _ in range(rng.randint(0, 300))]
@@ -18,7 +18,8 @@ def make():
                 text[k] = word()
             at = rng.randint(0, len(words))
             words[at:at] = text
-            bad.add((d, item))
+            if len(text) >= decontam.TOLERANT or decontam.MIN_WORDS <= len(text) <= 5:
+                bad.add((d, item))
         elif d % 4 == 1:  # a few words only
             words[0:0] = items[d % 40][1][:5]
         docs.append((d, " ".join(words)))
@@ -35,7 +36,7 @@ def brute(docs, items):
             if len(w) < decontam.MIN_WORDS:
                 continue
             if any(
-                sum(a == b for a, b in zip(w[k : k + n], t[s : s + n])) >= decontam.THRESHOLD * n
+                sum(a == b for a, b in zip(w[k : k + n], t[s : s + n])) >= decontam.needed(n) * n
                 for k in range(len(w) - n + 1)
                 for s in range(len(t) - n + 1)
             ):
@@ -67,6 +68,22 @@ def test_edges(spark):
     assert decontam.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_items_of_few_words_are_found_whole(spark):
+    items = [(n, " ".join(f"item{n}word{k}" for k in range(n))) for n in range(1, 8)]
+    docs = [(n, f"before {text.upper()}, after") for n, text in items]
+    docs += [(10 + n, " ".join(text.split()[:-1] + ["other"])) for n, text in items]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    found = decontam.contaminated(table, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(n, n) for n in range(3, 8)}
+
+
+def test_an_input_column_called_as_the_working_one_stays(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    docs = spark.createDataFrame([(1, text, 7, 8), (2, "clean", 5, 6)], "doc_id long, text string, __row long, ___ROW long")
+    kept = decontam.drop_contaminated(docs, spark.createDataFrame([(1, text)], "item_id long, text string"))
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "clean", 5, 6)]
+
+
 def test_short_items_with_every_allowed_substitution(spark):
     items, docs, wanted = [], [], set()
     for n in range(8, 13):
