@@ -171,14 +171,17 @@ t AS (
          list_transform(string_split_regex(trim(line), '\s+'),
                         lambda x: CASE WHEN regexp_matches(x, '[0-9@]|://') THEN '<*>' ELSE x END) AS w
   FROM l WHERE trim(line) <> ''),
-k AS (
-  SELECT doc_id, i, unnest(
-           CASE WHEN len(w) < {linededup.GENERAL} THEN [len(w) || '|' || array_to_string(w, ' ')]
-           ELSE list_transform(range({linededup.FIELDS}), lambda f: len(w) || '|' || f || '|'
-             || array_to_string(w[1 : {linededup.LEADING} + (len(w) - {linededup.LEADING}) * f // {linededup.FIELDS}], ' ') || '|'
-             || array_to_string(w[{linededup.LEADING} + (len(w) - {linededup.LEADING}) * (f + 1) // {linededup.FIELDS} + 1 : len(w)], ' '))
-           END) AS key
+g AS (
+  SELECT doc_id, i, len(w) AS n, unnest(
+           CASE WHEN len(w) < {linededup.GENERAL} THEN [struct_pack(f := -1, head := w, tail := CAST([] AS VARCHAR[]))]
+           ELSE list_transform(range({linededup.FIELDS}), lambda f: struct_pack(f := f,
+             head := w[1 : {linededup.LEADING} + (len(w) - {linededup.LEADING}) * f // {linededup.FIELDS}],
+             tail := w[{linededup.LEADING} + (len(w) - {linededup.LEADING}) * (f + 1) // {linededup.FIELDS} + 1 : len(w)]))
+           END) AS t
   FROM t),
+k AS (
+  SELECT doc_id, i, n || '|' || t.f || '|' || array_to_string(t.head, ' ') || '|' || array_to_string(t.tail, ' ') AS key
+  FROM g WHERE len(list_filter(list_concat(t.head, t.tail), lambda x: x <> '<*>')) >= {linededup.MIN_FIXED}),
 r AS (
   SELECT key, min(doc_id) AS first_id FROM k GROUP BY key HAVING count(DISTINCT doc_id) >= {linededup.MIN_DOCS}),
 marked AS (SELECT doc_id, i, bool_or(doc_id <> first_id) AS lost FROM k JOIN r USING (key) GROUP BY doc_id, i),

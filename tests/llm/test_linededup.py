@@ -10,12 +10,13 @@ def templates(line):
         words = ["<*>" if ld.VARIABLE.search(w) else w for w in words]
     n = len(words)
     if n < ld.GENERAL:
-        return {(n, tuple(words))}
+        return {(n, tuple(words))} if sum(w != "<*>" for w in words) >= ld.MIN_FIXED else set()
     rest = n - ld.LEADING
     out = set()
     for k in range(ld.FIELDS):
         low, high = ld.LEADING + rest * k // ld.FIELDS, ld.LEADING + rest * (k + 1) // ld.FIELDS
-        out.add((n, k, tuple(words[:low]), tuple(words[high:])))
+        if sum(w != "<*>" for w in words[:low] + words[high:]) >= ld.MIN_FIXED:
+            out.add((n, k, tuple(words[:low]), tuple(words[high:])))
     return out
 
 
@@ -39,7 +40,7 @@ def test_matches_brute_force(spark):
     rng = random.Random(6)
     words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa"]
     line = lambda n: " ".join(rng.choice(words) for _ in range(n))
-    common = [line(9), line(3), "Page {} of 10 shown here to all the readers", "See http://x/{} for more"]
+    common = [line(9), line(3), line(5), "Page {} of 10 shown here to all the readers", "See http://x/{} for more"]
     docs = []
     for d in range(150):
         lines = [line(rng.randint(1, 14)) for _ in range(rng.randint(0, 12))]
@@ -62,6 +63,25 @@ def test_variable_fields_share_a_template(spark):
     assert all("Served to" not in out[i].text for i in range(2, 7))
 
 
+def test_boilerplate_goes_from_pages_that_mostly_consist_of_it(spark):
+    shared = ["Subscribe to our weekly letter for more of this", "All rights are reserved by the owners", "Read our terms of use before you go on"]
+    docs = [(d, "\n".join([*shared, f"own{'x' * d} text about thing{'y' * d} only told here"])) for d in range(1, 5)]
+    assert sum(map(len, shared)) > 0.6 * len(docs[0][1])
+    out = {r.doc_id: r.text for r in ld.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == {d: t if d == 1 else t.split("\n")[-1] for d, t in docs}
+
+
+def test_few_words_or_numbers_are_no_evidence(spark):
+    docs = [(d, f"Was.\n1 {d} 3 4 5 6 {d} 8 9 10\nThe own line of document {'x' * d} is this one") for d in range(1, 40)]
+    out = {r.doc_id: r.text for r in ld.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(t.startswith("Was.\n1 ") for t in out.values())
+
+
+def test_input_columns_called_as_the_working_ones_stay(spark):
+    table = spark.createDataFrame([(1, "x y z", 1, 2, 3, 4)], "doc_id long, text string, __row long, __lines long, __lost long, __CHARS long")
+    assert [tuple(r)[:6] for r in ld.dedup_lines(table).collect()] == [(1, "x y z", 1, 2, 3, 4)]
+
+
 def test_edges(spark):
     rows = [(1, None, "a"), (2, "", "b"), (3, "\n\n", "c"), (3, "\n\n", "c"), (None, "x y z\nlong tail of text", "d"), (5, "w " * 50000, "e")]
     table = spark.createDataFrame(rows, "doc_id long, text string, n_lines string")
