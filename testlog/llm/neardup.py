@@ -8,19 +8,24 @@ shared *and* stand in the same order.  Documents that share a key are compared b
 banded word alignment; those of similarity 0.8 or more (1 - edits / longer length) are
 linked, and classes are the connected components over links.
 
-Scale: equal texts are one node.  Within a key, all members are first compared with one
-leader (the least id), which settles families of like texts with n comparisons for n
-members.  Then every two other members that are still in different components are compared,
-in blocks of pairs that grow, so that components merge before most pairs come up.  A pair
-that shares a key is thus either aligned or in one component already, unless the lengths
-rule it out; none is dropped by a cap.  Leaders are found by pre-aggregated minima; keys
-never gather their members in one task.  ``n_links`` counts the links found this way: they
-connect a class, links between members of one component are not looked for.
+Scale: equal texts are one node.  Within a key, members are first compared with one leader
+(the least id), for a few sketches and then, where they are not in its component yet, for the
+others; this settles families of like texts with few comparisons for each member.  Then every two
+other members that are still in different components are compared.  Keys of up to
+``JOINED`` members are joined with themselves.  A larger key is cut into blocks of some
+``BLOCK_WORDS`` words, and every two blocks meet in one task, which gives out only links: a pair
+is rejected exactly by the words it shares (an edit takes away one at most), is aligned at the
+least of its common keys only, and not at all once its components have met in that task.  A pair
+that shares a key is thus either aligned, or rejected by such a bound, or in one component; none
+is dropped by a cap.  Found links are contracted to pairs of components before components are
+joined further.  Leaders are found by pre-aggregated minima; keys never gather their members in
+one task.  ``n_links`` counts the links found this way: they connect a class, links between
+members of one component are not looked for.
 
 Defined results: a null text counts as empty; texts with equal words in equal order
 and equal spelling but for case and spacing have equal keys; a text of fewer than
 five words has one shingle, all its words; texts without words only match equal texts;
-rows of one id form one document; rows without an id take part in classes of equal
+rows of one id form one document (of different texts, the one of the least hash); rows without an id take part in classes of equal
 texts only, and are kept as rows of their own in ``drop_near_duplicates``; an empty
 table gives an empty table.
 """
@@ -32,12 +37,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from testlog.llm import prefilter
 from testlog.llm.align import similarity
 from testlog.llm.components import components
+from testlog.llm.names import unused
 from testlog.operators.durable import any_row, store
 
 SHINGLE = 5
@@ -46,8 +52,9 @@ PICKED = 3
 THRESHOLD = 0.8
 SLICE_ROWS = 256  # documents hashed at once
 CELLS = 1 << 21  # hashes held at once
-SPOTS = 512  # pairs are dealt over so many spots by their ids
-BLOCKS = (0, 8, 64, SPOTS)  # spots at which a block of pairs ends
+FIRST_SKETCHES = 6  # sketches whose leaders are met before all others
+JOINED = 64  # members up to which a key is joined with itself
+BLOCK_WORDS = 1 << 19  # words of one block of a larger key
 
 _ODD = np.random.default_rng(20240817).integers(1, 1 << 63, SKETCHES + 8, dtype=np.uint64) | np.uint64(1)
 
@@ -193,44 +200,118 @@ def _verify(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     )
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, low: int, high: int) -> DataFrame:
-    """Pairs (leader, id) of one block that share a key of ``members(key, id, n_words)`` and are
-    not in one component.
-
-    In a key, members outside its largest component look for partners: all of the
-    largest component, and those of smaller id among themselves.  The spot of a pair does not
-    depend on the order of its two ids, so each pair is in one block.
-    """
-    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
-    known = labels.join(sizes, "label").select(F.col("node").alias("id"), "label", "size")
-    labelled = members.join(known, "id", "left").select(
-        "key",
-        "id",
-        "n_words",
-        F.pmod(F.xxhash64("id"), F.lit(SPOTS)).alias("spot"),
-        F.coalesce("label", "id").alias("label"),
-        F.coalesce("size", F.lit(1)).alias("size"),
-    )
-    tops = labelled.groupBy("key").agg(
-        F.max(F.struct("size", "label")).alias("top"), F.min("label").alias("low"), F.max("label").alias("high")
+def _extended(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(node, label) after the links ``found(a, b)``, which are contracted to pairs of labels first."""
+    ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if labels is None:
+        return components(found)
+    known = store(labels.join(ends, "node", "full").select("node", F.coalesce("label", "node").alias("label")))
+    pairs = (
+        found.join(known.select(F.col("node").alias("a"), F.col("label").alias("x")), "a")
+        .join(known.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+        .filter("x <> y")
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        .distinct()
     )
-    tops = tops.filter("low < high").select("key", F.col("top.label").alias("top"))
-    members = store(
-        labelled.join(tops, "key").select("key", "id", "n_words", "spot", "label", (F.col("label") == F.col("top")).alias("in_top"))
+    merged = components(pairs).select(F.col("node").alias("label"), F.col("label").alias("merged"))
+    return store(known.join(merged, "label", "left").select("node", F.coalesce("merged", "label").alias("label")))
+
+
+def _apart(met: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows (id, leader, ...) whose two documents are not in one component."""
+    if labels is None:
+        return met
+    mine = labels.select(F.col("node").alias("id"), F.col("label").alias("mine"))
+    theirs = labels.select(F.col("node").alias("leader"), F.col("label").alias("theirs"))
+    both = met.join(mine, "id", "left").join(theirs, "leader", "left")
+    return both.filter(F.coalesce("mine", "id") != F.coalesce("theirs", "leader")).drop("mine", "theirs")
+
+
+def _open_members(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, id, n_words, label, size, total) of the keys whose members are in several components."""
+    known = labels.select(F.col("node").alias("id"), "label")
+    labelled = met.select("key", "id", "n_words").join(known, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    keys = labelled.groupBy("key").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.sum("n_words").alias("total")
     )
-    s, p = members.filter("not in_top").alias("s"), members.alias("p")
-    spot = F.pmod(F.col("s.spot") + F.col("p.spot"), F.lit(SPOTS))
+    return labelled.join(keys.filter("low < high").select("key", "size", "total"), "key")
+
+
+def _joined_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (leader, id) of small keys that are not in one component."""
+    s, p = members.alias("s"), members.alias("p")
     # lengths too far apart cannot be similar, so only close ones are aligned
     close = F.least("s.n_words", "p.n_words") >= THRESHOLD * F.greatest("s.n_words", "p.n_words") - 1e-9
-    meet = (
-        (F.col("s.key") == F.col("p.key"))
-        & (F.col("s.label") != F.col("p.label"))
-        & (F.col("p.in_top") | (F.col("p.id") < F.col("s.id")))
-        & (spot >= low)
-        & (spot < high)
-        & close
+    meet = (F.col("s.key") == F.col("p.key")) & (F.col("s.id") < F.col("p.id")) & (F.col("s.label") != F.col("p.label"))
+    return s.join(p, meet & close).select(F.col("s.id").alias("leader"), F.col("p.id").alias("id")).distinct()
+
+
+def _labelled(words: np.ndarray) -> np.ndarray:
+    """Each word with its occurrence number, as one number, in any order."""
+    ranked = np.sort(words)
+    place = np.arange(len(ranked))
+    again = np.zeros(len(ranked), bool)
+    again[1:] = ranked[1:] == ranked[:-1]
+    first = np.maximum.accumulate(np.where(again, 0, place))
+    return ranked.astype(np.int64) << 32 | (place - first)
+
+
+def block_links(key: int, across: bool, rows: list[dict]) -> list[tuple[int, int]]:
+    """Links (a, b) that join the components of one unit's rows (id, label, block, tokens, keys).
+
+    ``across``: the unit holds two blocks, and only pairs with one document in each count.
+    """
+    words = [np.frombuffer(r["tokens"], "<u4") for r in rows]
+    keys = [np.array(r["keys"], np.int64) for r in rows]
+    ids = np.array([r["id"] for r in rows])
+    blocks = np.array([r["block"] for r in rows])
+    sizes = np.array([len(w) for w in words])
+    starts = np.cumsum(sizes) - sizes
+    marked, places = np.unique(np.concatenate([_labelled(w) for w in words]), return_inverse=True)
+    present = np.zeros(len(marked), bool)
+    _, component = np.unique([r["label"] for r in rows], return_inverse=True)
+    found = []
+    for x in range(len(rows) - 1):
+        others = (component != component[x]) & (ids != ids[x])
+        others[: x + 1] = False
+        if across:
+            others &= blocks != blocks[x]
+        longer = np.maximum(sizes, sizes[x])
+        limit = ((1.0 - THRESHOLD) * longer + 1e-9).astype(np.int64)
+        others &= longer - np.minimum(sizes, sizes[x]) <= limit
+        if not others.any():
+            continue
+        mine = places[starts[x] : starts[x] + sizes[x]]
+        present[mine] = True
+        # an edit takes away one common word at most
+        shared = np.add.reduceat(present[places[starts[x + 1] :]], starts[x + 1 :] - starts[x + 1], dtype=np.int64)
+        present[mine] = False
+        others[x + 1 :] &= longer[x + 1 :] - shared <= limit[x + 1 :]
+        for y in np.flatnonzero(others).tolist():
+            if component[y] == component[x] or np.intersect1d(keys[x], keys[y], assume_unique=True)[0] != key:
+                continue
+            if similarity(words[x], words[y], THRESHOLD) > 0:
+                component[component == component[y]] = component[x]
+                found.append((min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))))
+    return found
+
+
+def _block_links(members: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Links (a, b) within large keys."""
+    keys = members.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # SKETCHES at most
+    blocks = F.ceil(F.col("total") / BLOCK_WORDS).cast("int")
+    dealt = (
+        members.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("key", "id", "label", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
     )
-    return s.join(p, meet).select(F.least("s.id", "p.id").alias("leader"), F.greatest("s.id", "p.id").alias("id")).distinct()
+    rows = dealt.join(keys, "id").join(tokens, "id")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        found = block_links(key[0].as_py(), key[1] != key[2], table.select(["id", "label", "block", "tokens", "keys"]).to_pylist())
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return rows.groupBy("key", "one", "two").applyInArrow(run, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -241,11 +322,11 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id") -> tuple[Da
     component; a link within a component would not change the classes and is not looked for.
     """
     spark = docs.sparkSession
-    members = nodes.select("id", "n_words", F.explode("keys").alias("key"))
+    members = nodes.select("id", "n_words", F.posexplode("keys").alias("number", "key"))
     leaders = members.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("size"))
     leaders = leaders.filter("size > 1").select("key", "leader")
     met = members.join(leaders, "key").filter(F.col("id") > F.col("leader"))
-    met = store(met.select("key", "id", "n_words", "leader"))
+    met = store(met.select("key", "number", "id", "n_words", "leader"))
     if not any_row(met):
         none = spark.range(0)
         return none.select(F.col("id").alias("a"), F.col("id").alias("b")), none.select(
@@ -253,26 +334,29 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id") -> tuple[Da
         )
     sizes = nodes.select(F.col("id").alias("leader"), F.col("n_words").alias("leader_words"))
     longer = F.greatest("n_words", "leader_words")
-    pairs = (
-        met.select("leader", "id", "n_words")
-        .distinct()
-        .join(sizes, "leader")
-        .filter(F.least("n_words", "leader_words") >= THRESHOLD * longer - 1e-9)
-        .select("leader", "id")
-    )
     # whoever meets in a later block has met a leader
     wanted = met.select(F.explode(F.array("leader", "id")).alias("id"))
     tokens = store(_tokens(docs, id_col, wanted).groupBy("id").agg(F.min("tokens").alias("tokens")))
-    ends = [F.col("leader").alias("a"), F.col("id").alias("b")]
-    found = store(_verify(pairs, tokens).filter("similarity > 0")).select(*ends)
-    labels = components(found)
+    found, labels = None, None
+
+    def add(new: DataFrame) -> None:
+        nonlocal found, labels
+        found = new if found is None else found.unionByName(new)
+        if labels is None or any_row(new):
+            labels = _extended(labels, new)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        near = _verify(pairs, tokens).filter("similarity > 0")
+        return store(near.select(F.col("leader").alias("a"), F.col("id").alias("b")))
+
+    for some in (F.col("number") < FIRST_SKETCHES, F.col("number") >= FIRST_SKETCHES):
+        pairs = _apart(met.filter(some).select("leader", "id", "n_words").distinct(), labels).join(sizes, "leader")
+        close = F.least("n_words", "leader_words") >= THRESHOLD * longer - 1e-9
+        add(verified(pairs.filter(close).select("leader", "id")))
     # a leader has been compared with the whole key, so it is done there
-    others = met.select("key", "id", "n_words")
-    for low, high in zip(BLOCKS, BLOCKS[1:]):
-        verdicts = store(_verify(_open_pairs(others, labels, low, high), tokens).filter("similarity > 0"))
-        if any_row(verdicts):
-            found = found.unionByName(verdicts.select(*ends))
-            labels = components(found)
+    members = store(_open_members(met, labels))
+    add(verified(_joined_pairs(members.filter(F.col("size") <= JOINED))))
+    add(store(_block_links(members.filter(F.col("size") > JOINED), tokens)))
     return found, labels
 
 
@@ -303,6 +387,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id") -> DataFrame
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents without those that have a near or equal copy of a smaller id."""
     classes = near_duplicate_classes(docs, id_col)
-    kept = classes.filter(F.col("is_kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__kept")).distinct()
-    named = docs.join(kept, F.col(id_col) == F.col("__kept")).drop("__kept").dropDuplicates([id_col])
+    mark = unused(docs.columns, "__kept")
+    kept = classes.filter(F.col("is_kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias(mark)).distinct()
+    # rows of one id are one document: the least text stands for it
+    first = Window.partitionBy(F.col(id_col)).orderBy(F.xxhash64("text"), F.col("text"))
+    named = docs.join(kept, F.col(id_col) == F.col(mark)).withColumn(mark, F.row_number().over(first))
+    named = named.filter(F.col(mark) == 1).drop(mark)
     return named.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from testlog.llm import neardup
 from testlog.llm.align import banded_distance, similarity
@@ -104,7 +105,10 @@ def chained_family(size):
     return [(d, " ".join(words)) for d, words in enumerate(family)]
 
 
-def test_no_link_of_a_chained_family_is_lost(spark):
+@pytest.mark.parametrize("joined, block_words", [(neardup.JOINED, neardup.BLOCK_WORDS), (4, 1500), (10**6, 1)])
+def test_no_link_of_a_chained_family_is_lost(spark, monkeypatch, joined, block_words):
+    monkeypatch.setattr(neardup, "JOINED", joined)
+    monkeypatch.setattr(neardup, "BLOCK_WORDS", block_words)
     docs = chained_family(400)
     words = neardup.word_hashes([t for _, t in docs])
     with np.errstate(over="ignore"):
@@ -160,6 +164,15 @@ def test_nulls_repeats_and_extra_columns(spark):
     assert neardup.drop_near_duplicates(table.limit(0)).count() == 0
 
 
+def test_working_names_and_rows_of_one_id(spark):
+    rows = [(1, "a b c d e f", 5), (1, "other words stand here in this one", 6), (2, "a  b c d e F", 7)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, __kept long")
+    kept = neardup.drop_near_duplicates(table)
+    assert kept.columns == table.columns
+    runs = {tuple(map(tuple, neardup.drop_near_duplicates(table.repartition(n)).collect())) for n in (1, 3, 5)}
+    assert len(runs) == 1 and {r[0] for r in next(iter(runs))} == {1}
+
+
 def test_order_matters():
     words = np.arange(1, 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     turned = np.concatenate([words[200:], words[:200]])
