@@ -12,8 +12,9 @@ Scale: equal texts are one node.  Within a key, members are first compared with
 (the least id), for a few sketches and then, where they are not in its component yet, for the
 others; this settles families of like texts with few comparisons for each member.  Then every two
 other members that are still in different components are compared.  Keys of up to
-``JOINED`` members are joined with themselves.  A larger key is cut into blocks of some
-``BLOCK_WORDS`` words, and every two blocks meet in one task, which gives out only links: a pair
+``JOINED`` members are joined with themselves.  A larger key is cut into bands of length, outside
+of which no two texts are similar, and a band into blocks of some ``BLOCK_WORDS`` words; every two
+blocks of a band meet in one task, which gives out only links: a pair
 is rejected exactly by the words it shares (an edit takes away one at most), is aligned at the
 least of its common keys only, and not at all once its components have met in that task.  A pair
 that shares a key is thus either aligned, or rejected by such a bound, or in one component; none
@@ -257,14 +258,16 @@ def _labelled(words: np.ndarray) -> np.ndarray:
 
 
 def block_links(key: int, across: bool, rows: list[dict]) -> list[tuple[int, int]]:
-    """Links (a, b) that join the components of one unit's rows (id, label, block, tokens, keys).
+    """Links (a, b) that join the components of one unit's rows (id, label, block, guest, tokens, keys).
 
     ``across``: the unit holds two blocks, and only pairs with one document in each count.
+    Pairs of two guests meet in the guests' own band.
     """
     words = [np.frombuffer(r["tokens"], "<u4") for r in rows]
     keys = [np.array(r["keys"], np.int64) for r in rows]
     ids = np.array([r["id"] for r in rows])
     blocks = np.array([r["block"] for r in rows])
+    guest = np.array([r["guest"] for r in rows])
     sizes = np.array([len(w) for w in words])
     starts = np.cumsum(sizes) - sizes
     marked, places = np.unique(np.concatenate([_labelled(w) for w in words]), return_inverse=True)
@@ -276,6 +279,8 @@ def block_links(key: int, across: bool, rows: list[dict]) -> list[tuple[int, int
         others[: x + 1] = False
         if across:
             others &= blocks != blocks[x]
+        if guest[x]:
+            others &= ~guest
         longer = np.maximum(sizes, sizes[x])
         limit = ((1.0 - THRESHOLD) * longer + 1e-9).astype(np.int64)
         others &= longer - np.minimum(sizes, sizes[x]) <= limit
@@ -296,22 +301,46 @@ def block_links(key: int, across: bool, rows: list[dict]) -> list[tuple[int, int
     return found
 
 
+def _banded(members: DataFrame) -> DataFrame:
+    """Members of large keys dealt to bands of length, with each band's ``total`` of words.
+
+    A band holds lengths up to twice its least, and as guests the longer documents that may be
+    similar to one of those; two similar documents so meet in the band of the shorter one.
+    Bands of one component are left out.
+    """
+    own = F.length(F.bin("n_words"))
+    shortest = F.col("n_words") - F.floor((1.0 - THRESHOLD) * F.col("n_words") + 1e-9)
+    below = F.pow(F.lit(2.0), own - 1) - 1
+    bands = F.when(shortest <= below, F.array(own, own - 1)).otherwise(F.array(own))
+    dealt = members.select("key", "id", "n_words", "label", own.alias("own"), F.explode(bands).alias("band"))
+    dealt = dealt.select("key", "id", "n_words", "label", "band", (F.col("own") != F.col("band")).alias("guest"))
+    open_bands = dealt.groupBy("key", "band").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.min("guest").alias("empty"), F.sum("n_words").alias("total")
+    )
+    return dealt.join(open_bands.filter("low < high AND NOT empty").select("key", "band", "total"), ["key", "band"])
+
+
 def _block_links(members: DataFrame, tokens: DataFrame) -> DataFrame:
     """Links (a, b) within large keys."""
     keys = members.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # SKETCHES at most
     blocks = F.ceil(F.col("total") / BLOCK_WORDS).cast("int")
     dealt = (
-        members.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+        _banded(members)
+        .withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", "id", "label", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+        .select(
+            "key", "band", "id", "label", "guest", "block",
+            F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
+        )
     )
     rows = dealt.join(keys, "id").join(tokens, "id")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        found = block_links(key[0].as_py(), key[1] != key[2], table.select(["id", "label", "block", "tokens", "keys"]).to_pylist())
+        unit = table.select(["id", "label", "block", "guest", "tokens", "keys"]).to_pylist()
+        found = block_links(key[0].as_py(), key[2] != key[3], unit)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return rows.groupBy("key", "one", "two").applyInArrow(run, "a long, b long").distinct()
+    return rows.groupBy("key", "band", "one", "two").applyInArrow(run, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:

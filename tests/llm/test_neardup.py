@@ -130,6 +130,21 @@ def test_no_link_of_a_chained_family_is_lost(spark, monkeypatch, joined, block_w
     assert got == {d: root(d) for d, _ in docs}
 
 
+def test_bands_hold_every_pair_of_close_lengths(spark):
+    lengths = list(range(1, 70)) + [127, 128, 159, 160, 255, 256, 319, 320]
+    members = spark.createDataFrame([(1, n, n, n) for n in lengths], "key long, id long, n_words long, label long")
+    held = neardup._banded(members).collect()
+    met = [
+        (min(a.id, b.id), max(a.id, b.id))
+        for a in held
+        for b in held
+        if a.band == b.band and a.id < b.id and not (a.guest and b.guest)
+    ]
+    assert len(met) == len(set(met))  # once each
+    close = {(a, b) for a in lengths for b in lengths if a < b and b - a <= int((1.0 - neardup.THRESHOLD) * b + 1e-9)}
+    assert close and close <= set(met)
+
+
 def test_scattered_substitutions_share_a_key():
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
