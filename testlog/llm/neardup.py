@@ -333,7 +333,7 @@ def _block_links(members: DataFrame, tokens: DataFrame) -> DataFrame:
             F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
         )
     )
-    rows = dealt.join(keys, "id").join(tokens, "id")
+    rows = dealt.join(keys.join(tokens, "id"), "id")  # both meet once per document, not once per unit
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         unit = table.select(["id", "label", "block", "guest", "tokens", "keys"]).to_pylist()
