@@ -27,15 +27,27 @@ flat AS (
 """
 
 
+ORDER_BLOCK = 1024
+
+
 def _part_failures(spark, sf_dir, run, label):
     """Failing points of T1 regrouped, so that runs share and repeat labels."""
     items = fixtures.table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'")
-    place = F.row_number().over(
-        fixtures.W.partitionBy(run).orderBy("l_orderkey", *fixtures.LINE_ORDER)
+    # a run's rows are numbered per block of order keys, and counts of earlier blocks are carried in
+    items = items.withColumns({"run": run, "block": F.expr(f"l_orderkey div {ORDER_BLOCK}")})
+    inside = fixtures.W.partitionBy("run", "block").orderBy("l_orderkey", *fixtures.LINE_ORDER)
+    across = fixtures.W.partitionBy("run").orderBy("block").rowsBetween(fixtures.W.unboundedPreceding, -1)
+    sizes = items.groupBy("run", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select(
+        F.col("run").alias("run_of"), F.col("block").alias("block_of"), F.coalesce(F.sum("n").over(across), F.lit(0)).alias("before")
+    )
+    items = items.withColumn("at", F.row_number().over(inside)).join(
+        before, F.col("run").eqNullSafe(F.col("run_of")) & F.col("block").eqNullSafe(F.col("block_of"))
     )
+    place = (F.col("before") + F.col("at")).cast("int")
     none = F.lit(None).cast("string")
     return items.select(
-        run.alias("run_id"),
+        F.col("run").alias("run_id"),
         F.lit(0).alias("stage"),
         F.lit("").alias("path"),
         place.alias("line_no"),
