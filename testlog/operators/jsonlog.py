@@ -39,6 +39,10 @@ NEXTEST_OUTCOMES = {
 
 DOCUMENT_LINE = 1  # a whole document stands at the run's first line
 
+# Matching brackets have the same number from 1 on; other characters have 0.
+OPENING, CLOSING = "{[", "}]"
+BRACKETS = len(OPENING) + 1
+
 
 def _outcome(name: Column, outcomes: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in outcomes.items() for x in kv]), name)
@@ -259,6 +263,10 @@ def _failed_items(items: DataFrame) -> DataFrame:
     )
 
 
+def _bracket(char: Column, which: str) -> Column:
+    return F.when(char != "", F.instr(F.lit(which), char)).otherwise(0)
+
+
 def run_outline(lines: DataFrame) -> DataFrame:
     """One row per run: event counts and the positions that order-dependent rules need."""
     v = F.col("v")
@@ -273,8 +281,8 @@ def run_outline(lines: DataFrame) -> DataFrame:
         told.alias("told"),
         v.isNotNull().alias("valid"),
         outcome.alias("outcome"),
-        F.left("text", F.lit(1)).alias("head"),
-        F.right("text", F.lit(1)).alias("tail"),
+        _bracket(F.left("text", F.lit(1)), OPENING).alias("head"),
+        _bracket(F.right("text", F.lit(1)), CLOSING).alias("tail"),
         F.octet_length("text").cast("bigint").alias("bytes"),
     )
     n = F.col("line_no")
@@ -282,6 +290,9 @@ def run_outline(lines: DataFrame) -> DataFrame:
     def first(cond: Column) -> Column:
         return F.min(F.when(cond, n))
 
+    def place(bracket: str) -> Column:
+        return n.cast("bigint") * BRACKETS + F.col(bracket)
+
     outline = rows.groupBy("run_id").agg(
         *[
             F.count_if(F.col("outcome") == o).alias(o)
@@ -290,12 +301,14 @@ def run_outline(lines: DataFrame) -> DataFrame:
         first(F.col("outcome").isNotNull()).alias("first_event"),
         first(F.col("valid")).alias("first_json"),
         F.max(F.when(~F.col("valid") & F.col("told"), n)).alias("last_noise"),
-        F.min(F.when(F.col("told"), F.struct("line_no", "head"))).alias("start"),
-        F.max(F.when(F.col("told"), F.struct("line_no", "tail"))).alias("end"),
+        # line number and bracket in one number, so that rows need not be sorted to be folded
+        F.min(F.when(F.col("told"), place("head"))).alias("start"),
+        F.max(F.when(F.col("told"), place("tail"))).alias("end"),
         F.sum("bytes").alias("bytes"),
         F.coalesce(F.bool_or("told"), F.lit(False)).alias("has_text"),
     )
-    closed = F.concat("start.head", "end.tail").isin("{}", "[]")
+    opened = F.col("start") % BRACKETS
+    closed = (opened > 0) & (opened == F.col("end") % BRACKETS)
     whole = F.col("first_json").isNull() & closed
     return outline.select(
         "run_id",
