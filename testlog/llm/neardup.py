@@ -311,13 +311,14 @@ def _banded(members: DataFrame) -> DataFrame:
     own = F.length(F.bin("n_words"))
     shortest = F.col("n_words") - F.floor((1.0 - THRESHOLD) * F.col("n_words") + 1e-9)
     below = F.pow(F.lit(2.0), own - 1) - 1
-    bands = F.when(shortest <= below, F.array(own, own - 1)).otherwise(F.array(own))
-    dealt = members.select("key", "id", "n_words", "label", own.alias("own"), F.explode(bands).alias("band"))
-    dealt = dealt.select("key", "id", "n_words", "label", "band", (F.col("own") != F.col("band")).alias("guest"))
+    mine = members.select("key", "id", "n_words", "label", own.alias("band"))
+    used = mine.select("key", "band").distinct()  # nobody is a guest where no band is
+    guests = mine.filter(shortest <= below).withColumn("band", F.col("band") - 1).join(used, ["key", "band"], "left_semi")
+    dealt = mine.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
     open_bands = dealt.groupBy("key", "band").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.min("guest").alias("empty"), F.sum("n_words").alias("total")
+        F.min("label").alias("low"), F.max("label").alias("high"), F.sum("n_words").alias("total")
     )
-    return dealt.join(open_bands.filter("low < high AND NOT empty").select("key", "band", "total"), ["key", "band"])
+    return dealt.join(open_bands.filter("low < high").select("key", "band", "total"), ["key", "band"])
 
 
 def _block_links(members: DataFrame, tokens: DataFrame) -> DataFrame:

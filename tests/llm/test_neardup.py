@@ -195,3 +195,12 @@ def test_order_matters():
     assert (same == neardup.sketch(words.copy())).all()
     # the same shingles in another order share few keys
     assert (same == moved).mean() < 0.6
+
+
+def test_a_large_key_deals_guests_only_to_bands_in_use(spark):
+    # 70 words may be similar to 60, in the band below; under key 1 nobody is there
+    rows = [(1, i, 70, i) for i in range(50)] + [(2, i, 70 if i % 5 else 60, i) for i in range(50)]
+    banded = neardup._banded(spark.createDataFrame(rows, "key long, id long, n_words long, label long"))
+    got = {(r.key, r.band, r.guest): (r["count"], r.total) for r in banded.groupBy("key", "band", "guest", "total").count().collect()}
+    assert got == {(1, 7, False): (50, 3500), (2, 7, False): (40, 2800), (2, 6, False): (10, 3400), (2, 6, True): (40, 3400)}
+    assert "Generate" not in banded._jdf.queryExecution().executedPlan().toString()
