@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from testlog.functions.jsonvalue import json_value
-from testlog.operators import jsondoc
+from testlog.operators import jsondoc, jsonlog
 
 ENTRIES = [{"name": f"s{i} }} ] \\\" {{", "status": "failed", "x": {"y": [1, [2, {"z": list(range(9))}]]}} for i in range(12)]
 DOCUMENT = {"numTotalTests": 3, "stats": {"tests": 12, "list": [1, 2]}, "testResults": ENTRIES}
@@ -63,3 +63,13 @@ def test_members_are_no_values(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     found = rows.select("i", json_value(F.col("t")).isNotNull().alias("ok")).orderBy("i").collect()
     assert [r.ok for r in found] == [True, True, False, False, True, False, False]
+
+
+def test_lines_of_few_runs_are_dealt_to_many_parts(spark):
+    lines = spark.createDataFrame([(run, at, "x") for run in (1, 2, 3) for at in range(1, 101)], "run_id int, line_no int, line string")
+    outline = spark.createDataFrame([(1, True, 9), (2, False, 9), (3, True, 5)], "run_id int, maybe_document boolean, bytes int")
+    one, many = (jsonlog._candidates(lines, outline, F.col("bytes") > 6, parts) for parts in (1, jsonlog.LONG_PARTS))
+    assert many.columns == lines.columns
+    assert sorted(many.collect()) == sorted(one.collect()) == sorted(lines.filter("run_id = 1").collect())
+    assert "hashpartitioning(run_id" in (plan := many._jdf.queryExecution().executedPlan().toString())
+    assert ", part#" in plan
