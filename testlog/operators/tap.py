@@ -19,6 +19,7 @@ from testlog.functions.tap import KIND, PAYLOAD, SUBTEST_PREFIX, UNNAMED_TEST, t
 from testlog.functions.text import MAX_UNSIGNED, to_bigint
 from testlog.operators import tap_rules as R
 from testlog.operators.durable import BLOCK_LINES, exceeds, materialize
+from testlog.operators.tapfold import fold_streams
 from testlog.schema import STATE_COLUMNS
 
 SLICE = 64  # lines folded before their results are appended to the block's
@@ -140,12 +141,16 @@ def _effect_sql(known: int) -> str:
     return f"aggregate(toks, {start}, (a, t) -> {merge})"
 
 
+def _classes(depths: int) -> Column:
+    """Class of a line as seen from every depth."""
+    return F.array(*[F.expr(_class_sql(d)).cast("int") for d in range(depths)])
+
+
 def _blocks(tokens: DataFrame, keys: list[str], depths: int, payload: tuple[str, ...]) -> DataFrame:
     """Collect each group's tokens in line order; groups are bounded by the caller."""
-    classes = F.array(*[F.expr(_class_sql(d)).cast("int") for d in range(depths)])
-    item = F.struct("line_no", classes.alias("cls"), "kind", *payload)
+    item = F.struct("line_no", _classes(depths).alias("cls"), "kind", *payload)
     return tokens.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(item)).alias("toks"), F.first("strict").alias("strict")
+        F.sort_array(F.collect_list(item)).alias("toks"), F.first("strict").alias("strict")
     )
 
 
@@ -479,12 +484,17 @@ def tap_stream_states(
         F.min(only(point, F.col("id"))).alias("low_id"),
         F.max(only(point, F.col("id"))).alias("high_id"),
         F.count_distinct(only(point, F.col("id"))).alias("ids"),
-        F.max(only(own, F.struct("line_no", "state"))).alias("last"),
+        F.max(only(own, F.struct("line_no", "state")))["state"].alias("last_state"),
         F.max(only(own & (F.col("role") == R.ROLE["subtest"]), F.col("line_no"))).alias("last_heading"),
         F.count_if(own & (F.col("role") == R.ROLE["captured"])).alias("depth_exceeded"),
         F.bool_or(only(~own, F.col("ok"))).alias("parent_ok"),
         F.max(only(~own, F.col("directive"))).alias("parent_directive"),
     )
+    return _judged(agg)
+
+
+def _judged(counts: DataFrame) -> DataFrame:
+    """Planned tests and protocol failures of streams by themselves, from what they count."""
     start, end = F.col("plan_start"), F.col("plan_end")
     empty_plan = (start == 1) & (end == 0)
     planned = (
@@ -506,7 +516,7 @@ def tap_stream_states(
         + one((F.col("low_id") < start) | (F.col("high_id") > end))
         + (F.col("total") - F.col("ids"))
     )
-    return agg.select(
+    return counts.select(
         "run_id",
         "path",
         planned.alias("planned"),
@@ -518,7 +528,7 @@ def tap_stream_states(
         "bailout_reason",
         "parse_warning_count",
         own_failures.cast("bigint").alias("protocol_failures"),
-        F.col("last.state").alias("last_state"),
+        "last_state",
         "last_heading",
         "depth_exceeded",
         "parent_ok",
@@ -615,9 +625,30 @@ def tap_states(
     block_lines: int = BLOCK_LINES,
 ) -> DataFrame:
     """State of every stream, subtests included, one row per (run_id, path)."""
-    long_runs = exceeds(lines, "line_no", block_lines)
-    events = tap_events(lines, strict, max_depth, block_lines, long_runs=long_runs)
-    return rollup_subtests(tap_stream_states(events, long_runs, block_lines))
+    return rollup_subtests(line_stream_states(lines, strict, max_depth, block_lines))
+
+
+def line_stream_states(
+    lines: DataFrame,
+    strict: DataFrame | bool = False,
+    max_depth: int | None = None,
+    block_lines: int = BLOCK_LINES,
+    long_runs: bool | None = None,
+) -> DataFrame:
+    """``tap_stream_states`` of the lines' events; short runs are folded without making events of their lines."""
+    depth = nesting(lines) if max_depth is None else max_depth
+    if long_runs is None:
+        long_runs = exceeds(lines, "line_no", block_lines)
+    short = lines
+    if long_runs:
+        ids = materialize(lines.filter(F.col("line_no") > block_lines).select("run_id").distinct())
+        short = lines.join(ids, "run_id", "left_anti")
+    tokens = _with_strict(tap_tokens(short.select("run_id", "line_no", "line")), strict)
+    streams = _judged(fold_streams(tokens, depth + 1, _classes(depth + 1)))
+    if not long_runs:
+        return streams
+    events = tap_events(lines.join(ids, "run_id", "left_semi"), strict, depth, block_lines, long_runs=True)
+    return streams.unionByName(tap_stream_states(events, True, block_lines))
 
 
 def tap_run_state(

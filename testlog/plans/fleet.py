@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from testlog.operators import bun, jsonlog, junit, tap
 from testlog.operators.durable import BLOCK_LINES, exceeds, materialize
 from testlog.operators.failures import all_failures, failure_policy, render_failures, render_run_messages
-from testlog.operators.lines import choose_format, chunks_to_lines, detect_format, route
+from testlog.operators.lines import choose_format, detect_format, route, stored_lines
 from testlog.operators.runs import (
     absent_files,
     chosen_reports,
@@ -51,8 +51,9 @@ def analyze_lines(lines: DataFrame, settings: DataFrame | None = None) -> Stream
     formats = materialize(choose_format(detect_format(lines), settings))
     parts = route(lines, formats)
     strict = settings.select("run_id", "strict") if settings is not None else False
-    events = materialize(tap.tap_events(parts["tap"], strict, long_runs=long_runs))
-    tap_states = tap.rollup_subtests(tap.tap_stream_states(events, long_runs))
+    depth = tap.nesting(parts["tap"])
+    events = tap.tap_events(parts["tap"], strict, depth, long_runs=long_runs)
+    tap_states = tap.rollup_subtests(tap.line_stream_states(parts["tap"], strict, depth, long_runs=long_runs))
     outline = materialize(jsonlog.run_outline(parts["json"]))
     bun_events = {"long_runs": long_runs}
     states = [
@@ -102,7 +103,7 @@ class FleetResult:
     def notified(self) -> DataFrame:
         """Failures after each run's deduplication and limit, where messages are switched on."""
         enabled = self.settings.filter("enabled").select("run_id")
-        return failure_policy(self.failures.join(enabled, "run_id", "left_semi"), self.settings)
+        return failure_policy(materialize(self.failures.join(enabled, "run_id", "left_semi")), self.settings)
 
     def messages(self) -> DataFrame:
         """Rendered messages: failures, bailouts and run summaries.
@@ -133,7 +134,7 @@ def analyze_runs(
     """
     skipped = materialize(skips_stream(infer_tool(runs, settings), settings))
     # logs that reports replace are left out before anything is read from them
-    lines = materialize(chunks_to_lines(chunks.join(skipped, "run_id", "left_anti")))
+    lines = stored_lines(chunks.join(skipped, "run_id", "left_anti"))
     streams = analyze_lines(lines, settings)
     read = runs.join(skipped, "run_id", "left_anti")
     stream = materialize(streams.states.unionByName(empty_logs(read, lines.select("run_id").distinct(), settings)))

@@ -5,7 +5,7 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import functions as F
 
-from testlog.operators import jsonlog
+from testlog.operators import jsonlog, tap
 from testlog.operators.durable import materialize
 from testlog.operators.failures import dedup_failures
 from testlog.schema import FAILURE_COLUMNS, LOG_LINES
@@ -105,3 +105,17 @@ def test_policy_on_a_stream_does_not_ask_the_state_for_every_failure():
             sent += out["line_no"].tolist()
     assert sent == want
     assert state.calls <= 50 + 3
+
+
+NESTED = ["1..2", "# Subtest: a", "    ok 3", "    ok", "    # Subtest: b", "        not ok 9 # TODO", "    not ok 7", "ok 2", "ok", "Bail out! x"]
+
+
+def test_streams_of_short_runs_are_counted_without_events(spark):
+    runs = {1: NESTED, 2: NESTED[1:5], None: ["TAP version 13", "ok", "ok 18446744073709551615", "ok"], 4: NESTED * 3}
+    rows = [(run, n + 1, line) for run, lines in runs.items() for n, line in enumerate(lines)]
+    lines = spark.createDataFrame(rows + [rows[0], rows[2]], "run_id bigint, line_no int, line string")
+    want = sorted(tap.tap_stream_states(tap.tap_events(lines)).collect(), key=str)
+    streams = tap.line_stream_states(lines)
+    assert sorted(streams.collect(), key=str) == want
+    assert "Window" not in plan(streams) and "collect_list" not in plan(streams)
+    assert sorted(tap.line_stream_states(lines, block_lines=12).collect(), key=str) == want
