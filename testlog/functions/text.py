@@ -28,21 +28,26 @@ REASON_LIMIT = 160
 REASON_ELLIPSIS = "..."
 
 
-# Any character that is not plain printable ASCII or a space.
-UNUSUAL = r"[^ -~]"
+def _plain(char: Column) -> Column:
+    """Is it plain printable ASCII, and no space?"""
+    return char.between("!", "~")
 
 
 def utrim(col: Column) -> Column:
     """Strip Unicode white space at both ends (SQL trim only strips U+0020).
 
-    Plain ASCII text takes the short path; only the rest is trimmed by the whole
-    character set.
+    Text that begins and ends plainly between its spaces takes the short path; only the rest is trimmed by the
+    whole character set.
     """
-    return F.when(col.rlike(UNUSUAL), F.trim(col, F.lit(WHITE_SPACE))).otherwise(F.trim(col))
+    bare = F.trim(col)
+    plain = (bare == "") | (_plain(F.left(bare, F.lit(1))) & _plain(F.right(bare, F.lit(1))))
+    return F.when(plain, bare).otherwise(F.trim(col, F.lit(WHITE_SPACE)))
 
 
 def ultrim(col: Column) -> Column:
-    return F.when(col.rlike(UNUSUAL), F.ltrim(col, F.lit(WHITE_SPACE))).otherwise(F.ltrim(col))
+    bare = F.ltrim(col)
+    plain = (bare == "") | _plain(F.left(bare, F.lit(1)))
+    return F.when(plain, bare).otherwise(F.ltrim(col, F.lit(WHITE_SPACE)))
 
 
 def is_blank(col: Column) -> Column:

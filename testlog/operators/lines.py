@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from testlog.functions.text import ultrim, unsigned
-from testlog.operators.durable import exceeds, materialize
+from testlog.operators.durable import any_row, exceeds, materialize
 
 CHUNK_BLOCK = 4096
 
@@ -158,6 +158,9 @@ def chunks_to_lines(
     )
     whole = F.col("ended") & F.col("begun")
     columns = ["run_id", "line_no", F.col("piece").alias("line"), *stamp, "bytes"]
+    ends_line = raw.endswith("\r") | raw.endswith("\n")
+    if not any_row(chunks.filter((raw != "") & ~ends_line)):  # no line goes past the end of its chunk
+        return pieces.filter(whole).select(*columns)
     crossing = (
         pieces.filter(~whole)
         .groupBy("run_id", "line_no")

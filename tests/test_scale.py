@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from testlog.operators import jsonlog, tap
 from testlog.operators.durable import materialize
 from testlog.operators.failures import dedup_failures
+from testlog.operators.lines import chunks_to_lines
 from testlog.schema import FAILURE_COLUMNS, LOG_LINES
 from testlog.streaming.close import FailurePolicy
 
@@ -119,3 +120,14 @@ def test_streams_of_short_runs_are_counted_without_events(spark):
     assert sorted(streams.collect(), key=str) == want
     assert "Window" not in plan(streams) and "collect_list" not in plan(streams)
     assert sorted(tap.line_stream_states(lines, block_lines=12).collect(), key=str) == want
+
+
+def test_lines_within_chunks_are_cut_once(spark):
+    chunks = [(1, 0, "a\r"), (1, 1, "\nb\n\nc\r\n"), (2, 5, "d\n"), (2, 6, ""), (2, 7, "e\n")]
+    shape = "run_id bigint, seq bigint, chunk string"
+    lines = chunks_to_lines(spark.createDataFrame(chunks, shape))
+    got = sorted((r.run_id, r.line_no, r.line, r.bytes) for r in lines.collect())
+    assert got == [(1, 1, "a", 3), (1, 2, "b", 2), (1, 3, "", 1), (1, 4, "c", 3), (2, 1, "d", 2), (2, 2, "e", 2)]
+    assert "Union" not in plan(lines)
+    crossing = chunks_to_lines(spark.createDataFrame([*chunks, (2, 8, "f"), (2, 9, "g")], shape))
+    assert sorted((r.run_id, r.line_no, r.line, r.bytes) for r in crossing.collect()) == [*got, (2, 3, "fg", 2)]
