@@ -17,11 +17,11 @@ def json_value(text: Column) -> Column:
     """``{"v": value}`` as VARIANT when the trimmed text is exactly one JSON value.
 
     ``try_parse_json`` ignores what follows the first value, so the text is tried
-    inside an object and inside an array; only a single value fits both.  Most lines of a
+    inside an object and counted inside an array; only a single value fits both.  Most lines of a
     pretty-printed document already show by their ends that they are none, and members of one line
 (``"key": "text"``) by a quote within: a parse that fails costs far more than one that succeeds.
     """
-    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
     in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
     begin, end = F.left(text, F.lit(1)), F.right(text, F.lit(1))
     bounded = F.lit(False)
@@ -29,7 +29,7 @@ def json_value(text: Column) -> Column:
         bounded = bounded | (begin.isin(*[b for b, e in VALUE_ENDS.items() if e == ends]) & end.isin(*ends))
     bounded = bounded & ((begin != '"') | text.rlike(ONE_STRING))
     # one character alone is no text, list or object
-    return F.when(bounded & (begin.isin(*DIGITS) | (F.octet_length(text) > 1)) & in_array.isNotNull(), in_object)
+    return F.when(bounded & (begin.isin(*DIGITS) | (F.octet_length(text) > 1)) & alone, in_object)
 
 
 def field_type(v: Column, path: str) -> Column:

@@ -347,7 +347,7 @@ def _candidates(lines: DataFrame, outline: DataFrame, which: Column, parts: int
 
 def gathered_documents(lines: DataFrame, outline: DataFrame) -> DataFrame:
     """The values of documents small enough to be put together."""
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    ordered = F.sort_array(F.collect_list(F.struct("line_no", "line")))
     text = F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")
     return (
         _candidates(lines, outline, F.col("bytes") <= GATHERED_BYTES)
@@ -357,7 +357,7 @@ def gathered_documents(lines: DataFrame, outline: DataFrame) -> DataFrame:
         .select(
             "run_id",
             F.lit(DOCUMENT_LINE).alias("line_no"),
-            F.explode_outer(F.array_compact(F.array(json_value(F.col("text"))))).alias("v"),
+            F.explode(F.array(json_value(F.col("text")))).alias("v"),
         )
         .filter(F.col("v").isNotNull())
     )

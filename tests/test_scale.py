@@ -5,6 +5,7 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import functions as F
 
+from testlog.functions.jsonvalue import json_value
 from testlog.operators import jsonlog, tap
 from testlog.operators.durable import materialize
 from testlog.operators.failures import dedup_failures
@@ -131,3 +132,9 @@ def test_lines_within_chunks_are_cut_once(spark):
     assert "Union" not in plan(lines)
     crossing = chunks_to_lines(spark.createDataFrame([*chunks, (2, 8, "f"), (2, 9, "g")], shape))
     assert sorted((r.run_id, r.line_no, r.line, r.bytes) for r in crossing.collect()) == [*got, (2, 3, "fg", 2)]
+
+
+def test_one_value_is_parsed_once(spark):
+    lines = spark.createDataFrame([(1, 1, "{}"), (1, 2, "{},{}"), (1, 3, "[1] [2]"), (1, 4, "[1]]"), (1, 5, "[[1]] ]")], "run_id bigint, line_no int, line string")
+    assert [r.line_no for r in jsonlog.parse_lines(lines).collect()] == [1]
+    assert str(json_value(F.col("line"))).count("try_parse_json") == 1
