@@ -1,9 +1,9 @@
 """JSON logs: Go and nextest event lines, Jest and Vitest summary documents.
 
 Counts need no order beyond "first" and "last", so a run of any size is folded
-by partial aggregates; no run is ever gathered in one task.  The text of a pretty-printed
-document is put together only up to ``GATHERED_BYTES``; longer ones are read line by line, with
-the same result.
+by partial aggregates; no run is ever gathered in one task.  For states and failures the text of a
+pretty-printed document is put together only up to ``GATHERED_BYTES``; longer ones are read line by line, with
+the same result.  ``json_values`` hands on whole values, so there a document of any size is one text.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from testlog.operators.jsondoc import ScannedDocuments, scan_documents
 from testlog.operators.ordered import running_total
 from testlog.session import configure
 
-# Documents up to this size are parsed as one text.
+# Documents up to this size are parsed as one text for states and failures.
 GATHERED_BYTES = 1024 * 1024
 # Longer ones are few and hold most lines: each is dealt to so many parts where its lines are picked.
 LONG_PARTS = 64
@@ -345,21 +345,32 @@ def _candidates(lines: DataFrame, outline: DataFrame, which: Column, parts: int
     return dealt.join(wanted, ["run_id", "part"], "left_semi").drop("part")
 
 
-def gathered_documents(lines: DataFrame, outline: DataFrame) -> DataFrame:
-    """The values of documents small enough to be put together."""
+def _one_value(text: Column) -> Column:
+    """Is the text one JSON value, whatever its size?"""
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    return alone & F.get_json_object(F.concat(F.lit('{"v":'), text, F.lit("}")), "$").isNotNull()
+
+
+def gathered_documents(lines: DataFrame, outline: DataFrame, which: Column) -> DataFrame:
+    """The values of documents that are put together.  One that no VARIANT can hold is an error, not left out."""
+    text_of = F.col("text")
+    lost = F.col("v").isNull() & (F.octet_length(text_of) > GATHERED_BYTES) & _one_value(text_of)
+    too_large = F.raise_error(F.concat(F.lit("the document is too large for one value: run "), F.col("run_id").cast("string")))
     ordered = F.sort_array(F.collect_list(F.struct("line_no", "line")))
     text = F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")
     return (
-        _candidates(lines, outline, F.col("bytes") <= GATHERED_BYTES)
+        _candidates(lines, outline, which)
         .groupBy("run_id")
         .agg(text.alias("text"))
         .withColumn("text", utrim(F.col("text")))
         .select(
             "run_id",
             F.lit(DOCUMENT_LINE).alias("line_no"),
-            F.explode(F.array(json_value(F.col("text")))).alias("v"),
+            "text",
+            F.explode(F.array(json_value(text_of))).alias("v"),
         )
-        .filter(F.col("v").isNotNull())
+        .filter(F.when(lost, too_large).otherwise(F.col("v").isNotNull()))
+        .drop("text")
     )
 
 
@@ -372,14 +383,15 @@ def long_documents(lines: DataFrame, outline: DataFrame) -> ScannedDocuments | N
     return ScannedDocuments(materialize(scanned.values), materialize(scanned.entries))
 
 
-def whole_documents(
-    lines: DataFrame, outline: DataFrame, scanned: ScannedDocuments | None = None
-) -> DataFrame:
-    """The value of runs whose text is one document spread over many lines.
+def whole_documents(lines: DataFrame, outline: DataFrame) -> DataFrame:
+    """The whole value of runs whose text is one document spread over many lines, whatever its size."""
+    return gathered_documents(lines, outline, F.lit(True))
 
-    Values of ``scanned`` documents lack their entries.
-    """
-    found = gathered_documents(lines, outline)
+
+def document_heads(lines: DataFrame, outline: DataFrame, scanned: ScannedDocuments | None) -> DataFrame:
+    """What states and events are read from in documents spread over many lines; the entries of ``scanned``
+    documents stand in a table of their own."""
+    found = gathered_documents(lines, outline, F.col("bytes") <= GATHERED_BYTES)
     if scanned is None:
         return found
     line = F.lit(DOCUMENT_LINE).alias("line_no")
@@ -387,11 +399,11 @@ def whole_documents(
 
 
 def json_values(lines: DataFrame, outline: DataFrame | None = None) -> DataFrame:
-    """Every JSON value of every run: value lines, else the whole text."""
+    """Every JSON value of every run, whole: value lines, else the whole text."""
     if outline is None:
         outline = materialize(run_outline(lines))
     by_line = parse_lines(lines)
-    return by_line.unionByName(whole_documents(lines, outline, long_documents(lines, outline)))
+    return by_line.unionByName(whole_documents(lines, outline))
 
 
 def _applied_docs(lines: DataFrame, outline: DataFrame, documents: DataFrame) -> DataFrame:
@@ -421,7 +433,7 @@ def json_run_state(lines: DataFrame, outline: DataFrame | None = None) -> DataFr
     """
     if outline is None:
         outline = materialize(run_outline(lines))
-    documents = materialize(whole_documents(lines, outline, long_documents(lines, outline)))
+    documents = materialize(document_heads(lines, outline, long_documents(lines, outline)))
     docs = _applied_docs(lines, outline, documents)
     is_jest = F.col("source") == "jest"
     last = docs.groupBy("run_id").agg(
@@ -465,7 +477,7 @@ def json_failures(lines: DataFrame, outline: DataFrame | None = None) -> DataFra
     if outline is None:
         outline = materialize(run_outline(lines))
     scanned = long_documents(lines, outline)
-    documents = materialize(whole_documents(lines, outline, scanned))
+    documents = materialize(document_heads(lines, outline, scanned))
     by_line = parse_lines(lines)
     failed = json_events(by_line.unionByName(documents), outcome="failed")
     columns = ("run_id", "line_no", "item_no", "source", "label", "suite", "test_file", "reason")
