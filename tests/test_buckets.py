@@ -126,3 +126,15 @@ def test_parts_are_batches_of_as_many_files(spark, monkeypatch, size):
     assert rest == 1 and (each > 1) == (size == 4)
     counts = [spark.read.schema(LOG_LINES).parquet(str(f)).count() for f in files]
     assert all(counts) and sum(counts) == 401 and counts[-1] == 1
+
+
+def test_a_line_without_time_counts_and_ends_no_run():
+    state = State()
+    runs = close.TapBuckets(False, None, 1000)
+    runs.init(state)
+    failing = TOKEN | {"ok": False, "description": "d"}
+    rows = [{"run": run, "line_no": n, "event_us": us, "event_ts": pd.NaT, **failing} for run, n, us in (("7", 1, 5_000_000), ("7", 2, None), (None, 1, 5_000_000))]
+    [out] = runs.handleInputRows((1,), iter([pd.DataFrame(rows)]), None)
+    assert [(r.run_id, r.line_no) for r in out.itertuples()][:2] == [(7, 1), (7, 2)] and pd.isna(out["run_id"].iloc[2])
+    assert state.timers == [6000] and type(state.timers[0]) is int
+    assert out["event_us"].isna().tolist() == [False, True, False]
